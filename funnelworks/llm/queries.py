@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,37 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "chars_per_token", "chars_per_rank_token", "byte_share", "token_entropy")
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_quality_rules)}
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    placed = shard_documents(_table(spark, sf_dir, "documents"), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _remainder(of: int) -> Column:
+    """crc32 of doc_id as text, mod ``of``; -1 for a null doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of, F.lit(-1))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity, train
+
+    documents = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = train(documents.where(_remainder(4) != 2).select("doc_id", "text").join(labels, "doc_id"))
+    scored = score_toxicity(documents, model)
+    return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_windows")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import label_languages, train
+
+    documents = _table(spark, sf_dir, "documents")
+    model = train(documents.where(_remainder(5) != 0))
+    labelled = label_languages(documents, model)
+    return labelled.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_quality_rules, op5_sharding, op6_toxicity, op9_language_id)}
 
 ORACLES: dict[str, str] = {}
