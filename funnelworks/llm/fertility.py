@@ -38,8 +38,8 @@ class FertilityRules:
     tokens are too short to tell and are kept, as are groups of under ``least_documents``.
     """
 
-    width: float = 8.0
-    slack: float = 0.12
+    width: float = 6.0
+    slack: float = 0.04
     byte_share_slack: float = 0.02
     least_tokens: int = 60
     least_documents: int = 20
