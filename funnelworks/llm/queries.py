@@ -46,6 +46,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_windows")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import label_languages, train
 
@@ -55,6 +61,6 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_quality_rules, op5_sharding, op6_toxicity, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_quality_rules, op5_sharding, op6_toxicity, op7_ngram_jaccard_join, op9_language_id)}
 
 ORACLES: dict[str, str] = {}
