@@ -11,6 +11,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiling import leaks
+
+    found = leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_tokens", "covered", F.size("tiles").alias("n_tiles"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -61,6 +68,6 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_quality_rules, op5_sharding, op6_toxicity, op7_ngram_jaccard_join, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op4_quality_rules, op5_sharding, op6_toxicity, op7_ngram_jaccard_join, op9_language_id)}
 
 ORACLES: dict[str, str] = {}
