@@ -68,6 +68,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op4_quality_rules, op5_sharding, op6_toxicity, op7_ngram_jaccard_join, op9_language_id)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chaining import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents")).select("doc_id", "other_doc_id", "start", "end", "other_start", "other_end", F.round("identity", 4).alias("identity"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op4_quality_rules, op5_sharding, op6_toxicity, op7_ngram_jaccard_join, op9_language_id, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
