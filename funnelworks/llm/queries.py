@@ -59,6 +59,13 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import perplexities
+
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return perplexities(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import label_languages, train
 
@@ -74,6 +81,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents")).select("doc_id", "other_doc_id", "start", "end", "other_start", "other_end", F.round("identity", 4).alias("identity"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op4_quality_rules, op5_sharding, op6_toxicity, op7_ngram_jaccard_join, op9_language_id, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op4_quality_rules, op5_sharding, op6_toxicity, op7_ngram_jaccard_join, op8_quality_classifier, op9_language_id, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
