@@ -24,6 +24,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan_licences
+
+    return scan_licences(_table(spark, sf_dir, "documents")).select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), "confirmed", F.round("similarity", 6).alias("similarity"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fertility import quality_rules
 
@@ -47,8 +53,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity, train
 
     documents = _table(spark, sf_dir, "documents")
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = train(documents.where(_remainder(4) != 2).select("doc_id", "text").join(labels, "doc_id"))
+    model = train(documents, _table(spark, sf_dir, "labels").where(_remainder(4) != 2))
     scored = score_toxicity(documents, model)
     return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_windows")
 
@@ -81,6 +86,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents")).select("doc_id", "other_doc_id", "start", "end", "other_start", "other_end", F.round("identity", 4).alias("identity"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op4_quality_rules, op5_sharding, op6_toxicity, op7_ngram_jaccard_join, op8_quality_classifier, op9_language_id, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op3_license_scan, op4_quality_rules, op5_sharding, op6_toxicity, op7_ngram_jaccard_join, op8_quality_classifier, op9_language_id, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {}

@@ -31,7 +31,7 @@ class TrainingBounds:
     """What the training sample holds at most: documents of each label, and the bytes of one document."""
 
     documents: int = 2000
-    document_bytes: int = 100_000
+    document_bytes: int = 32_000
     epochs: int = 8
     seed: int = 7
 
@@ -298,16 +298,19 @@ def _score(model: ToxicityModel, schema: pa.Schema):
     return run
 
 
-def train(labelled: DataFrame, bounds: TrainingBounds = TrainingBounds()) -> ToxicityModel:
-    """Fit on a bounded sample of ``labelled`` (doc_id, text, toxic), the same at every run: lowest hashes of doc_id for each label.
+def train(documents: DataFrame, labels: DataFrame, bounds: TrainingBounds = TrainingBounds()) -> ToxicityModel:
+    """Fit on a bounded sample of ``labels`` (doc_id, toxic) with their ``documents`` (doc_id, text).
 
-    Rows with a null text or label, or longer than ``bounds.document_bytes``, are not learned from.
+    For each label, 0 and 1, the ``bounds.documents`` doc_ids of lowest hash: the
+    same at every run, and few enough to be sent to the documents.  Null labels and
+    texts, and texts longer than ``bounds.document_bytes``, are not learned from.
     """
-    rows = labelled.where(F.col("toxic").isin(0, 1) & F.col("text").isNotNull() & (F.octet_length("text") <= bounds.document_bytes))
-    sample = []
-    for label in (0, 1):
-        sample += rows.where(F.col("toxic") == label).select("text", "toxic").orderBy(F.xxhash64("doc_id"), "text").limit(bounds.documents).collect()
-    return fit([r["text"].encode() for r in sample], [r["toxic"] for r in sample], bounds)
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sample = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bounds.documents) for label in (0, 1)]
+    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= bounds.document_bytes))
+    rows = texts.join(F.broadcast(sample[0].union(sample[1])), "doc_id").select("doc_id", "text", "toxic").collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
+    return fit([r["text"].encode() for r in rows], [r["toxic"] for r in rows], bounds)
 
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
