@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A word enters as its own embedding beside the mean embedding of its character
-trigrams, so unseen spellings of a known word still look like it.  The network
+n-grams, so unseen forms of a known word still look like it.  The network
 reads windows of words both ways; attention weighs the positions; the document's
 score is that of its worst window.  Windows overlap by half and cover the whole
 text.  Training is plain numpy, on a bounded sample of labelled documents.
@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import WordTable, hash_words, mix, text_chunks
+from .words import WordTable, hash_words, mix, spread, text_chunks
 
 WORD_BUCKETS, WORD_DIM = 1 << 15, 8
-CHAR_BUCKETS, CHAR_DIM = 1 << 13, 8
+CHAR_BUCKETS, CHAR_DIM = 1 << 17, 8
+#: Lengths of the character n-grams; the shortest also sees both ends of a word.
+CHAR_ORDERS = (3, 4, 5)
 HIDDEN, ATTENTION = 8, 8
 WINDOW, STEP = 32, 16
 PAD = 0  # bucket of the padding word
@@ -37,17 +39,23 @@ class TrainingBounds:
 
 
 def inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word, lower-cased and without outer punctuation: its word bucket, its trigram buckets, and the word of each trigram."""
+    """Of each word, lower-cased and without outer punctuation: its word bucket, its character n-grams' buckets, and the word of each n-gram."""
     clean = [w.decode().lower().strip("#*$%&!|<>.,;:?\"'()[]{}-_") for w in words]
     word = (hash_words([c.encode() for c in clean]) % np.uint64(WORD_BUCKETS - 1)).astype(np.int32) + 1
     word[[not c for c in clean]] = PAD
     codes = np.frombuffer("".join(f"\x02{c}\x03" for c in clean).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    of = np.repeat(np.arange(len(words)), [len(c) + 2 for c in clean]) if words else np.empty(0, np.int64)
-    if len(codes) < 3:
-        return word, np.empty(0, np.int32), np.empty(0, np.int64)
-    inside = of[:-2] == of[2:]
-    grams = mix((codes[:-2] * np.uint64(1 << 21) + codes[1:-1]) * np.uint64(1 << 21) + codes[2:]) % np.uint64(CHAR_BUCKETS)
-    return word, grams[inside].astype(np.int32), of[:-2][inside]
+    place = np.repeat(np.arange(len(words)), [len(c) + 2 for c in clean]) if words else np.empty(0, np.int64)
+    grams, of, h = [np.empty(0, np.int32)], [np.empty(0, np.int64)], np.zeros(len(codes), np.uint64)
+    for n in range(1, max(CHAR_ORDERS) + 1):
+        m = len(codes) - n + 1
+        if m <= 0:
+            break
+        h = mix(h[:m] * np.uint64(31) + codes[n - 1 :] + np.uint64(n))
+        if n in CHAR_ORDERS:
+            inside = place[:m] == place[n - 1 :]
+            grams.append((h[inside] % np.uint64(CHAR_BUCKETS)).astype(np.int32))
+            of.append(place[:m][inside])
+    return word, np.concatenate(grams), np.concatenate(of)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -136,18 +144,29 @@ class Network:
         return g, d_gates
 
 
+def _by_row(rows: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, and the sum of what each has."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    start = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.empty(0, np.int64)
+    return rows[start], np.add.reduceat(x[order], start) if len(start) else x[:0]
+
+
 class _Adam:
     def __init__(self, p: dict[str, np.ndarray], rate: float):
         self.p, self.rate, self.t = p, rate, 0
         self.m, self.v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
 
-    def step(self, g: dict[str, np.ndarray]) -> None:
+    def step(self, g: dict) -> None:
+        """A gradient is an array, or of an embedding the rows it has and those rows' gradients; other rows stay as they are."""
         self.t += 1
         scale = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.001 * (x * x - self.v[k])
-            self.p[k] -= (scale * self.m[k] / (np.sqrt(self.v[k]) + 1e-7)).astype(np.float32)
+            at, x = x if isinstance(x, tuple) else (slice(None), x)
+            m, v = self.m[k][at], self.v[k][at]
+            m, v = m + 0.1 * (x - m), v + 0.001 * (x * x - v)
+            self.m[k][at], self.v[k][at] = m, v
+            self.p[k][at] -= (scale * m / (np.sqrt(v) + 1e-7)).astype(np.float32)
 
 
 def _many(lengths: np.ndarray) -> np.ndarray:
@@ -200,7 +219,7 @@ def fit(texts: list[bytes], toxic: list[int], bounds: TrainingBounds = TrainingB
     Labels are of documents, and few windows of a toxic one are toxic: its windows
     with the words of highest log-odds stand for it, its others are left out; all
     windows of a clean document are clean (a seeded draw of them, six for each
-    toxic one).  The last line fits the worst window's logit to the labels.
+    toxic one, and those that the network gets most wrong).  The last line fits the worst window's logit to the labels.
     """
     rng = np.random.default_rng(bounds.seed)
     table = WordTable(lambda words: (np.arange(len(words)),), most=1 << 60)
@@ -212,38 +231,49 @@ def fit(texts: list[bytes], toxic: list[int], bounds: TrainingBounds = TrainingB
         model.slope, model.intercept = 0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
         model.floor = 0.0
         return model
-    canon = word  # words that differ in case or punctuation count as one
-    presence = {0: np.zeros(WORD_BUCKETS), 1: np.zeros(WORD_BUCKETS)}
+    net, by_word = model.network, np.argsort(of, kind="stable")
+    grams, of = grams[by_word], of[by_word]
+    first = np.searchsorted(of, np.arange(len(word) + 1))
+    grams_in = lambda used: grams[spread(first[used], first[used + 1] - first[used])]
+    # How much more often toxic documents have a word or an n-gram; a word counts by the most telling of its parts.
+    has_word, has_gram = np.zeros((2, WORD_BUCKETS)), np.zeros((2, CHAR_BUCKETS))
     for ids, label in zip(words, toxic, strict=True):
-        presence[int(label)][np.unique(canon[ids])] += 1
-    odds = np.log((presence[1] + 0.5) / (y.sum() + 1)) - np.log((presence[0] + 0.5) / (len(y) - y.sum() + 1))
-    odds[PAD] = -9
+        used = np.unique(ids).astype(np.int64)
+        has_word[int(label), np.unique(word[used])] += 1
+        has_gram[int(label), np.unique(grams_in(used))] += 1
+    share = np.array([len(y) - y.sum(), y.sum()])[:, None] + 1
+    by_bucket, by_gram = (np.log((h[1] + 0.5) / share[1]) - np.log((h[0] + 0.5) / share[0]) for h in (has_word, has_gram))
+    odds = by_bucket[word]
+    np.maximum.at(odds, of, by_gram[grams])
+    odds[word == PAD] = -9
     lengths = np.array([len(w) for w in words], np.int64)
     every = np.concatenate(words).astype(np.int64)
     text, start, size = windows(lengths)
     grid, real = _grid(every, start, size)
-    peak = np.where(real, odds[canon[grid]], -9).max(1)
+    peak = np.where(real, odds[grid], -9).max(1)
     most = np.full(len(words), -9.0)
     np.maximum.at(most, text, peak)
-    positive = (y[text] == 1) & (peak >= most[text] - 0.7)
+    positive = np.flatnonzero((y[text] == 1) & (peak >= most[text] - 0.7))
     clean = np.flatnonzero(y[text] == 0)
-    clean = rng.permutation(clean)[: 6 * int(positive.sum())]
-    chosen = np.concatenate([np.flatnonzero(positive), clean])
-    target = np.concatenate([np.ones(int(positive.sum())), np.zeros(len(clean))]).astype(np.float32)
-    net, grams_of = model.network, np.argsort(of, kind="stable")
-    grams, of = grams[grams_of], of[grams_of]
-    first = np.searchsorted(of, np.arange(len(word) + 1))
+    some_clean = rng.permutation(clean)[: 6 * len(positive)]
     adam = _Adam(net.p, 0.01)
     for epoch in range(bounds.epochs):
         adam.rate = 0.01 * (1 - epoch / bounds.epochs) + 0.001
+        if epoch in (bounds.epochs // 3, 2 * bounds.epochs // 3) and epoch:  # the clean windows that look most toxic so far join the draw
+            logits = window_logits(net, net.projected(net.vectors(word, grams, of)), every, start[clean], size[clean])
+            hard = clean[np.argsort(-logits, kind="stable")[: 3 * len(positive)]]
+            some_clean = np.concatenate([hard, rng.permutation(clean)[: 6 * len(positive)]])
+        chosen = np.concatenate([positive, some_clean])
+        target = np.concatenate([np.ones(len(positive)), np.zeros(len(some_clean))]).astype(np.float32)
         for part in np.array_split(order := rng.permutation(len(chosen)), max(1, len(order) // 128)):
             used, cell = np.unique(grid[chosen[part]], return_inverse=True)
             cell = cell.reshape(len(part), WINDOW)
             counts = first[used + 1] - first[used]
             its = np.repeat(np.arange(len(used)), counts)
-            gram = grams[np.concatenate([np.arange(first[u], first[u + 1]) for u in used])] if counts.sum() else np.empty(0, np.int32)
+            gram = grams_in(used)
             vectors = net.vectors(word[used], gram, its)
             drop = (rng.random(vectors.shape) > 0.1).astype(np.float32)
+            drop[rng.random(len(drop)) < 0.3, :WORD_DIM] = 0  # else words that training knows hide their n-grams
             vectors *= drop
             gates = net.projected(vectors)[cell]
             logit, held = net.forward(gates, real[chosen[part]], keep=True)
@@ -254,9 +284,8 @@ def fit(texts: list[bytes], toxic: list[int], bounds: TrainingBounds = TrainingB
             d_vectors = sum(d_word[:, k] @ net.p[f"{s}_x"].T for k, s in enumerate("fb")) * drop
             for k, s in enumerate("fb"):
                 g[f"{s}_x"], g[f"{s}_bias"] = vectors.T @ d_word[:, k], d_word[:, k].sum(0)
-            g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-            np.add.at(g["word"], word[used], d_vectors[:, :WORD_DIM])
-            np.add.at(g["char"], gram, (d_vectors[:, WORD_DIM:] / np.maximum(1, counts)[:, None])[its])
+            g["word"] = _by_row(word[used], d_vectors[:, :WORD_DIM])
+            g["char"] = _by_row(gram, (d_vectors[:, WORD_DIM:] / np.maximum(1, counts)[:, None])[its])
             adam.step(g)
     worst = worst_logits(net, net.projected(net.vectors(word, grams, of)), every, lengths)
     some = lengths > 0
@@ -264,15 +293,19 @@ def fit(texts: list[bytes], toxic: list[int], bounds: TrainingBounds = TrainingB
     return model
 
 
+def window_logits(net: Network, gates: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    out = [np.empty(0, np.float32)]
+    for a in range(0, len(start), 4096):  # bounds the states held at once
+        grid, real = _grid(ids, start[a : a + 4096], size[a : a + 4096])
+        out.append(net.forward(gates[grid], real)[0])
+    return np.concatenate(out)
+
+
 def worst_logits(net: Network, gates: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The highest logit over all windows of each text; minus infinity without words."""
     out = np.full(len(lengths), -np.inf)
     text, start, size = windows(lengths)
-    for a in range(0, len(text), 4096):  # bounds the states held at once
-        part = slice(a, a + 4096)
-        grid, real = _grid(ids, start[part], size[part])
-        logit, _ = net.forward(gates[grid], real)
-        np.maximum.at(out, text[part], logit)
+    np.maximum.at(out, text, window_logits(net, gates, ids, start, size))
     return out
 
 
