@@ -26,6 +26,8 @@ from .words import WordTable, hash_words, spread, text_chunks, window_hashes
 #: Symbols that the base rules count.
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
+#: Languages and scripts are few; so many bands at most are sent to all executors, more are joined by a shuffle.
+MOST_BANDS = 10_000
 
 
 @dataclass(frozen=True)
@@ -148,18 +150,27 @@ def _measures(piece_path: str, rank_path: str, schema: pa.Schema, others: list[s
 _MADE = (("n_words", pa.int64(), "long"), ("word_chars", pa.int64(), "long"), ("n_symbols", pa.int64(), "long"), ("n_dup_lines", pa.int64(), "long"), ("n_repeat_words", pa.int64(), "long"), ("n_tokens", pa.int64(), "long"), ("n_byte_tokens", pa.int64(), "long"), ("n_rank_tokens", pa.int64(), "long"), ("token_entropy", pa.float64(), "double"), ("script", pa.string(), "string"))
 
 
+OTHERS = ["doc_id", "lang", "content"]
+
+
 def measure(documents: DataFrame, piece_path: str, rank_path: str) -> DataFrame:
-    """doc_id and lang with the base counts and the tokenizers' measures of every whole text.
+    """doc_id, lang and content (a hash of lang and text) with the base counts and the tokenizers' measures of every whole text.
 
     Tokens are those of the text's words, each with one space before it.  A null
     text has no words.  ``script`` is that of most letters; null without letters.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kept = documents.select("doc_id", "lang", "text")
-    schema = pa.schema([(x, to_arrow_type(kept.schema[x].dataType)) for x in ("doc_id", "lang")] + [(name, kind) for name, kind, _ in _MADE])
-    kinds = ", ".join([f"{x} {kept.schema[x].dataType.simpleString()}" for x in ("doc_id", "lang")] + [f"{name} {kind}" for name, _, kind in _MADE])
-    return kept.mapInArrow(_measures(piece_path, rank_path, schema, ["doc_id", "lang"]), kinds)
+    kept = documents.select("doc_id", "lang", F.xxhash64("lang", "text").alias("content"), "text")
+    schema = pa.schema([(x, to_arrow_type(kept.schema[x].dataType)) for x in OTHERS] + [(name, kind) for name, kind, _ in _MADE])
+    kinds = ", ".join([f"{x} {kept.schema[x].dataType.simpleString()}" for x in OTHERS] + [f"{name} {kind}" for name, _, kind in _MADE])
+    return kept.mapInArrow(_measures(piece_path, rank_path, schema, OTHERS), kinds)
+
+
+def _small(bands: DataFrame) -> DataFrame:
+    """A row for each band, sent to all executors if they are as few as they should be."""
+    bands = staged(bands, "bands")
+    return F.broadcast(bands) if bands.limit(MOST_BANDS + 1).count() <= MOST_BANDS else bands
 
 
 def judge(measured: DataFrame, rules: FertilityRules = FertilityRules()) -> DataFrame:
@@ -182,10 +193,11 @@ def judge(measured: DataFrame, rules: FertilityRules = FertilityRules()) -> Data
     names = ("chars_per_token", "chars_per_rank_token", "byte_share", "entropy_ratio")
     long = F.col("n_tokens") >= rules.least_tokens
     used = measured.where(long & ~F.col("base_failed"))
-    middle = used.groupBy("band").agg(F.count(F.lit(1)).alias("documents"), *[F.percentile_approx(x, 0.5, 10000).alias(f"{x}_mid") for x in names])
+    middle = _small(used.groupBy("band").agg(F.count(F.lit(1)).alias("documents"), *[F.percentile_approx(x, 0.5, 10000).alias(f"{x}_mid") for x in names]))
     off = lambda x: F.abs(F.col(x) - F.col(f"{x}_mid"))
     spreads = used.join(middle, "band").groupBy("band").agg(*[F.percentile_approx(off(x) * F.sqrt("n_tokens"), 0.5, 10000).alias(f"{x}_dev") for x in names])
     bands = middle.join(spreads, "band").where(F.col("documents") >= rules.least_documents)
+    bands = _small(bands)
     slack = lambda x: F.lit(rules.byte_share_slack) if x == "byte_share" else F.lit(rules.slack) * F.col(f"{x}_mid")
     outside = F.lit(False)
     for x in names:

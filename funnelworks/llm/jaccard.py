@@ -36,7 +36,7 @@ PERCENT = 75
 BITS = 48
 #: Parts of a set that a pair is compared by.
 SEGMENTS = 4
-_ROWS = "kind int, fragment long, block long, doc_id long, local int, n long, name_a long, name_b long, high binary, low binary, refs binary"
+_ROWS = "kind int, fragment long, block long, doc_id long, content long, local int, n long, name_a long, name_b long, high binary, low binary, refs binary"
 
 
 @dataclass(frozen=True)
@@ -78,7 +78,7 @@ def _shuffled_out(fragments: int, rule: Rule, schema: pa.Schema):
             words = [table.ids(t.lower().split()) if t else np.empty(0, np.int32) for t in texts]
             (hashes,) = table.settle()
             out = []
-            for doc_id, ids in zip(rows.column(0).to_pylist(), words, strict=True):
+            for doc_id, content, ids in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), words, strict=True):
                 shingles = shingle_set(hashes[ids], rule.size)
                 name = (len(shingles), *_name(shingles))
                 local = sets.get(name)
@@ -87,11 +87,11 @@ def _shuffled_out(fragments: int, rule: Rule, schema: pa.Schema):
                     short = shingles >> np.uint64(64 - BITS)
                     keys.append(short[np.append(True, short[1:] != short[:-1])] if len(short) else short)
                     refs.append(np.full(len(keys[-1]), local, np.uint32))
-                out.append((doc_id, local, *name))
-            doc, local, n, a, b = zip(*out, strict=True) if out else ((),) * 5
+                out.append((doc_id, content, local, *name))
+            doc, content, local, n, a, b = zip(*out, strict=True) if out else ((),) * 6
             many = len(out)
             # They go with a run to a fragment of the block's own: nothing gathers.
-            columns = [[0] * many, [(block * 7919) % fragments] * many, [block] * many, doc, local, n, a, b, [None] * many, [None] * many, [None] * many]
+            columns = [[0] * many, [(block * 7919) % fragments] * many, [block] * many, doc, content, local, n, a, b, [None] * many, [None] * many, [None] * many]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
         if not keys:
             return
@@ -105,7 +105,7 @@ def _shuffled_out(fragments: int, rule: Rule, schema: pa.Schema):
         for f in range(fragments):
             k, r = key[cut[f] : cut[f + 1]], ref[cut[f] : cut[f + 1]]
             if len(k):
-                row = [1, f, block, None, int(narrow == np.uint32), len(k), None, None, (k >> np.uint64(32)).astype(np.uint16).tobytes(), k.astype(np.uint32).tobytes(), r.astype(narrow).tobytes()]
+                row = [1, f, block, None, None, int(narrow == np.uint32), len(k), None, None, (k >> np.uint64(32)).astype(np.uint16).tobytes(), k.astype(np.uint32).tobytes(), r.astype(narrow).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
     return run
@@ -135,7 +135,7 @@ def _shared_only(schema: pa.Schema):
                 at = np.minimum(np.searchsorted(shared, k), len(shared) - 1)
                 some = shared[at] == k
                 if some.any():
-                    row = [1, fragment, block, None, None, int(some.sum()), None, None, k[some].tobytes(), held_by[at[some]].tobytes(), r[some].tobytes()]
+                    row = [1, fragment, block, None, None, None, int(some.sum()), None, None, k[some].tobytes(), held_by[at[some]].tobytes(), r[some].tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
     return run
@@ -220,7 +220,9 @@ def _compared(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, rule: Rul
 
 
 def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document (doc_id long, text).
+    """doc_id, content (hash of the text), n_shingles, component_id and stays of every document (doc_id long, text).
+
+    ``stays`` is true for the rows with the least (doc_id, content) of their component.
 
     Words are runs of non-white characters, A-Z in lower case.  ``component_id`` is
     the least doc_id that a chain of links reaches; a document without words, or
@@ -233,7 +235,7 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(_ROWS))
-    out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_shuffled_out(partitions(spark), rule, schema), _ROWS)
+    out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text").mapInArrow(_shuffled_out(partitions(spark), rule, schema), _ROWS)
     found = staged(out.repartition(partitions(spark), "fragment").mapInArrow(_shared_only(schema), _ROWS), "fragments")
     sets = staged(found.groupBy("block").applyInArrow(_survivors(rule), "set_id long, n long, name_a long, name_b long, grams binary"), "sets")
     # Sets that are equal in different blocks are one from here on.
@@ -260,9 +262,13 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     member_of = sets.select("set_id", "n", "name_a", "name_b").join(named.withColumnRenamed("set_id", "node"), ["n", "name_a", "name_b"]).select("set_id", "node")
     member_of = member_of.join(of, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
-    rows = found.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.expr("block * 4294967296 + local").alias("set_id"))
+    rows = found.where("kind = 0").select("doc_id", "content", F.col("n").alias("n_shingles"), F.expr("block * 4294967296 + local").alias("set_id"))
     rows = rows.join(member_of, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    first = rows.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Nulls last: a document without an id names a component only if all of it has none.
+    first = rows.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")).alias("first"))
+    linked = rows.where("n_shingles > 0").join(first, "component")
+    stays = linked["doc_id"].eqNullSafe(F.col("first.doc_id")) & (linked["content"] == F.col("first.content"))
+    linked = linked.select("doc_id", "content", "n_shingles", F.col("first.doc_id").alias("component_id"), stays.alias("stays"))
     # A document without words is joined with nothing, though others of its block have the same (empty) set.
-    own = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rows.where("n_shingles > 0").join(first, "component").select("doc_id", "n_shingles", "component_id").union(own)
+    own = rows.where("n_shingles = 0").select("doc_id", "content", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return linked.union(own)

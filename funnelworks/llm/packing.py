@@ -12,6 +12,7 @@ places: the r-th piece of a length takes the r-th place of that length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import staged
-from .words import WordTable, spread, text_chunks
+from .words import WordTable, kept_in_worker, spread, text_chunks
 
 SEQUENCE_TOKENS = 2048
 #: Ends every document.
@@ -31,6 +32,9 @@ END_ID = 0
 #: Pairs of patterns that the local search looks at: its effort, not a bound on the data.
 SEARCH_TRIES = 100_000
 
+#: Fewer tokenizer calls: ASCII case does not matter to the vocabulary, and a full stop or comma after a letter is a token of its own.
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
+
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 
@@ -43,7 +47,7 @@ class TokenTable(WordTable):
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        super().__init__(self._tokens)
+        super().__init__(self._tokens, most=900_000)
 
     def _restart(self) -> None:
         super()._restart()
@@ -68,11 +72,11 @@ class TokenTable(WordTable):
 
 def _pieces(tokenizer_path: str, capacity: int, with_ids: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, block = TokenTable(tokenizer_path), TaskContext.get().partitionId()
+        table, block = kept_in_worker(("tokens", tokenizer_path), lambda: TokenTable(tokenizer_path)), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far: gives a piece its number among them
         for rows, texts in text_chunks(batches):
             table.begin()
-            words = [table.ids(t.split()) if t else np.empty(0, np.int32) for t in texts]
+            words = [table.ids(_STOP.sub(rb" \1", t.lower()).split()) if t else np.empty(0, np.int32) for t in texts]
             starts, counts = table.settle()
             every = np.concatenate(words) if words else np.empty(0, np.int32)
             tokens = table.flat[spread(starts[every], counts[every].astype(np.int64))]

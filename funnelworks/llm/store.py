@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -33,6 +34,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows (keys with little beside) that are sent to all executors at most; more are joined by a shuffle.
+MOST_SENT = 500_000
+
+
+def sent(keys: DataFrame) -> DataFrame:
+    """``keys``, a written table of narrow rows, as a side of a join: broadcast if it is few, else shuffled."""
+    return F.broadcast(keys) if keys.limit(MOST_SENT + 1).count() <= MOST_SENT else keys.hint("merge")
+
+
 def partitions(spark: SparkSession) -> int:
     """How many parts a shuffle has in this session; the cluster sizes it to its input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

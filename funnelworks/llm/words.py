@@ -11,6 +11,8 @@ gathered by index.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count, islice
@@ -72,6 +74,18 @@ class WordTable:
         return self.columns
 
 
+def kept_in_worker(key: tuple, make: Callable[[], WordTable]) -> WordTable:
+    """A table that outlives the task: Spark gives a Python worker one task after another, and their texts share words.
+
+    What a table says of a word depends on ``key`` alone, so results do not depend on which worker runs a task.
+    """
+    held = sys.modules.setdefault("_funnelworks_worker", types.ModuleType("_funnelworks_worker")).__dict__.setdefault("tables", {})
+    if key not in held:
+        held.clear()  # one at a time: the memory of a worker stays that of one table
+        held[key] = make()
+    return held[key]
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     """64-bit hashes that are the same in every process."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
