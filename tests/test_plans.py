@@ -1,0 +1,112 @@
+"""Catalog, pipelines, command line, streams and entry points."""
+
+import os
+from datetime import date
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from funnelworks.__main__ import main
+from funnelworks.plans.defaults import CATALOG, PARAMETERS, merged
+from funnelworks.plans.pipeline import Node, Pipeline, run
+from funnelworks.plans.registry import DEFAULT, register_pipelines
+from funnelworks.sources.catalog import Catalog, DatasetSpec
+
+SMALL = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def test_registry_has_the_named_pipelines():
+    pipelines = register_pipelines()
+    assert {"__default__", "ingestion_historical_pipeline", "intermediate_pipeline", "de_historical_pipeline", "primary_pipeline"} <= set(pipelines)
+    assert [len(pipelines[x]) for x in ("ingestion_historical_pipeline", "intermediate_pipeline", "primary_pipeline", DEFAULT)] == [3, 3, 5, 11]
+    assert {x for x in pipelines[DEFAULT].inputs() if not x.startswith("params:")} == {"raw.prints", "raw.taps", "raw.pays"}
+
+
+def test_pipelines_unite_order_and_refuse(spark):
+    a, b = Node.of(lambda: 1, [], "x", "a"), Node.of(lambda x, p: (x + p, "t"), ["x", "params:p"], ["y", "z"], "b")
+    both = Pipeline([b]) + Pipeline([a]) + Pipeline([a])
+    assert [n.name for n in both.ordered()] == ["a", "b"]
+    for threads in (1, 3):
+        catalog = Catalog(spark)
+        run(both, catalog, {"p": 2}, threads)
+        assert (catalog.load("y"), catalog.load("z")) == (3, "t")
+    with pytest.raises(ValueError):
+        Pipeline([a, Node.of(lambda: 2, [], "x", "c")])
+    with pytest.raises(ValueError):
+        Pipeline([Node.of(lambda y: y, "y", "x", "p"), Node.of(lambda x: x, "x", "y", "q")]).ordered()
+    with pytest.raises(KeyError):
+        run(both, Catalog(spark), {})
+    with pytest.raises(KeyError):
+        Catalog(spark).load("nothing")
+    with pytest.raises(ValueError):
+        run(Pipeline([Node.of(lambda: (1, 2, 3), [], ["x", "y"], "n")]), Catalog(spark), {})
+
+
+def test_catalog_reads_what_it_wrote(spark, tmp_path):
+    catalog = Catalog(spark, {"t": {"format": "parquet", "path": "t", "partition_by": "d"}, "c": {"format": "tracking", "path": "c.json"}}, root=str(tmp_path))
+    df = spark.createDataFrame([(1, date(2024, 1, 1)), (2, date(2024, 1, 2))], "x int, d date")
+    catalog.save("t", df)
+    catalog.save("t", spark.createDataFrame([(3, date(2024, 1, 2))], "x int, d date"))
+    assert sorted(r["x"] for r in catalog.load("t").collect()) == [1, 3]
+    assert dict(catalog.load("t").dtypes)["d"] == "date"
+    catalog.save("c", {"columns": {"x": "int"}})
+    assert catalog.load("c") == {"columns": {"x": "int"}}
+    catalog.save("m", df)
+    assert catalog.load("m") is df and catalog.list() == ["c", "m", "t"]
+
+
+def test_csv_and_json(spark, tmp_path):
+    df = spark.createDataFrame([("2024-01-01", 1.5, 3, "a")], "pay_date string, total double, user_id int, value_prop string")
+    DatasetSpec("csv", f"{tmp_path}/p", write_options={"header": True}).write(df)
+    back = DatasetSpec.from_dict({"format": "csv", "path": f"{tmp_path}/p", "read_options": {"header": True, "inferSchema": True}}).read(spark)
+    assert back.dtypes == [("pay_date", "date"), ("total", "double"), ("user_id", "int"), ("value_prop", "string")]
+
+
+def test_settings_of_environments_are_merged():
+    assert merged({"a": {"x": 1, "y": 2}, "b": 1}, {"a": {"x": 3}}, {"b": {"z": 1}}) == {"a": {"x": 3, "y": 2}, "b": {"z": 1}}
+    assert set(CATALOG) >= {"raw.prints", "intermediate.pays", "primary.mdt"} and set(PARAMETERS) >= {"primary_join_parameters"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from funnelworks.testbed import raw_pays, raw_prints, raw_taps
+
+    assert main(["list"]) == 0
+    assert DEFAULT in capsys.readouterr().out
+    raw_prints(spark, SMALL).write.json(f"{tmp_path}/01_raw/prints.json")
+    raw_taps(spark, SMALL).write.json(f"{tmp_path}/01_raw/taps.json")
+    raw_pays(spark, SMALL).write.csv(f"{tmp_path}/01_raw/pays.csv", header=True)
+    assert main(["run", "--data", str(tmp_path), "--params", "primary_windows_parameters.last_n_days=2"]) == 0
+    mdt = spark.read.parquet(f"{tmp_path}/03_primary/mdt")
+    assert 0 < mdt.select("date").distinct().count() <= 3
+    assert os.path.exists(f"{tmp_path}/09_tracking/primary_mdt_columns.json")
+    with pytest.raises(SystemExit):
+        main(["run", "--pipeline", "nonsense"])
+
+
+def _rows(names, rows):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted([tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order) for r in rows], key=repr)
+
+
+def _engine_queries():
+    from funnelworks.queries import ORACLES
+
+    return sorted(ORACLES)
+
+
+@pytest.mark.parametrize("name", _engine_queries())
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+    df = entry.queries()[name](spark, SMALL)
+    result = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == sorted(df.columns)
+    assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(names, result.fetchall())
+
+
+def test_entry_gives_rows(spark):
+    assert entry.entry(spark).count() > 0
