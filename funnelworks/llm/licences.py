@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import staged
+
 NONE, UNKNOWN = "none", "unknown"
 
 #: Notices by which works state their licence, by family.
@@ -238,24 +240,23 @@ def scan_licences(documents: DataFrame, model: LicenceModel | None = None, thres
     telling = F.array(*[F.lit(w) for w in telling_words()])
     marked = documents.select("doc_id", "text").where(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), telling)).withColumn("row", F.monotonically_increasing_id())
     lines = marked.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).withColumn("words", _words(F.col("line"))).where(F.arrays_overlap("words", telling))
+    lines = staged(lines, "licence-lines")
     pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
     grams = lines.select("row", "paragraph", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
     columns = [f"w{i}" for i in range(len(model.classes))]
     # As many rows as the model has inputs: the templates bound them.
     weights = F.broadcast(spark.createDataFrame([(g, *map(float, w)) for g, w in model.weights.items()], ", ".join(["gram string", *[f"{c} double" for c in columns]])))
     sums = grams.join(weights, "gram").groupBy("row", "paragraph").agg(*[F.sum(c).alias(c) for c in columns])
-    logits = [(F.col(c) + F.lit(float(b))) / model.temperature for c, b in zip(columns, model.bias, strict=True)]
-    scaled = sums.select("row", "paragraph", *[x.alias(c) for x, c in zip(logits, columns, strict=True)]).withColumn("top", F.greatest(*columns))
-    scaled = scaled.select("row", "paragraph", "top", *[F.exp(F.col(c) - F.col("top")).alias(c) for c in columns])
-    total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
-    best = F.greatest(*[F.struct(F.col(c).alias("p"), F.lit(name).alias("family")) for c, name in zip(columns[1:], model.classes[1:], strict=True)])
-    judged = scaled.select("row", "paragraph", (F.col(columns[0]) / total).alias("none"), (best["p"] / total).alias("probability"), best["family"].alias("likeliest"))
-    judged = judged.where("none < 0.5").withColumn("family", F.when(F.col("probability") >= threshold, F.col("likeliest")).otherwise(F.lit(UNKNOWN)))
+    logits = F.array(*[(F.col(c) + F.lit(float(b))) / model.temperature for c, b in zip(columns, model.bias, strict=True)])
+    # Written tables end the plans here: expressions that use each other would be written out again and again in one plan.
+    scaled = staged(sums.select("row", "paragraph", logits.alias("z")).select("row", "paragraph", F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("p")), "licence-scores")
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    best = F.array_max(F.slice("p", 2, len(model.classes)))
+    judged = scaled.where(F.col("p")[0] / total < 0.5).select("row", "paragraph", (best / total).alias("probability"), F.array(*[F.lit(x) for x in model.classes])[F.array_position("p", best).cast("int") - 1].alias("likeliest"))
+    judged = staged(judged.withColumn("family", F.when(F.col("probability") >= threshold, F.col("likeliest")).otherwise(F.lit(UNKNOWN))), "licence-verdicts")
     found = judged.join(lines, ["row", "paragraph"])
-    likeness = F.lit(0.0)
-    for family, templates in TEMPLATES.items():
-        each = [F.array_distinct(F.array(*[F.lit(w) for w in words_of(t)])) for t in templates]
-        alike = [F.size(F.array_intersect("words", t)) / F.size(F.array_union("words", t)) for t in each]
-        likeness = F.when(F.col("likeliest") == family, F.greatest(*alike) if len(alike) > 1 else alike[0]).otherwise(likeness)
-    found = found.withColumn("similarity", likeness)
+    templates = F.broadcast(spark.createDataFrame([(family, words_of(t)) for family, group in TEMPLATES.items() for t in group], "likeliest string, template array<string>"))
+    alike = F.size(F.array_intersect("words", "template")) / F.size(F.array_union("words", "template"))
+    nearest = found.join(templates, "likeliest").groupBy("row", "paragraph").agg(F.max(alike).alias("similarity"))
+    found = found.join(nearest, ["row", "paragraph"])
     return found.select("doc_id", "paragraph", "family", "probability", ((F.col("similarity") >= CONFIRM) & (F.col("family") != UNKNOWN)).alias("confirmed"), "similarity", F.col("line").alias("text"))
