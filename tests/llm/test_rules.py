@@ -1,0 +1,121 @@
+"""Fertility rules, sharding and licences."""
+
+import random
+import re
+import zlib
+
+import public_tokenizers
+import pytest
+
+from funnelworks.llm.fertility import FertilityRules, judge, measure, quality_rules
+from funnelworks.llm.licences import TEMPLATES, scan_licences
+from funnelworks.llm.sharding import _cells, _joined, histogram, keyed, shard_documents, splitters, write_shards
+
+PATHS = (public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(text):
+    words = WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(8)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_base_counts_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = ["\n".join(" ".join(rng.choice(["a", "b", "é#", "中|", "\x85x", "<p>"]) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    texts += [None, "", " \n\t", "a b c d\x1ce", "x " * 5000]
+    docs = spark.createDataFrame([(i, t, None if i % 3 else "en", "y") for i, t in enumerate(texts)], "doc_id long, text string, lang string, n_words string")
+    got = {r["doc_id"]: r for r in measure(docs, *PATHS).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute(t), t
+
+
+def test_tokens_are_those_of_the_joined_words(spark):
+    import sentencepiece
+
+    text = "Der  Baum\nsteht 中文 ䷿ am  Fluss."
+    r = measure(spark.createDataFrame([(1, text, None)], "doc_id long, text string, lang string"), *PATHS).first()
+    pieces = sentencepiece.SentencePieceProcessor(model_file=PATHS[0])
+    ids = pieces.encode(" ".join(text.split()))
+    assert r["n_tokens"] == len(ids) and r["n_byte_tokens"] == sum(pieces.is_byte(i) for i in ids) > 0
+    assert r["script"] == "latin"
+
+
+def test_verdicts(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["the", "an", "er", "on", "in", "st", "re"]) for _ in range(rng.randint(1, 3)))
+    prose = [" ".join(word() for _ in range(rng.randint(60, 200))) for _ in range(60)]
+    junk = [" ".join("x%$#@^&~" + str(rng.randint(0, 99999)) for _ in range(80)) for _ in range(2)]
+    repeated = ["one two three four five six seven eight nine ten " * 9]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(prose + junk + repeated + ["short text", None])], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules(docs, *PATHS).collect()}
+    assert all(got[i]["kept"] for i in range(60))
+    assert not any(got[60 + i]["kept"] for i in range(2)) and not got[60]["base_failed"]
+    assert all(got[62 + i]["base_failed"] and not got[62 + i]["kept"] for i in range(3))
+    assert quality_rules(docs.limit(0), *PATHS).count() == 0
+    assert judge(measure(docs, *PATHS), FertilityRules(least_documents=10**6)).where("out_of_band").count() == 0
+
+
+@pytest.mark.parametrize("hot", [0, 150])
+def test_shards_are_even_and_gapless(spark, hot):
+    rng = random.Random(6)
+    texts = ["hot text" * 20] * hot + ["w" * rng.randint(0, 400) for _ in range(300)] + [None, "", "é" * 50, "x" * 9000]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "no id", 1), (7, texts[7], 1)], "doc_id long, text string, shard int")
+    rows = shard_documents(docs, 8).collect()
+    assert len(rows) == len(texts) + 2
+    size = {s: sum(r["size"] for r in rows if r["shard"] == s) for s in range(8)}
+    assert max(size.values()) - min(size.values()) <= 9100
+    for s in range(8):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    for r in rows:
+        if r["doc_id"] is not None:
+            raw = (texts[r["doc_id"]] or "").encode()
+            assert (r["size"], r["text_crc32"]) == (len(raw) + 1, zlib.crc32(raw))
+    order = sorted(rows, key=lambda r: (r["shard"], r["slot"]))
+    keys = [(r["hash"], -1 if r["doc_id"] is None else r["doc_id"]) for r in order]
+    assert keys == sorted(keys)
+    assert shard_documents(docs.limit(0), 8).count() == 0
+
+
+def test_histogram_is_exact(spark):
+    docs = spark.createDataFrame([(i, "t" * (i % 7)) for i in range(100)], "doc_id long, text string")
+    rows = keyed(docs)
+    keys = sorted((_joined(r["hash"], r["tie"]), r["size"]) for r in rows.collect())
+    bounds = [keys[10][0], keys[40][0] + 1, keys[41][0] + 1]
+    size, n = histogram(rows, bounds)
+    assert n == [10, 31, 1, 58] and size == [sum(s for _, s in keys[a:b]) for a, b in ((0, 10), (10, 41), (41, 42), (42, 100))]
+    found = splitters(rows, 4, 1)
+    assert found == sorted(found) and len(found) == 3
+    import numpy as np
+
+    assert _cells(np.array([], np.int64), np.array([], np.int64), bounds).tolist() == []
+
+
+def test_written_shards_hold_all_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    write_shards(docs, 3, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r["doc_id"], r["text"]) for r in back.collect()) == [(i, f"text {i}") for i in sorted(range(40))]
+    assert back.select("shard").distinct().count() == 3
+
+
+def test_licences(spark):
+    family_of = {t: f for f, group in TEMPLATES.items() for t in group}
+    rows = list(family_of) + ["He renewed his driving license.", "Nothing of the kind.", "", None, "prose\n\n  Released under the MIT License.  \nmore prose", "A permissive license of our own applies to this software under terms of the license."]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, family string")
+    out = scan_licences(docs).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r["doc_id"], []).append(r)
+    for i, t in enumerate(family_of):
+        assert [(r["family"], r["confirmed"]) for r in got[i]] == [(family_of[t], True)], t
+    n = len(family_of)
+    assert not {n, n + 1, n + 2, n + 3} & set(got)
+    assert [(r["family"], r["paragraph"]) for r in got[n + 4]] == [("mit", 2)]
+    assert all(not r["confirmed"] for r in got.get(n + 5, []))
+    assert scan_licences(docs.limit(0)).count() == 0
