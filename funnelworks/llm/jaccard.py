@@ -9,9 +9,12 @@ is too small for the threshold ends there.
 Of what is left, a set's rarest n-grams (its prefix) find the candidates: two
 sets over the threshold share one of them.  Sets that share a prefix n-gram are
 first compared with the least of them alone, which joins a family of near copies
-by a star instead of all its pairs; only pairs that are still apart are compared
-after that, so the components are exact.  A pair is compared fragment by fragment:
-partial overlaps are counted separately and summed for the pair.
+by a star instead of all its pairs; only sets that are still apart are compared
+after that, so the components are exact.  Few sets of one n-gram are compared as
+pairs; many are cut into tiles of bounded size, and a task compares two tiles and
+tells only which components it joins, so no table of pairs is made.  Pairs and
+tiles are compared fragment by fragment: partial overlaps are counted separately
+and summed for each pair.
 """
 
 from __future__ import annotations
@@ -36,6 +39,12 @@ PERCENT = 75
 BITS = 48
 #: Parts of a set that a pair is compared by.
 SEGMENTS = 4
+#: Up to so many sets of one n-gram are compared as pairs, more as tiles.
+FEW = 16
+#: What a tile holds about, at most: sets, and n-grams of all its sets.
+TILE_SETS, TILE_GRAMS = 2048, 2_000_000
+#: N-grams of a tile that are counted at once.
+TILE_COLUMNS = 4096
 _ROWS = "kind int, fragment long, block long, doc_id long, content long, local int, n long, name_a long, name_b long, high binary, low binary, refs binary"
 
 
@@ -90,8 +99,8 @@ def _shuffled_out(fragments: int, rule: Rule, schema: pa.Schema):
                 out.append((doc_id, content, local, *name))
             doc, content, local, n, a, b = zip(*out, strict=True) if out else ((),) * 6
             many = len(out)
-            # They go with a run to a fragment of the block's own: nothing gathers.
-            columns = [[0] * many, [(block * 7919) % fragments] * many, [block] * many, doc, content, local, n, a, b, [None] * many, [None] * many, [None] * many]
+            # They pass through any fragment, evenly.
+            columns = [[0] * many, [(block * 7919 + i) % fragments for i in range(many)], [block] * many, doc, content, local, n, a, b, [None] * many, [None] * many, [None] * many]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
         if not keys:
             return
@@ -219,6 +228,89 @@ def _compared(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, rule: Rul
     return summed.join(n("a"), "a").join(n("b"), "b").where(100 * F.col("overlap") >= rule.percent * union).select("a", "b")
 
 
+def tile_links(a: list[tuple[int, int, int, bytes]], b: list[tuple[int, int, int, bytes]] | None, percent: int) -> list[tuple[int, int]]:
+    """Links between sets (id, n, component, n-grams) of two tiles, or within one, that join different components.
+
+    Enough links to join every two components that any link does; not all links.
+    """
+    members = a + (b or [])
+    key = np.concatenate([np.frombuffer(m[3], np.uint64) for m in members])
+    row = np.repeat(np.arange(len(members)), [len(m[3]) // 8 for m in members])
+    order = np.argsort(key, kind="stable")
+    key, row = key[order], row[order]
+    column = np.cumsum(np.append(False, key[1:] != key[:-1]))
+    held = np.bincount(column)
+    some = held[column] > 1
+    row, column = row[some], np.cumsum(held > 1)[column[some]] - 1
+    split = len(a)
+    overlap = np.zeros((split, len(members) - split if b else split), np.float32)
+    for first in range(0, int(column.max(initial=-1)) + 1, TILE_COLUMNS):
+        part = slice(*np.searchsorted(column, [first, first + TILE_COLUMNS]))
+        has = np.zeros((len(members), TILE_COLUMNS), np.float32)
+        has[row[part], column[part] - first] = 1
+        overlap += has[:split] @ (has[split:] if b else has).T
+    n = np.array([m[1] for m in members], np.int64)
+    component = np.array([m[2] for m in members], np.int64)
+    n_b, of_b, others = (n[split:], component[split:], b) if b else (n, component, a)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    out = []
+    for i in range(split):
+        o = overlap[i].astype(np.int64)
+        linked = (100 * o >= percent * (n[i] + n_b - o)) & (of_b != component[i])
+        found, at = np.unique(of_b[linked], return_index=True)
+        for other, j in zip(found.tolist(), np.flatnonzero(linked)[at].tolist(), strict=True):
+            x, y = root(int(component[i])), root(other)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((a[i][0], others[j][0]))
+    return out
+
+
+def _tile(rule: Rule):
+    def run(table: pa.Table) -> pa.Table:
+        raw = table.select(["set_id", "n", "component", "grams", "side", "alone"]).to_pydict()
+        rows = list(zip(raw["set_id"], raw["n"], raw["component"], raw["grams"], strict=True))
+        sides = [[r for r, s in zip(rows, raw["side"], strict=True) if s == k] for k in (0, 1)]
+        found = tile_links(sides[0], None, rule.percent) if raw["alone"][0] else tile_links(*sides, rule.percent) if all(sides) else []
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _between_tiles(entries: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links between sets of different components that share an n-gram, by tiles.
+
+    ``entries``: gram, set_id, n, component.  N-grams of one family are shared by
+    the same sets, so the sets that a chain of n-grams connects are dealt with
+    once, as one cluster, and not for each n-gram.  Sets of a cluster's largest
+    component are not compared with each other, only with the rest, and the rest
+    among themselves.  A set falls into a tile by its hash.
+    """
+    hub = entries.groupBy("gram").agg(F.min("set_id").alias("a"))
+    of = staged(components(entries.join(hub, "gram").select("a", F.col("set_id").alias("b"))), "clusters")
+    placed = staged(entries.select("set_id", "n", "component").distinct().join(of.select(F.col("node").alias("set_id"), F.col("component").alias("cluster")), "set_id"), "clustered")
+    weight = F.sum(F.lit(1.0) / TILE_SETS + F.col("n") / TILE_GRAMS)
+    by_component = placed.groupBy("cluster", "component").agg(weight.alias("weight"))
+    shape = by_component.groupBy("cluster").agg(F.max(F.struct("weight", "component")).alias("top"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    shape = shape.select("cluster", F.col("top.component").alias("main"), F.ceil("top.weight").cast("int").alias("main_tiles"), F.greatest(F.lit(1), F.ceil(F.col("weight") - F.col("top.weight"))).cast("int").alias("rest_tiles"))
+    main = F.col("component") == F.col("main")
+    tiled = placed.join(shape, "cluster").withColumn("tile", F.pmod(F.xxhash64("set_id"), F.when(main, F.col("main_tiles")).otherwise(F.col("rest_tiles"))).cast("int"))
+    # What a set takes part in: (kind, tile, other tile, its side); kind 0: rest with rest, 1: rest with main.
+    cells = F.expr("""
+        IF(component = main,
+           transform(sequence(0, rest_tiles - 1), i -> struct(1 AS kind, i AS x, tile AS y, 1 AS side)),
+           concat(transform(sequence(0, rest_tiles - 1), i -> struct(0 AS kind, least(i, tile) AS x, greatest(i, tile) AS y, IF(tile <= i, 0, 1) AS side)),
+                  transform(sequence(0, main_tiles - 1), i -> struct(1 AS kind, tile AS x, i AS y, 0 AS side))))""")
+    dealt = tiled.select("cluster", "set_id", "n", "component", F.explode(cells).alias("cell")).select("cluster", "set_id", "n", "component", "cell.*").withColumn("alone", (F.col("kind") == 0) & (F.col("x") == F.col("y")))
+    return dealt.join(sets.select("set_id", "grams"), "set_id").groupBy("cluster", "kind", "x", "y").applyInArrow(_tile(rule), "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, content (hash of the text), n_shingles, component_id and stays of every document (doc_id long, text).
 
@@ -251,13 +343,14 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     links = staged(_compared(star, segments, sizes, rule), "links")
     of = staged(components(links), "components")
 
-    # Sets that share a prefix n-gram and are not joined yet: every such pair is compared, whatever their number.
+    # Sets that share a prefix n-gram and are not joined yet: all of them are compared, whatever their number.
     placed = prefix.join(of.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    apart = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("gram")
-    open_ = staged(placed.join(apart, "gram"), "apart")
-    x, y = open_.select("gram", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a")), open_.select("gram", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
+    shares = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("gram").agg(F.sum("m").alias("many"), F.max(F.struct("m", "component")).alias("top")).where("many > top.m")
+    open_ = staged(placed.join(shares.select("gram", "many"), "gram"), "apart")
+    few, many = open_.where(F.col("many") <= FEW), open_.where(F.col("many") > FEW)
+    x, y = few.select("gram", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a")), few.select("gram", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
     rest = x.join(y, "gram").where("a < b and of_a <> of_b").where(100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b")).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = staged(_compared(rest, segments, sizes, rule), "links")
+    more = staged(_compared(rest, segments, sizes, rule).union(_between_tiles(many.drop("many"), kept, rule)), "links")
     of = staged(components(links.union(more)), "components")
 
     member_of = sets.select("set_id", "n", "name_a", "name_b").join(named.withColumnRenamed("set_id", "node"), ["n", "name_a", "name_b"]).select("set_id", "node")
