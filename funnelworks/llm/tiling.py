@@ -133,7 +133,7 @@ def _free_runs(used: np.ndarray, size: int) -> np.ndarray:
 
 def _powers(n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[1], np.full(n, 0x9E3779B97F4A7C15, np.uint64)]).astype(np.uint64))
+        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, 0x9E3779B97F4A7C15, np.uint64)]))
 
 
 def _rolling(tokens: np.ndarray, powers: np.ndarray, size: int) -> np.ndarray:
