@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import partitions, staged
+from .store import partitions, sent, staged
 from .words import WordTable, hash_words, text_chunks
 
 #: Words of the vocabulary; with the unknown word and the two ends of a text an id has 16 bits.
@@ -53,7 +53,7 @@ class Calibration:
     Classes and languages with under ``least`` of them use the next wider group.
     """
 
-    quantile: float = 0.995
+    quantile: float = 0.998
     least: int = 100
 
 
@@ -303,7 +303,7 @@ def _requests(vocab: np.ndarray, log_q: np.ndarray, log_g: np.ndarray, bits: np.
             some = (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
             held_keys.append(key[some])
             held_refs.append((text[some] + number).astype(np.uint32))
-            columns = [[0] * many, [(block * 7919) % shards] * many, [block] * many, range(number, number + many), rows.column(0), rows.column(1), n, base] + [[None] * many] * 3
+            columns = [[0] * many, [(block * 7919 + i) % shards for i in range(many)], [block] * many, range(number, number + many), rows.column(0), rows.column(1), n, base] + [[None] * many] * 3
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
             number += many
         if not held_keys:
@@ -405,7 +405,8 @@ def perplexities(documents: DataFrame, trusted: DataFrame, calibration: Calibrat
     held = trusted_only(scored.where("log_perplexity is not null"), trusted.where(aside))
 
     def quantiles(name: str, *keys: str) -> DataFrame:
-        return held.groupBy(*keys).agg(F.percentile_approx("log_perplexity", calibration.quantile, 10000).alias(name), F.count(F.lit(1)).alias("of")).where(F.col("of") >= calibration.least).drop("of")
+        groups = held.groupBy(*keys).agg(F.percentile_approx("log_perplexity", calibration.quantile, 10000).alias(name), F.count(F.lit(1)).alias("of")).where(F.col("of") >= calibration.least).drop("of")
+        return sent(staged(groups, "quantiles"))
 
     overall = held.agg(F.percentile_approx("log_perplexity", calibration.quantile, 10000)).first()[0]
     out = scored.join(quantiles("by_length", "lang", "length"), ["lang", "length"], "left").join(quantiles("by_lang", "lang"), "lang", "left")
