@@ -201,7 +201,7 @@ def judge(measured: DataFrame, rules: FertilityRules = FertilityRules()) -> Data
     slack = lambda x: F.lit(rules.byte_share_slack) if x == "byte_share" else F.lit(rules.slack) * F.col(f"{x}_mid")
     outside = F.lit(False)
     for x in names:
-        far = off(x) > rules.width * F.col(f"{x}_dev") / F.sqrt("n_tokens") + slack(x)
+        far = off(x) > rules.width * F.col(f"{x}_dev") / F.sqrt(n) + slack(x)
         outside = outside | (far if x != "byte_share" else far & (F.col(x) > F.col(f"{x}_mid")))
     judged = measured.join(bands, "band", "left").withColumn("out_of_band", F.coalesce(outside & long, F.lit(False)))
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("out_of_band"))
