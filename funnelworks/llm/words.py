@@ -32,6 +32,11 @@ def text_bytes(text: str | None) -> bytes:
     return text.encode() if text else b""
 
 
+def _kept() -> dict[tuple, WordTable]:
+    """Of this worker process."""
+    return sys.modules.setdefault("_funnelworks_worker", types.ModuleType("_funnelworks_worker")).__dict__.setdefault("tables", {})
+
+
 class WordTable:
     """Numbers the distinct words of a task and keeps arrays of what ``describe`` says of each.
 
@@ -39,6 +44,7 @@ class WordTable:
     """
 
     def __init__(self, describe: Callable[[list[bytes]], tuple[np.ndarray, ...]], most: int = MOST_WORDS):
+        _kept().clear()  # a worker that goes on to another operator holds no table of the one before
         self.describe, self.most = describe, most
         self._restart()
 
@@ -79,11 +85,10 @@ def kept_in_worker(key: tuple, make: Callable[[], WordTable]) -> WordTable:
 
     What a table says of a word depends on ``key`` alone, so results do not depend on which worker runs a task.
     """
-    held = sys.modules.setdefault("_funnelworks_worker", types.ModuleType("_funnelworks_worker")).__dict__.setdefault("tables", {})
-    if key not in held:
-        held.clear()  # one at a time: the memory of a worker stays that of one table
-        held[key] = make()
-    return held[key]
+    if key not in _kept():
+        table = make()  # drops the table that was kept: the memory of a worker stays that of one
+        _kept()[key] = table
+    return _kept()[key]
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
