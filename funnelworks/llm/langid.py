@@ -40,7 +40,7 @@ MOST_PER_WORD = 6.0
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram buckets of all words' letters, lower-cased and marked at both ends, and the word of each."""
-    cleaned = ["".join(c for c in w.decode().lower() if c.isalpha()) for w in words]
+    cleaned = [scripts.letters_of(w).lower() for w in words]
     text = "".join(f"\x02{w}\x03" for w in cleaned)
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     word = np.repeat(np.arange(len(words)), [len(w) + 2 for w in cleaned]) if words else np.empty(0, np.int64)
@@ -169,25 +169,26 @@ def viterbi(score: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     n, many = score.shape
     if not n:
         return np.empty(0, np.int8)
-    totals = score.sum(0, dtype=np.float64)
-    best = int(totals.argmax())
+    best = int(score.sum(0, dtype=np.float64).argmax())
     # If no stretch of words gains a switch against the best single language, that language is the best path.
-    gain = np.cumsum(score - score[:, best : best + 1], 0, dtype=np.float64)
-    floor = np.minimum.accumulate(np.concatenate([np.zeros((1, many)), gain[:-1]]), 0)
-    if (gain - floor).max() <= switch:
+    ahead = np.ascontiguousarray((score - score[:, best : best + 1]).T, np.float64)
+    if np.maximum(ahead, 0).sum(1).max() <= switch:
         return np.full(n, best, np.int8)
-    came = np.empty((n, many), np.int8)
-    state, own = score[0].astype(np.float64), np.arange(many, dtype=np.int8)
-    for t in range(1, n):
-        top = int(state.argmax())
-        other = state[top] - switch
-        came[t] = np.where(state >= other, own, top)
-        state = np.maximum(state, other) + score[t]
-    path = np.empty(n, np.int8)
-    path[-1] = state.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = came[t, path[t]]
-    return path
+    gain = np.concatenate([np.zeros((many, 1)), np.cumsum(ahead, 1)], 1)
+    if (gain - np.minimum.accumulate(gain, 1)).max() <= switch:
+        return np.full(n, best, np.int8)
+    # Few languages: plain lists are faster here than arrays of a few numbers.
+    rows = score.tolist()
+    state, came = rows[0], []
+    for row in rows[1:]:
+        high = max(state)
+        top, other = state.index(high), high - switch
+        came.append([k if x >= other else top for k, x in enumerate(state)])
+        state = [(x if x >= other else other) + y for x, y in zip(state, row, strict=True)]
+    path = [state.index(max(state))]
+    for step in reversed(came):
+        path.append(step[path[-1]])
+    return np.array(path[::-1], np.int8)
 
 
 def _label(model: LanguageModel, schema: pa.Schema):

@@ -10,6 +10,7 @@ RANGES = (
     (0x0061, 0x007A, "latin"),
     (0x00AA, 0x00AA, "latin"),
     (0x00BA, 0x00BA, "latin"),
+    (0x00B5, 0x00B5, "latin"),
     (0x00C0, 0x024F, "latin"),
     (0x0250, 0x02AF, "latin"),
     (0x0370, 0x03FF, "greek"),
@@ -51,16 +52,27 @@ def script_of(char: str) -> int:
     return next((_NUMBER[name] for a, b, name in RANGES if a <= c <= b), OTHER)
 
 
+_NO_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
+#: Letters below this one are Latin.
+_AFTER_LATIN = "\u0250"
+
+
+def letters_of(word: bytes) -> str:
+    """The letters of a word, as written."""
+    text = word.translate(None, _NO_LETTERS).decode()
+    return text if not text or text.isalpha() else "".join(filter(str.isalpha, text))
+
+
 def letters_by_script(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each word: how many letters it has, and the script of most of them (the first of equals)."""
     letters, scripts = np.zeros(len(words), np.int32), np.full(len(words), OTHER, np.int8)
     for i, raw in enumerate(words):
-        if raw.isalpha():  # ASCII only
-            letters[i], scripts[i] = len(raw), 0
-            continue
-        word = [c for c in raw.decode() if c.isalpha()]
-        letters[i] = len(word)
+        word = letters_of(raw)
         if word:
-            of = [script_of(c) for c in word]
-            scripts[i] = of[0] if of.count(of[0]) == len(of) else max(dict.fromkeys(of), key=of.count)
+            letters[i] = len(word)
+            if max(word) < _AFTER_LATIN:
+                scripts[i] = 0
+            else:
+                of = [script_of(c) for c in word]
+                scripts[i] = max(dict.fromkeys(of), key=of.count)
     return letters, scripts
