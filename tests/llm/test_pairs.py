@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from funnelworks.llm.chaining import Chaining, Fenwick, chain, cut_words, minimizers, repeated_passages, without_repeats
+from funnelworks.llm.chaining import Chaining, Fenwick, aligned_parts, chain, cut_words, minimizers, repeated_passages, without_repeats
 from funnelworks.llm.components import components
 from funnelworks.llm.jaccard import Rule, near_duplicates, tile_links
 from funnelworks.llm.tiling import Tiling, leaks, tile
@@ -255,6 +255,34 @@ def test_repeated_passages(spark):
     assert repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_parts_of_a_chain_that_does_not_align(spark):
+    rng, rule = random.Random(21), Chaining()
+    prose = lambda n: [f"w{rng.randint(0, 10**7)}" for _ in range(n)]
+    rows, want = [], {}
+    for k, (gap, n) in enumerate([(30, 60), (65, 60), (120, 60), (250, 60), (65, 200), (200, 200), (30, 200)]):
+        one, two = prose(n), prose(n)
+        rows += [(2 * k, " ".join(one + prose(gap) + two)), (2 * k + 1, " ".join(one + prose(gap) + two))]
+        want[2 * k + 1] = [*range(n), *range(n + gap, 2 * n + gap)]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), rule).collect()
+    for i, words in want.items():
+        mine = [r for r in got if r["doc_id"] == i]
+        assert set(words) <= {w for r in mine for w in range(r["start"], r["end"])} and all(r["identity"] >= 0.8 for r in mine)
+    # 30 + 10 + 30 words are a passage; the gap within it costs more than those of the tail, at which no part is one.
+    a, b, anchors, at = [], [], [], 0
+    for n, gap in [(30, 10), (30, 9)] + [(6, 9)] * 12:
+        same = [rng.randint(0, 10**9) for _ in range(n)]
+        a += same + [rng.randint(0, 10**9) for _ in range(gap)]
+        b += same + [rng.randint(0, 10**9) for _ in range(gap)]
+        anchors.append((at, at, n))
+        at += n + gap
+    ((s, e, *_, identity),) = aligned_parts(np.array(a), np.array(b), np.array(anchors), rule)
+    assert s == 0 and e >= 70 and identity >= 0.8
+    # The same, found as one anchor.
+    ((s, e, *_),) = aligned_parts(np.array(a), np.array(b), np.array([(0, 0, len(a))]), rule)
+    assert s == 0 and e >= 70
+    assert not aligned_parts(np.array(a[80:]), np.array(b[80:]), np.array([(0, 0, len(a) - 80)]), rule)
+
+
 def test_cuts(spark):
     assert cut_words(b"a b  c\nd e", [(1, 3)]) == b"a \nd e"
     assert cut_words(b" a b ", [(0, 2)]) == b"  "
