@@ -1,9 +1,9 @@
 """Perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is a bigram model over a closed vocabulary: the most frequent words of
-the trusted text, up to ``MOST_WORDS``; every other word is one unknown word.
-What is known of a single word (its continuation probability, the mass a history
-leaves to the lower order) is an array over the vocabulary, of bounded size.
+The model is a bigram model over all words of the trusted text; every other word
+is one unknown word.  What is known of a single word (its continuation
+probability, the mass a history leaves to the lower order) is an array over the
+vocabulary, which grows with the distinct words of the trusted text.
 The bigram counts grow with the trusted text; they stay sharded by history.
 Blocks of documents send the shards the bigrams that may have been seen, and the
 shards send back, for each document, the sum of what those add to the lower
@@ -15,8 +15,9 @@ With c(hw) a count, D its discount, N a number of distinct words:
     p(w|h) = (c(hw) - D) / c(h) + g(h) q(w),    g(h) = (D1 N1(h) + D2 N2(h) + D3 N3+(h)) / c(h)
     q(w)   = (N(.w) - D') / N(..) + g' / V
 
-The unknown word stands for all the trusted words outside the vocabulary, and its
-probability is shared equally among them, else text of unknown words looks likely.
+If the vocabulary is limited (``most_words``), the unknown word stands for all the
+trusted words outside it, and its probability is shared equally among them, else
+text of unknown words looks likely.
 
 So log p(w|h) = log q(w) + log g(h) for an unseen bigram, and a seen one adds
 log((c - D) / (c(h) g(h) q(w)) + 1) to that.  After an unseen history p is q.
@@ -24,7 +25,7 @@ log((c - D) / (c(h) g(h) q(w)) + 1) to that.  After an unseen history p is q.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,8 +37,6 @@ from pyspark.sql import functions as F
 from .store import partitions, sent, staged
 from .words import WordTable, hash_words, text_chunks
 
-#: Words of the vocabulary; with the unknown word and the two ends of a text an id has 16 bits.
-MOST_WORDS = 65_000
 UNKNOWN, BEGIN, END, FIRST = 0, 1, 2, 3
 #: Bits of the filter that keeps bigrams which the trusted text lacks out of the exchange: a fixed size.
 FILTER_BITS = 1 << 26
@@ -76,11 +75,42 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[start], np.add.reduceat(counts, start) if len(start) else counts
 
 
+def _bigrams(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return h.astype(np.uint64) << np.uint64(32) | w
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The lowest bytes of all 32-bit numbers, then the next ones: high bytes, which are mostly equal, compress."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _bigram_bytes(keys: np.ndarray) -> bytes:
+    """Sorted bigrams: the steps between histories, and the words."""
+    return _planes(np.diff(keys >> np.uint64(32), prepend=np.uint64(0))) + _planes(keys & np.uint64(0xFFFFFFFF))
+
+
+def _bigrams_of(raw: bytes) -> np.ndarray:
+    half = len(raw) // 2
+    return _bigrams(np.cumsum(_from_planes(raw[:half]), dtype=np.uint64), _from_planes(raw[half:]))
+
+
+def _hash_bytes(keys: np.ndarray) -> bytes:
+    return keys.tobytes()
+
+
+def _hashes_of(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
 _COUNTS = "shard int, keys binary, counts binary"
 
 
-def _packed(shard: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.astype(np.uint32).tobytes()], pa.binary())], names=["shard", "keys", "counts"])
+def _packed(shard: int, keys: bytes, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([keys], pa.binary()), pa.array([_planes(counts)], pa.binary())], names=["shard", "keys", "counts"])
 
 
 def _word_counts(shards: int):
@@ -101,16 +131,21 @@ def _word_counts(shards: int):
             cut = np.searchsorted(keys, np.array([(s << 64) // shards for s in range(shards)], np.uint64)).tolist() + [len(keys)]
             for s in range(shards):
                 if cut[s] < cut[s + 1]:
-                    yield _packed(s, keys[cut[s] : cut[s + 1]], counts[cut[s] : cut[s + 1]])
+                    yield _packed(s, _hash_bytes(keys[cut[s] : cut[s + 1]]), counts[cut[s] : cut[s + 1]])
 
     return run
 
 
-def _added(kind: type):
+def _unpacked(raw: dict, of: Callable[[bytes], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([of(k) for k in raw["keys"]]), np.concatenate([_from_planes(c) for c in raw["counts"]])
+
+
+def _added(to: Callable[[np.ndarray], bytes], of: Callable[[bytes], np.ndarray]):
     def run(table: pa.Table) -> pa.Table:
         raw = table.to_pydict()
-        keys, counts = _merged(np.frombuffer(b"".join(raw["keys"]), kind), np.frombuffer(b"".join(raw["counts"]), np.uint32).astype(np.int64))
-        return pa.Table.from_batches([_packed(raw["shard"][0], keys, counts)])
+        keys, counts = _unpacked(raw, of)
+        keys, counts = _merged(keys, counts.astype(np.int64))
+        return pa.Table.from_batches([_packed(raw["shard"][0], to(keys), counts)])
 
     return run
 
@@ -119,7 +154,7 @@ def _of_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many keys have each count."""
     for b in batches:
         for raw in b.column("counts"):
-            value, n = _runs(np.frombuffer(raw.as_buffer(), np.uint32))
+            value, n = _runs(_from_planes(raw.as_buffer()))
             yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(n)], names=["value", "n"])
 
 
@@ -127,21 +162,21 @@ def _frequent(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, c in zip(b.column("keys"), b.column("counts"), strict=True):
-                some = np.frombuffer(k.as_buffer(), np.uint64)[np.frombuffer(c.as_buffer(), np.uint32) >= least]
+                some = np.frombuffer(k.as_buffer(), np.uint64)[_from_planes(c.as_buffer()) >= least]
                 yield pa.RecordBatch.from_arrays([pa.array([some.tobytes()], pa.binary())], names=["keys"])
 
     return run
 
 
-def vocabulary(texts: DataFrame, most: int = MOST_WORDS) -> tuple[np.ndarray, int]:
-    """Sorted hashes of the words of all texts that occur at least so often that no more than ``most`` do; how many distinct words are left out."""
+def vocabulary(texts: DataFrame, most: int | None = None) -> tuple[np.ndarray, int]:
+    """Sorted hashes of the words of all texts, or of those that occur at least so often that no more than ``most`` do; how many distinct words are left out."""
     shards = partitions(texts.sparkSession)
-    counts = staged(texts.select("text").mapInArrow(_word_counts(shards), _COUNTS).groupBy("shard").applyInArrow(_added(np.uint64), _COUNTS), "words")
+    counts = staged(texts.select("text").mapInArrow(_word_counts(shards), _COUNTS).groupBy("shard").applyInArrow(_added(_hash_bytes, _hashes_of), _COUNTS), "words")
     # Distinct counts are few: there are at most sqrt(2 x words) of them.
     histogram = sorted(((r["value"], r["n"]) for r in counts.mapInArrow(_of_counts, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).collect()), reverse=True)
     least, held = 1 << 62, 0
     for value, n in histogram:
-        if held + n > most:
+        if most is not None and held + n > most:
             break
         least, held = value, held + n
     rows = counts.mapInArrow(_frequent(min(least, (1 << 32) - 1)), "keys binary").collect()
@@ -183,18 +218,18 @@ def _bigram_counts(vocab: np.ndarray, shards: int):
         table, held = _Ids(vocab), []
         for _, texts in text_chunks(batches):
             h, w, _ = table.bigrams(texts)
-            held.append(_runs(h << np.uint32(16) | w))
+            held.append(_runs(_bigrams(h, w)))
             if len(held) > 32:
                 held = [_merged(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
         if held:
             keys, counts = _merged(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            shard = _shard_of(keys >> np.uint32(16), shards)
+            shard = _shard_of(keys >> np.uint64(32), shards)
             order = np.argsort(shard, kind="stable")
             keys, counts, shard = keys[order], counts[order], shard[order]
             cut = np.searchsorted(shard, np.arange(shards + 1))
             for s in range(shards):
                 if cut[s] < cut[s + 1]:
-                    yield _packed(s, keys[cut[s] : cut[s + 1]], counts[cut[s] : cut[s + 1]])
+                    yield _packed(s, _bigram_bytes(keys[cut[s] : cut[s + 1]]), counts[cut[s] : cut[s + 1]])
 
     return run
 
@@ -202,26 +237,34 @@ def _bigram_counts(vocab: np.ndarray, shards: int):
 _PARTS = 64
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _padded(ids: int) -> int:
+    return -(-ids // _PARTS) * _PARTS
+
+
+def _statistics(ids: int):
     """Arrays over all ids, in parts: tokens and distinct words after each history by count, distinct histories of each word; the counts of counts; the filter's bits."""
-    made = {"tokens": np.zeros(1 << 16, np.int64), "one": np.zeros(1 << 16, np.int64), "two": np.zeros(1 << 16, np.int64), "more": np.zeros(1 << 16, np.int64), "before": np.zeros(1 << 16, np.int64), "of": np.zeros(_PARTS, np.int64)}
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for b in batches:
-        for k, c in zip(b.column("keys"), b.column("counts"), strict=True):
-            key, count = np.frombuffer(k.as_buffer(), np.uint32), np.frombuffer(c.as_buffer(), np.uint32)
-            h, w = key >> np.uint32(16), key & np.uint32(0xFFFF)
-            made["tokens"] += np.bincount(h, count, 1 << 16).astype(np.int64)
-            for name, some in (("one", count == 1), ("two", count == 2), ("more", count > 2)):
-                made[name] += np.bincount(h[some], minlength=1 << 16)
-            made["before"] += np.bincount(w, minlength=1 << 16)
-            made["of"][1:5] += np.bincount(count[count < 5], minlength=5)[1:5]
-            slot = _slot(key)
-            np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-    for name, x in [*made.items(), ("bits", bits.view(np.int64))]:
-        size = len(x) // _PARTS
-        for i in range(_PARTS):
-            if x[i * size : (i + 1) * size].any():
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int32()), pa.array([x[i * size : (i + 1) * size].tobytes()], pa.binary())], names=["name", "part", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = {name: np.zeros(_padded(ids), np.int64) for name in ("tokens", "one", "two", "more", "before")} | {"of": np.zeros(_PARTS, np.int64)}
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for b in batches:
+            for k, c in zip(b.column("keys"), b.column("counts"), strict=True):
+                key, count = _bigrams_of(k.as_py()), _from_planes(c.as_buffer())
+                h, w = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                made["tokens"] += np.bincount(h, count, _padded(ids)).astype(np.int64)
+                for name, some in (("one", count == 1), ("two", count == 2), ("more", count > 2)):
+                    made[name] += np.bincount(h[some], minlength=_padded(ids))
+                made["before"] += np.bincount(w, minlength=_padded(ids))
+                made["of"][1:5] += np.bincount(count[count < 5], minlength=5)[1:5]
+                slot = _slot(key)
+                np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+        for name, x in [*made.items(), ("bits", bits.view(np.int64))]:
+            size = len(x) // _PARTS
+            for i in range(_PARTS):
+                if x[i * size : (i + 1) * size].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int32()), pa.array([x[i * size : (i + 1) * size].tobytes()], pa.binary())], names=["name", "part", "x"])
+
+    return run
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
@@ -259,13 +302,14 @@ class Model:
     counts: DataFrame
 
 
-def train(texts: DataFrame, most_words: int = MOST_WORDS) -> Model:
+def train(texts: DataFrame, most_words: int | None = None) -> Model:
     """Count all of ``texts`` (text); null texts and texts without words say nothing."""
     vocab, unknown_words = vocabulary(texts, most_words)
     shards = partitions(texts.sparkSession)
-    counts = staged(texts.select("text").mapInArrow(_bigram_counts(vocab, shards), _COUNTS).groupBy("shard").applyInArrow(_added(np.uint32), _COUNTS), "bigrams")
-    got = counts.mapInArrow(_statistics, "name string, part int, x binary").groupBy("name", "part").applyInArrow(_summed, "name string, part int, x binary").collect()
-    arrays = {name: np.zeros(1 << 16, np.int64) for name in ("tokens", "one", "two", "more", "before")} | {"of": np.zeros(_PARTS, np.int64), "bits": np.zeros(FILTER_BITS // 64, np.int64)}
+    counts = staged(texts.select("text").mapInArrow(_bigram_counts(vocab, shards), _COUNTS).groupBy("shard").applyInArrow(_added(_bigram_bytes, _bigrams_of), _COUNTS), "bigrams")
+    size = len(vocab) + FIRST
+    got = counts.mapInArrow(_statistics(size), "name string, part int, x binary").groupBy("name", "part").applyInArrow(_summed, "name string, part int, x binary").collect()
+    arrays = {name: np.zeros(_padded(size), np.int64) for name in ("tokens", "one", "two", "more", "before")} | {"of": np.zeros(_PARTS, np.int64), "bits": np.zeros(FILTER_BITS // 64, np.int64)}
     for r in got:
         x = np.frombuffer(r["x"], np.int64)
         arrays[r["name"]][r["part"] * len(x) : (r["part"] + 1) * len(x)] = x
@@ -274,7 +318,6 @@ def train(texts: DataFrame, most_words: int = MOST_WORDS) -> Model:
     lower = discounts(*(int((before == k).sum()) for k in (1, 2, 3, 4)))
     total = max(before.sum(), 1.0)
     taken = np.select([before == 0, before == 1, before == 2], [0.0, lower[0], lower[1]], lower[2])
-    size = len(vocab) + FIRST
     q = (before - taken) / total + (taken.sum() / total if before.any() else 1.0) / size
     history = np.maximum(arrays["tokens"], 1)
     g = (d[0] * arrays["one"] + d[1] * arrays["two"] + d[2] * arrays["more"]) / history
@@ -298,7 +341,7 @@ def _requests(vocab: np.ndarray, log_q: np.ndarray, log_g: np.ndarray, bits: np.
             many = len(texts)
             n = np.bincount(text, minlength=many)
             base = np.bincount(text, log_q[w] + log_g[h], many)
-            key = h << np.uint32(16) | w
+            key = _bigrams(h, w)
             slot = _slot(key)
             some = (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
             held_keys.append(key[some])
@@ -311,16 +354,18 @@ def _requests(vocab: np.ndarray, log_q: np.ndarray, log_g: np.ndarray, bits: np.
         key, ref = np.concatenate(held_keys), np.concatenate(held_refs)
         held_keys.clear()
         held_refs.clear()
-        shard = _shard_of(key >> np.uint32(16), shards)
-        order = np.lexsort((ref, key, shard)) if len(key) < 1 << 20 else np.argsort(shard.astype(np.uint64) << np.uint64(32) | key, kind="stable")
-        key, ref, shard = key[order], ref[order], shard[order]
+        order = np.argsort(key, kind="stable")  # refs ascend already
+        shard = _shard_of(key[order] >> np.uint64(32), shards).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+        by_shard = np.argsort(shard, kind="stable")
+        order, shard = order[by_shard], shard[by_shard]
+        key, ref = key[order], ref[order]
         cut = np.searchsorted(shard, np.arange(shards + 1))
         narrow = np.uint16 if number <= 1 << 16 else np.uint32
         for s in range(shards):
             part = key[cut[s] : cut[s + 1]]
             if len(part):
                 start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                row = [1, s, block, int(narrow == np.uint32), None, None, len(part), None, part[start].tobytes(), np.diff(np.append(start, len(part))).astype(np.uint32).tobytes(), ref[cut[s] : cut[s + 1]].astype(narrow).tobytes()]
+                row = [1, s, block, int(narrow == np.uint32), None, None, len(part), None, _bigram_bytes(part[start]), _planes(np.diff(np.append(start, len(part)))), ref[cut[s] : cut[s + 1]].astype(narrow).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
     return run
@@ -334,18 +379,18 @@ def _answers(q: np.ndarray, log_g: np.ndarray, tokens: np.ndarray, d: tuple[floa
         out = [asked.filter(pa.array(kind == 0)).cast(schema)]
         if counts.num_rows:
             raw = counts.to_pydict()
-            key, count = np.frombuffer(b"".join(raw["keys"]), np.uint32), np.frombuffer(b"".join(raw["counts"]), np.uint32)
+            key, count = _unpacked(raw, _bigrams_of)
             order = np.argsort(key)
             key, count = key[order], count[order].astype(float)
-            h, w = key >> np.uint32(16), key & np.uint32(0xFFFF)
+            h, w = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
             share = (count - np.select([count == 1, count == 2], d[:2], d[2])) / tokens[h]
             more = np.log(share / (np.exp(log_g[h]) * q[w]) + 1)
             for r in asked.filter(pa.array(kind == 1)).to_pylist():
-                k = np.frombuffer(r["keys"], np.uint32)
+                k = _bigrams_of(r["keys"])
                 at = np.minimum(np.searchsorted(key, k), len(key) - 1)
                 gain = np.where(key[at] == k, more[at], 0.0)
                 ref = np.frombuffer(r["refs"], np.uint32 if r["local"] else np.uint16)
-                each = np.bincount(ref, np.repeat(gain, np.frombuffer(r["counts"], np.uint32)))
+                each = np.bincount(ref, np.repeat(gain, _from_planes(r["counts"])))
                 some = np.flatnonzero(each)
                 row = [1, r["shard"], r["block"], r["local"], None, None, len(some), None, each[some].astype(np.float32).tobytes(), None, some.astype(np.uint32).tobytes()]
                 out.append(pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema))

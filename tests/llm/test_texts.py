@@ -120,6 +120,16 @@ def test_perplexity_against_brute_force(spark, most):
         assert got[i]["n_tokens"] == (len(texts[i].split()) + 1 if texts[i] and texts[i].split() else 0)
 
 
+def test_all_trusted_words_count(spark):
+    words = [f"w{i}" for i in range(70_000)]
+    train = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in train], "text string"))
+    assert len(model.vocabulary) == len(words)
+    texts = ["w50 w51", "w69950 w69951", "w50 w52", "w50 other"]
+    got = {r["doc_id"]: r["log_probability"] for r in kneser_ney.score(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string"), model).collect()}
+    assert got[0] == pytest.approx(got[1]) and got[0] > got[2] > got[3]
+
+
 def test_perplexity_thresholds(spark):
     rng = random.Random(9)
     good = lambda: " ".join(rng.choices(["the", "cat", "sat", "on", "a", "mat"], k=40))
