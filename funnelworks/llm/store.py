@@ -1,25 +1,32 @@
-"""Intermediate tables in the folder that the whole cluster shares.
+"""Intermediate tables in the folder that the whole cluster shares, and other dealings with Spark that operators have in common.
 
 Cutting a lineage by a written table survives the loss of any executor: the
 files are in ``spark.checkpoint.dir``, which the cluster names, and a later
-read needs nothing from the executors that wrote them.
+read needs nothing from the executors that wrote them.  A table goes (``dropped``)
+as soon as the tables made of it are written; what a result still reads stays
+until ``clear``.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests, local mode)."""
+    """The cluster's shared folder; a temporary one only where none is set and Spark is local."""
     where = spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(_CHECKPOINT_DIR)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{_CHECKPOINT_DIR} has to name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="funnelworks-")
         spark.conf.set(_CHECKPOINT_DIR, where)
     return where.rstrip("/")
@@ -31,7 +38,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/funnelworks/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     # The schema is known: no job that reads footers to infer it, and an empty table keeps its columns.
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged_at = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete staged tables (as ``staged`` returned them); nothing may read them any more.
+
+    The files of shuffles that only made them go as well, as soon as the driver has collected its garbage.
+    """
+    for table in tables:
+        _delete(table.sparkSession, table._staged_at)
+    for table in tables[:1]:
+        table.sparkSession._jvm.System.gc()
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that operators have left in the shared folder; results that were not written or collected are lost."""
+    _delete(spark, f"{shared_dir(spark)}/funnelworks")
 
 
 #: Rows (keys with little beside) that are sent to all executors at most; more are joined by a shuffle.
@@ -46,3 +76,60 @@ def sent(keys: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """How many parts a shuffle has in this session; the cluster sizes it to its input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+#: Bytes of files that a part of the key space takes about, at most.
+PART_BYTES = 1 << 26
+_NO_ESTIMATE = 1 << 60
+
+
+def parts_for(documents: DataFrame) -> int:
+    """Parts of the key space for what ``documents`` sends there: the session's number, or more where the input's size asks for it."""
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(documents.sparkSession), size // PART_BYTES if size < _NO_ESTIMATE else 0)
+
+
+def integer_of(table: DataFrame, name: str) -> Column:
+    """A long that stands for the column: integers as they are, else a hash of the value as text; null stays null."""
+    if isinstance(table.schema[name].dataType, IntegralType):
+        return F.col(name).cast("long")
+    return F.when(F.col(name).isNotNull(), F.xxhash64(F.col(name).cast("string")))
+
+
+#: Rows that one task of a tree adds up.
+FAN = 64
+
+
+def added_by_tree(parts: DataFrame, keys: list[str], add: Callable[[list[bytes]], bytes], fan: int = FAN) -> DataFrame:
+    """``parts`` (keys, block, x) with one row for each key: its ``x`` combined by ``add``, ``fan`` blocks at a time.
+
+    ``block`` numbers the tasks that made the rows, each at most one for a key; so no
+    task holds more than ``fan`` values of a key at once, however many tasks there were.
+    """
+    kinds = ", ".join(f"{n} {t}" for n, t in parts.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        x = pa.array([add(table.column("x").to_pylist())], pa.binary())
+        return pa.table([x if n == "x" else table.column(n).slice(0, 1) for n in table.column_names], names=table.column_names)
+
+    last = parts.agg(F.max("block")).first()[0] or 0
+    while True:
+        last //= fan
+        parts = parts.withColumn("block", (F.col("block") / fan).cast("int")).groupBy(*keys, "block").applyInArrow(run, kinds)
+        if not last:
+            return parts
+
+
+#: Bits of ``bit_filter`` by default: a fixed size, whatever is put into it.
+FILTER_BITS = 1 << 24
+
+
+def bit_filter(slots: DataFrame, bits: int = FILTER_BITS):
+    """uint8 array with the bits set that ``slots`` (slot) names; what reaches the driver is bounded by ``bits``."""
+    import numpy as np
+
+    words = slots.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
+    out = np.zeros(bits // 64, np.int64)
+    got = words.toPandas()
+    out[got["word"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64)
+    return out.view(np.uint8)

@@ -2,14 +2,17 @@
 
 import random
 import re
+import time
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from funnelworks.llm.fertility import FertilityRules, judge, measure, quality_rules
 from funnelworks.llm.licences import TEMPLATES, scan_licences
-from funnelworks.llm.sharding import _cells, _joined, histogram, keyed, shard_documents, splitters, write_shards
+from funnelworks.llm.sharding import GROUP_SHARE, TOLERANCE, Histogram, _cells, keyed, shard_documents, splitters, write_shards
 
 PATHS = (public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -85,15 +88,48 @@ def test_shards_are_even_and_gapless(spark, hot):
 def test_histogram_is_exact(spark):
     docs = spark.createDataFrame([(i, "t" * (i % 7)) for i in range(100)], "doc_id long, text string")
     rows = keyed(docs)
-    keys = sorted((_joined(r["hash"], r["tie"]), r["size"]) for r in rows.collect())
-    bounds = [keys[10][0], keys[40][0] + 1, keys[41][0] + 1]
-    size, n = histogram(rows, bounds)
-    assert n == [10, 31, 1, 58] and size == [sum(s for _, s in keys[a:b]) for a, b in ((0, 10), (10, 41), (41, 42), (42, 100))]
-    found = splitters(rows, 4, 1)
-    assert found == sorted(found) and len(found) == 3
-    import numpy as np
-
-    assert _cells(np.array([], np.int64), np.array([], np.int64), bounds).tolist() == []
+    keys = sorted(((r["hash"], r["tie"]), r["size"]) for r in rows.collect())
+    bounds = [keys[10][0], (keys[40][0][0], keys[40][0][1] + 1), (keys[41][0][0], keys[41][0][1] + 1)]
+    found = Histogram(rows, *np.array(bounds, np.int64).T)
+    assert found.n.tolist() == [10, 31, 1, 58] and found.bytes.tolist() == [sum(s for _, s in keys[a:b]) for a, b in ((0, 10), (10, 41), (41, 42), (42, 100))]
+    assert (found.first_hash[2], found.last_tie[2]) == keys[41][0]
+    assert _cells(np.array([], np.int64), np.array([], np.int64), *np.array(bounds, np.int64).T).tolist() == []
+
+
+@pytest.mark.parametrize("shards", [3, 8, 40])
+def test_shards_are_as_near_as_rows_allow_and_keep_copies_together(spark, shards):
+    rng = random.Random(16)
+    texts = [f"{i} " * rng.randint(0, 60) for i in range(1500)]
+    texts += [t for t in texts[:200] for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = shard_documents(docs, shards).collect()
+    mean = sum(r["size"] for r in rows) / shards
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(r["hash"], []).append(r)
+    limit = max(max(r["size"] for r in rows), GROUP_SHARE * mean) + 2 * TOLERANCE * mean
+    for s in range(shards):
+        assert abs(sum(r["size"] for r in rows if r["shard"] == s) - mean) <= limit + max(sum(r["size"] for r in g) for g in by_text.values() if len({r["shard"] for r in g}) == 1)
+    for group in by_text.values():
+        if sum(r["size"] for r in group) <= GROUP_SHARE * mean:
+            assert len({r["shard"] for r in group}) == 1
+
+
+def test_ten_thousand_parts_in_seconds(spark):
+    rows = spark.range(60_000).select((F.pmod(F.xxhash64("id"), F.lit(900)) + 1).alias("size"), F.xxhash64(F.col("id") + 7).alias("hash"), F.col("id").alias("tie")).cache()
+    began = time.time()
+    high, low = splitters(rows, 100, 100)
+    assert time.time() - began < 40
+    assert len(high) == 9999 and (np.diff(high) >= 0).all()
+    sizes = Histogram(rows, high, low).bytes.reshape(100, 100).sum(1)
+    assert abs(sizes - sizes.mean()).max() <= 900 + 2 * TOLERANCE * sizes.mean()
+
+
+def test_text_ids_are_sharded_too(spark):
+    docs = spark.createDataFrame([(f"d{i}", "same text " * 20) for i in range(40)] + [(None, None)], "doc_id string, text string")
+    rows = shard_documents(docs, 4).collect()
+    assert sorted(r["doc_id"] or "" for r in rows) == sorted([f"d{i}" for i in range(40)] + [""])
+    assert all(8 <= sum(r["shard"] == s for r in rows) <= 12 for s in range(4))
 
 
 def test_written_shards_hold_all_documents(spark, tmp_path):
