@@ -4,18 +4,21 @@ The pieces of all documents are tokenised once and staged.  How they are packed
 depends on their lengths alone, and there are at most ``capacity`` lengths, so
 the plan is made on the histogram of lengths: its size is bounded by the
 capacity whatever the corpus, and a pattern (a multiset of lengths) stands for
-all sequences that hold it.  Best-fit decreasing gives a first plan;
-``local_search`` then improves it by swaps.  Executors turn the plan into
-places: the r-th piece of a length takes the r-th place of that length.
+all sequences that hold it.  Next fit gives a first plan, with about a sixth more
+sequences than needed; ``local_search`` empties those by swaps.  Executors turn
+the plan into places: the r-th piece of a length takes the r-th place of that
+length.
 """
 
 from __future__ import annotations
 
+import heapq
 import os
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,6 @@ from .words import WordTable, kept_in_worker, spread, text_chunks
 SEQUENCE_TOKENS = 2048
 #: Ends every document.
 END_ID = 0
-#: Pairs of patterns that the local search looks at: its effort, not a bound on the data.
-SEARCH_TRIES = 100_000
 
 #: Fewer tokenizer calls: ASCII case does not matter to the vocabulary, and a full stop or comma after a letter is a token of its own.
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
@@ -39,20 +40,31 @@ Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 
 class TokenTable(WordTable):
-    """Token ids of distinct words.  The tokenizer never joins over white space, so a text's ids are its words' ids in order."""
+    """Token ids of distinct words.  The tokenizer never joins over white space, so a text's ids are its words' ids in order.
+
+    A text in which a special token is written out is encoded as a whole (``whole``), since that token may stand anywhere in a word.
+    """
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.plain = Tokenizer.from_file(tokenizer_path)
+        self.special = [t.content.encode() for t in self.plain.get_added_tokens_decoder().values()]
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # what only lower-casing makes of a word is no special token
         super().__init__(self._tokens, most=900_000)
 
     def _restart(self) -> None:
         super()._restart()
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
 
+    def whole(self, text: bytes | None) -> np.ndarray | None:
+        """The ids of a text with a special token in it; None for other texts."""
+        if text and any(x in text for x in self.special):
+            return np.array(self.plain.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+        return None
+
     def _tokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         counts, ids = np.zeros(len(words), np.int32), np.empty(0, np.uint32)
         if words:
@@ -76,14 +88,15 @@ def _pieces(tokenizer_path: str, capacity: int, with_ids: bool, schema: pa.Schem
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far: gives a piece its number among them
         for rows, texts in text_chunks(batches):
             table.begin()
-            words = [table.ids(_STOP.sub(rb" \1", t.lower()).split()) if t else np.empty(0, np.int32) for t in texts]
+            apart = [table.whole(t) for t in texts]
+            words = [table.ids(_STOP.sub(rb" \1", t.lower()).split()) if t and x is None else np.empty(0, np.int32) for t, x in zip(texts, apart, strict=True)]
             starts, counts = table.settle()
             every = np.concatenate(words) if words else np.empty(0, np.int32)
             tokens = table.flat[spread(starts[every], counts[every].astype(np.int64))]
             upto = np.concatenate([[0], np.cumsum(counts[every], dtype=np.int64)])[np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)]
             out: list[tuple] = []
             for i in range(len(texts)):
-                ids = np.append(tokens[upto[i] : upto[i + 1]], np.uint32(END_ID)).astype("<u4", copy=False)
+                ids = np.append(tokens[upto[i] : upto[i + 1]] if apart[i] is None else apart[i], np.uint32(END_ID)).astype("<u4", copy=False)
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     raw = ids[at : at + capacity].tobytes()
                     n = len(raw) // 4
@@ -111,122 +124,238 @@ def tokenise(documents: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE
     return documents.select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, capacity, with_ids, schema), kinds)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> Counter[Pattern]:
-    """Best-fit decreasing over a histogram of lengths; patterns and how many sequences have each."""
-    free: list[list[list]] = [[] for _ in range(capacity + 1)]  # by room left: [how many bins, their pattern]
+def next_fit(counts: dict[int, int], capacity: int) -> Counter[Pattern]:
+    """A first plan of a histogram of lengths, longest first: a piece goes into the open sequence or opens the next one.
+
+    Patterns and how many sequences have each; at most two patterns for each length.
+    """
+    plan: Counter[Pattern] = Counter()
+    held: list[tuple[int, int]] = []
+    room = capacity
     for size in sorted(counts, reverse=True):
-        left, room = counts[size], size
+        left = counts[size]
         if not 0 < size <= capacity:
             raise ValueError(f"length {size} does not fit in {capacity}")
-        while left:
-            while room < capacity and not free[room]:
-                room += 1
-            if room >= capacity:  # nothing has room: open bins, as many as these pieces fill
-                each = min(capacity // size, left)
-                bins = left // each
-                free[capacity - each * size].append([bins, ((size, each),)])
-                left -= bins * each
-                room = size
-                continue
-            bins, pattern = free[room].pop()
-            some = min(bins, left)
-            if some < bins:
-                free[room].append([bins - some, pattern])
-            more = (*pattern[:-1], (size, pattern[-1][1] + 1)) if pattern[-1][0] == size else (*pattern, (size, 1))
-            free[room - size].append([some, more])
-            left -= some
-            if room - size >= size:
-                room -= size
-    out: Counter[Pattern] = Counter()
-    for bins in free:
-        for n, pattern in bins:
-            out[pattern] += n
-    return out
-
-
+        if room // size:
+            some = min(room // size, left)
+            held.append((size, some))
+            room, left = room - some * size, left - some
+        if left:
+            plan[tuple(held)] += 1
+            each = capacity // size
+            plan[((size, each),)] += (left - 1) // each
+            left = (left - 1) % each + 1
+            held, room = [(size, left)], capacity - left * size
+    plan[tuple(held)] += 1
+    return Counter({p: n for p, n in plan.items() if p and n})
+
+
+@lru_cache(maxsize=1 << 17)
 def _fill(pattern: Pattern) -> int:
     return sum(size * n for size, n in pattern)
 
 
-def _choices(pattern: Pattern) -> list[tuple[int, tuple[int, ...]]]:
-    """What can leave a bin in one exchange: nothing, one piece or two, with their total length."""
-    sizes = [size for size, _ in pattern]
-    pairs = [(a, b) for i, a in enumerate(sizes) for b in sizes[i + 1 :]] + [(a, a) for a, n in pattern if n > 1]
-    return sorted([(0, ())] + [(a, (a,)) for a in sizes] + [(a + b, (a, b)) for a, b in pairs])
+def _singles(pattern: Pattern) -> dict[int, tuple[int, ...]]:
+    return {size: (size,) for size, _ in pattern}
+
+
+@lru_cache(maxsize=1 << 17)
+def _pairs(pattern: Pattern) -> dict[int, tuple[int, ...]]:
+    """Two pieces of a bin by their total length."""
+    out: dict[int, tuple[int, ...]] = {}
+    for i, (a, n) in enumerate(pattern):
+        for b, _ in pattern[i if n > 1 else i + 1 :]:
+            out.setdefault(a + b, (a, b))
+    return out
 
 
 def _changed(pattern: Pattern, without: tuple[int, ...], plus: tuple[int, ...]) -> Pattern:
-    held = Counter(dict(pattern))
-    held.subtract(without)
-    held.update(plus)
+    held = dict(pattern)
+    for size in without:
+        held[size] -= 1
+    for size in plus:
+        held[size] = held.get(size, 0) + 1
     return tuple(sorted(((s, n) for s, n in held.items() if n), reverse=True))
 
 
-def exchange(fuller: Pattern, emptier: Pattern, capacity: int) -> tuple[Pattern, Pattern] | None:
-    """The move, one-for-one, two-for-one or one-for-two exchange that increases squared fill most; None if none does.
-
-    A net length d that goes to the fuller bin raises the sum of squared fills by
-    2d(fuller - emptier + d), so the largest d that fits is the best.
-    """
-    room, best, found = capacity - _fill(fuller), 0, None
-    give, take = _choices(fuller), _choices(emptier)
-    sums = np.array([t for t, _ in take])
-    for g, given in give:
-        i = int(np.searchsorted(sums, room + g, "right")) - 1
-        while i >= 0 and sums[i] - g > best:
-            if len(given) + len(take[i][1]) <= 3:
-                best, found = sums[i] - g, (given, take[i][1])
-                break
-            i -= 1
-    if not found:
+class _Index:
+    """Which patterns can give up a length, by that length and the room that they have."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.base = capacity + 1
+        self.keys = np.empty(0, np.int64)  # length * base + room, in order
+        self.lengths = np.empty(0, np.int64)
+        self.held: dict[int, dict[Pattern, None]] = {}
+        self.touched: set[int] = set()
+
+    def add(self, length: int, room: int, pattern: Pattern) -> None:
+        self.held.setdefault(length * self.base + room, {})[pattern] = None
+        self.touched.add(length * self.base + room)
+
+    def drop(self, length: int, room: int, pattern: Pattern) -> None:
+        del self.held[length * self.base + room][pattern]
+        self.touched.add(length * self.base + room)
+
+    def settle(self) -> None:
+        if not self.touched:
+            return
+        keys = np.array(sorted(self.touched), np.int64)
+        self.touched.clear()
+        some = np.array([bool(self.held[k]) for k in keys.tolist()])
+        for k in keys[~some].tolist():
+            del self.held[k]
+        at = np.searchsorted(self.keys, keys)
+        there = at < len(self.keys)
+        there[there] = self.keys[at[there]] == keys[there]
+        out = np.delete(self.keys, at[there & ~some])
+        fresh = keys[some & ~there]
+        self.keys = np.insert(out, np.searchsorted(out, fresh), fresh)
+        length = self.keys // self.base
+        self.lengths = length[np.append(True, length[1:] != length[:-1])] if len(length) else length
+
+    def best(self, taken: int, fill: int) -> tuple[int, int, int]:
+        """How much half the sum of squares can rise if a bin of ``fill`` gives up ``taken``: that, and the length given for it by a bin of which room.
+
+        Of the bins that have a length and the room, the fullest is best.
+        """
+        given = self.lengths[: np.searchsorted(self.lengths, taken)]
+        if not len(given):
+            return 0, 0, 0
+        more = taken - given
+        at = np.searchsorted(self.keys, given * self.base + more)
+        room = self.keys[np.minimum(at, len(self.keys) - 1)] - given * self.base
+        gain = np.where((at < len(self.keys)) & (room < self.base), more * (self.capacity - room - fill + more), 0)
+        i = int(gain.argmax())
+        return int(gain[i]), int(given[i]), int(room[i])
+
+
+class _Bins:
+    """A plan under exchange."""
+
+    def __init__(self, plan: Counter[Pattern], capacity: int):
+        self.capacity = capacity
+        self.count: dict[Pattern, int] = {}
+        self.one, self.two = _Index(capacity), _Index(capacity)
+        self.bins = 0
+        for pattern, n in plan.items():
+            self.put(pattern, n)
+
+    def _entries(self, pattern: Pattern) -> Iterator[tuple[_Index, int]]:
+        if _fill(pattern) < self.capacity:
+            yield self.one, 0
+            for size in _singles(pattern):
+                yield self.one, size
+            for size in _pairs(pattern):
+                yield self.two, size
+
+    def put(self, pattern: Pattern, n: int) -> None:
+        if pattern and n:
+            if pattern not in self.count:
+                self.show(pattern)
+            self.count[pattern] = self.count.get(pattern, 0) + n
+            self.bins += n
+
+    def take(self, pattern: Pattern, n: int) -> None:
+        self.bins -= n
+        self.count[pattern] -= n
+        if not self.count[pattern]:
+            del self.count[pattern]
+            self.hide(pattern)
+
+    def show(self, pattern: Pattern) -> None:
+        for index, size in self._entries(pattern):
+            index.add(size, self.capacity - _fill(pattern), pattern)
+
+    def hide(self, pattern: Pattern) -> None:
+        for index, size in self._entries(pattern):
+            index.drop(size, self.capacity - _fill(pattern), pattern)
+
+    def underfull(self) -> list[tuple[int, Pattern]]:
+        return sorted((_fill(p), p) for p in self.count if _fill(p) < self.capacity)
+
+    def exchange(self, emptier: Pattern) -> Pattern | None:
+        """The move, one-for-one, two-for-one or one-for-two exchange of ``emptier`` with another bin that raises the sum of squared fills most; its new pattern.
+
+        A net length d that goes to the fuller bin raises the sum by 2d(fuller -
+        emptier + d).  All bins of the pattern take part, as far as both sides reach.
+        """
+        alone = self.count[emptier] == 1
+        if alone:  # a bin does not exchange with itself
+            self.hide(emptier)
+        self.one.settle()
+        self.two.settle()
+        fill = _fill(emptier)
+        best: tuple = (0,)
+        for taken in _singles(emptier).values():
+            best = max(best, (*self.one.best(taken[0], fill), taken, 1), (*self.two.best(taken[0], fill), taken, 2), key=lambda x: x[0])
+        for size, taken in _pairs(emptier).items():
+            best = max(best, (*self.one.best(size, fill), taken, 1), key=lambda x: x[0])
+        if alone:
+            self.show(emptier)
+        if not best[0]:
+            return None
+        _, size, room, taken, pieces = best
+        fuller = next(p for p in (self.one if pieces == 1 else self.two).held[size * (self.capacity + 1) + room] if p != emptier or not alone)
+        given = _pairs(fuller)[size] if pieces == 2 else (size,) if size else ()
+        n = self.count[fuller] // 2 if fuller == emptier else min(self.count[fuller], self.count[emptier])
+        return self._swap(fuller, given, emptier, taken, n)
+
+    def _swap(self, fuller: Pattern, given: tuple[int, ...], emptier: Pattern, taken: tuple[int, ...], n: int) -> Pattern:
+        self.take(fuller, n)
+        self.take(emptier, n)
+        self.put(_changed(fuller, given, taken), n)
+        left = _changed(emptier, taken, given)
+        self.put(left, n)
+        return left
+
+    def split(self) -> Pattern | None:
+        """Two-for-one with a full bin at equal length: the sum stays, and the emptier bin has smaller pieces to give away; its new pattern."""
+        full: dict[int, Pattern] = {}
+        for pattern in self.count:
+            if _fill(pattern) == self.capacity:
+                for size in _pairs(pattern):
+                    full.setdefault(size, pattern)
+        for _, emptier in self.underfull():
+            for size, _ in emptier:
+                if size in full:
+                    fuller = full[size]
+                    return self._swap(fuller, _pairs(fuller)[size], emptier, (size,), min(self.count[fuller], self.count[emptier]))
         return None
-    given, taken = found
-    return _changed(fuller, given, taken), _changed(emptier, taken, given)
 
 
-def local_search(plan: Counter[Pattern], capacity: int, tries: int = SEARCH_TRIES) -> Counter[Pattern]:
-    """Swaps between underfull bins that raise the sum of squared fills, until bins empty.
+def local_search(plan: Counter[Pattern], capacity: int) -> Counter[Pattern]:
+    """Exchanges between underfull bins that raise the sum of squared fills, until bins empty.
 
-    The emptiest bins give to the fullest that have room.  Bins with the same
-    pattern move together, as many as both sides have, so the work depends on
-    the number of patterns and not on the number of sequences.  It ends when the
-    fewest possible bins are reached, when no exchange is left, or after
-    ``tries`` looked-at pairs of patterns; the plan is whole at any point.
+    The emptiest bins give first.  Bins with the same pattern move together, so the
+    work depends on the number of patterns and not on the number of sequences.
+    Where nothing raises the sum, a piece of the emptiest bin is swapped for two of
+    a full one, which leaves the sum and makes new exchanges possible.  It ends
+    when the fewest possible bins are reached or no exchange is left: the sum never
+    falls, and between rises the number of pieces in underfull bins grows.
     """
-    plan = Counter(plan)
-    total = sum(_fill(p) * n for p, n in plan.items())
-    fewest = -(-total // capacity)
-    stuck: set[tuple[Pattern, Pattern]] = set()
-    moved = True
-    while moved and tries > 0 and sum(plan.values()) > fewest:
-        moved = False
-        under = sorted((p for p in plan if _fill(p) < capacity), key=lambda p: (_fill(p), p))
-        for start in under:
-            emptier: Pattern = start
-            while plan[emptier] and tries > 0:
-                for fuller in reversed(under):
-                    if _fill(fuller) < _fill(emptier):
-                        continue
-                    if not plan[fuller] or (fuller == emptier and plan[fuller] < 2) or (fuller, emptier) in stuck:
-                        continue
-                    tries -= 1
-                    got = exchange(fuller, emptier, capacity)
-                    if got is not None:
-                        break
-                    stuck.add((fuller, emptier))
-                else:
-                    break
-                n = plan[fuller] // 2 if fuller == emptier else min(plan[fuller], plan[emptier])
-                plan.subtract({fuller: 2 * n} if fuller == emptier else {fuller: n, emptier: n})
-                plan.update({p: n * (1 + (got[0] == got[1])) for p in got if p})
-                moved = True
-                emptier = got[1]
-                if not emptier:
+    bins = _Bins(plan, capacity)
+    fewest = -(-sum(_fill(p) * n for p, n in plan.items()) // capacity)
+    heap, moved, whole, splitting = bins.underfull(), False, True, False
+    while bins.bins > fewest:
+        if not heap:
+            if splitting or not moved:
+                fresh = bins.split()
+                splitting = fresh is not None
+                if fresh:
+                    heap, whole = [(_fill(fresh), fresh)], False
+                    continue
+                if whole and not moved:
                     break
-            if tries <= 0 or sum(plan.values()) <= fewest:
-                break
-        plan = +plan
-    return plan
+            heap, moved, whole = bins.underfull(), False, True
+            continue
+        _, emptier = heapq.heappop(heap)
+        if emptier in bins.count and (left := bins.exchange(emptier)) is not None:
+            moved = True
+            for p in {emptier, left}:
+                if p in bins.count:
+                    heapq.heappush(heap, (_fill(p), p))
+    return Counter(bins.count)
 
 
 def places(plan: Counter[Pattern]) -> dict[int, tuple[np.ndarray, ...]]:
@@ -267,13 +396,16 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = SE
 
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, with
     ``with_ids``, ids.  Only documents over ``capacity`` tokens are cut, and each
-    piece but a document's last is then a whole sequence.  An empty table gives
-    no rows.  Null texts count as empty; repeated rows are packed each.
+    piece but a document's last is then a whole sequence; a very long text is read
+    whole by one task and leaves it piece by piece.  An empty table gives no rows.
+    Null texts count as empty; repeated rows are packed each; pieces of one length
+    are interchangeable, and take their places in the order of blocks.  Other
+    columns are not read.
     """
     pieces = staged(tokenise(documents, tokenizer_path, capacity, with_ids), "pieces")
     blocks = staged(pieces.groupBy("block", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in blocks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    where = places(local_search(best_fit(counts, capacity), capacity))
+    where = places(local_search(next_fit(counts, capacity), capacity))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = blocks.select("block", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     ranked = pieces.join(first, ["block", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, (F.col("before") + F.col("number")).alias("rank"))

@@ -4,13 +4,16 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-from funnelworks.llm.packing import _STOP, TokenTable, _fill, best_fit, exchange, local_search, pack_documents, places
+from funnelworks.llm.packing import _STOP, TokenTable, _Bins, _fill, local_search, next_fit, pack_documents, places, tokenise
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TABLE = TokenTable(PATH)
+UNTOUCHED = Tokenizer.from_file(PATH)
 
 
 def pieces_of(plan):
@@ -19,8 +22,8 @@ def pieces_of(plan):
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=60))
-def test_best_fit_places_every_piece(lengths):
-    plan = best_fit(Counter(lengths), 40)
+def test_next_fit_and_search_place_every_piece(lengths):
+    plan = next_fit(Counter(lengths), 40)
     assert pieces_of(plan) == Counter(lengths)
     assert all(_fill(p) <= 40 for p in plan)
     after = local_search(plan, 40)
@@ -30,21 +33,67 @@ def test_best_fit_places_every_piece(lengths):
     assert sum(n * _fill(p) ** 2 for p, n in after.items()) >= sum(n * _fill(p) ** 2 for p, n in plan.items())
 
 
+def fewest_bins(lengths, capacity):
+    """By trying everything."""
+    best = [len(lengths)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for k in range(len(rooms)):
+            if rooms[k] >= lengths[i] and rooms[k] not in rooms[:k]:
+                go(i + 1, [*rooms[:k], rooms[k] - lengths[i], *rooms[k + 1 :]])
+        go(i + 1, [*rooms, capacity - lengths[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_search_is_at_most_one_above_the_optimum():
+    rng = random.Random(9)
+    for _ in range(60):
+        lengths = sorted((rng.randint(1, 20) for _ in range(rng.randint(0, 11))), reverse=True)
+        got = sum(local_search(next_fit(Counter(lengths), 20), 20).values())
+        assert fewest_bins(lengths, 20) <= got <= fewest_bins(lengths, 20) + 1, lengths
+
+
 def test_local_search_empties_bins():
-    # Three bins that best fit leaves, which two exchanges turn into two full ones and an empty one.
+    # Three bins, which two exchanges turn into two full ones and an empty one.
     plan = Counter({((6, 1), (2, 1)): 1, ((5, 1), (3, 1)): 1, ((2, 2),): 1})
     assert sum(local_search(plan, 10).values()) == 2
+    # A two-for-one with a full bin leaves the sum as it is and lets the last bin empty.
+    assert sum(local_search(Counter({((6, 1), (2, 2)): 1, ((4, 1),): 1, ((8, 1),): 2}), 10).values()) == 3
+
+
+def exchanged(fuller, emptier):
+    bins = _Bins(Counter({fuller: 1, emptier: 1}), 10)
+    return None if bins.exchange(emptier) is None else set(bins.count)
 
 
 def test_exchange_takes_one_for_one_and_two_for_one():
-    assert exchange(((6, 1), (3, 1)), ((4, 1),), 10) == (((6, 1), (4, 1)), ((3, 1),))
-    assert exchange(((6, 1), (3, 1)), ((2, 2),), 10) == (((6, 1), (2, 2)), ((3, 1),))
-    assert exchange(((9, 1),), ((1, 1),), 10) == (((9, 1), (1, 1)), ())
-    assert exchange(((10, 1),), ((5, 1),), 10) is None
+    assert exchanged(((6, 1), (3, 1)), ((4, 1),)) == {((6, 1), (4, 1)), ((3, 1),)}
+    assert exchanged(((6, 1), (3, 1)), ((2, 2),)) == {((6, 1), (2, 2)), ((3, 1),)}
+    assert exchanged(((4, 1), (3, 1), (2, 1)), ((6, 1),)) == {((6, 1), (4, 1)), ((3, 1), (2, 1))}
+    assert exchanged(((9, 1),), ((1, 1),)) == {((9, 1), (1, 1))}
+    assert exchanged(((10, 1),), ((5, 1),)) is None
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_search_empties_bins_on_the_lengths_of_a_table(spark, sf):
+    lengths = tokenise(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), PATH, with_ids=False)
+    counts = {r["length"]: r["count"] for r in lengths.groupBy("length").count().collect()}
+    first = next_fit(counts, 2048)
+    last = local_search(first, 2048)
+    fewest = -(-sum(size * n for size, n in counts.items()) // 2048)
+    assert pieces_of(last) == pieces_of(first) == Counter(counts)
+    assert fewest <= sum(last.values()) <= fewest + 1 < 0.9 * sum(first.values())
 
 
 def test_places_are_gapless():
-    plan = local_search(best_fit(Counter(random.Random(1).choices(range(1, 30), k=200)), 30), 30)
+    plan = local_search(next_fit(Counter(random.Random(1).choices(range(1, 30), k=200)), 30), 30)
     where, taken = places(plan), []
     for size, n in pieces_of(plan).items():
         first, sequence, offset, each = where[size]
@@ -64,19 +113,22 @@ def test_tokens_of_words_are_tokens_of_the_text(text):
     ids = TABLE.ids(_STOP.sub(rb" \1", text.encode().lower()).split())
     starts, counts = TABLE.settle()
     got = [int(x) for w in ids for x in TABLE.flat[starts[w] : starts[w] + counts[w]]]
-    assert got == TABLE.tokenizer.encode(text, add_special_tokens=False).ids
+    if TABLE.whole(text.encode()) is not None:
+        got = TABLE.whole(text.encode()).tolist()
+    assert got == UNTOUCHED.encode(text, add_special_tokens=False).ids
 
 
 def test_pack_documents_round_trip(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["The", "of", "thanon", "éa.", "x|y", "1234"]) for _ in range(rng.choice([1, 5, 40, 300]))) for _ in range(60)]
+    texts += ["hello <|endoftext|> world", "x<|startoftext|>y <|EndOfText|>", "word, " * 30_000]
     rows = [(i, t, "z") for i, t in enumerate(texts)] + [(100, None, "z"), (101, "", "z"), (None, "no id", "z"), (5, texts[5], "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, offset string")
     out = pack_documents(docs, PATH, capacity=64).collect()
     by_doc = Counter()
     want = Counter()
     for doc_id, text, _ in rows:
-        ids = np.array([*TABLE.tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        ids = np.array([*UNTOUCHED.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         for k, at in enumerate(range(0, len(ids), 64)):
             raw = ids[at : at + 64].tobytes()
             want[(doc_id, k, at, len(raw) // 4, zlib.crc32(raw), raw)] += 1
