@@ -13,12 +13,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scripts
+from .store import added_by_tree, dropped, staged
 from .words import WordTable, mix, text_chunks
 
 BUCKETS = 1 << 17
@@ -98,19 +99,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, counts in seen.items():
         seen[lang] = np.pad(counts, (0, len(table.index) - len(counts)))
     flush()
-    size = BUCKETS // PARTS
+    size, block = BUCKETS // PARTS, TaskContext.get().partitionId()
     out = [(lang, part, x[part * size : (part + 1) * size].tobytes()) for lang, x in grams.items() for part in range(PARTS)] + [(lang, -1, x.tobytes()) for lang, x in letters.items()]
     for lang, part, raw in out:
-        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([part], pa.int32()), pa.array([raw], pa.binary())], names=["lang", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([raw], pa.binary())], names=["lang", "part", "block", "x"])
 
 
-def _added(key: tuple, group: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    total = None
-    for pdf in group:
-        for raw in pdf["counts"]:
-            x = np.frombuffer(raw, np.int64)
-            total = x.copy() if total is None else total + x
-    return pd.DataFrame({"lang": [key[0]], "part": [key[1]], "counts": [total.tobytes()]})
+def _sum(arrays: list[bytes]) -> bytes:
+    return np.add.reduce([np.frombuffer(x, np.int64) for x in arrays]).tobytes()
 
 
 @dataclass(frozen=True)
@@ -125,23 +121,29 @@ class LanguageModel:
 def train(labelled: DataFrame) -> LanguageModel:
     """Learn from all rows of ``labelled`` (text, lang); rows with a null in either say nothing.
 
-    What reaches the driver is BUCKETS counts for each language, added up on the executors.
+    What reaches the driver is BUCKETS counts for each language, added up on the
+    executors by a tree: no task holds a row for every task that counted.
     """
-    rows = labelled.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    parts = rows.mapInArrow(_counts, "lang string, part int, counts binary")
-    added = parts.groupBy("lang", "part").applyInPandas(lambda key, group: _added(key, iter([group])), "lang string, part int, counts binary").collect()
+    rows = labelled.select("text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    parts = staged(rows.mapInArrow(_counts, "lang string, part int, block int, x binary"), "language-counts")
+    added = added_by_tree(parts, ["lang", "part"], _sum).collect()
+    dropped(parts)
     languages = tuple(sorted({r["lang"] for r in added}))
+    number = {lang: i for i, lang in enumerate(languages)}
     size = BUCKETS // PARTS
-    grams, letters = np.zeros((len(languages), BUCKETS)), np.zeros((len(languages), len(scripts.NAMES)))
+    grams, letters = np.zeros((len(languages), BUCKETS), np.float32), np.zeros((len(languages), len(scripts.NAMES)))
+    total = np.zeros(len(languages))
     for r in added:
-        i, x = languages.index(r["lang"]), np.frombuffer(r["counts"], np.int64)
+        i, x = number[r["lang"]], np.frombuffer(r["x"], np.int64)
         if r["part"] < 0:
             letters[i] = x
         else:
             grams[i, r["part"] * size : (r["part"] + 1) * size] = x
-    weights = TEMPER * np.log((grams + SMOOTHING) / (grams.sum(1, keepdims=True) + SMOOTHING * BUCKETS))
+            total[i] += x.sum()
+    for i, row in enumerate(grams):
+        row[:] = TEMPER * (np.log(row.astype(float) + SMOOTHING) - np.log(total[i] + SMOOTHING * BUCKETS))
     writes = letters >= SCRIPT_SHARE * np.maximum(1, letters.sum(1, keepdims=True))
-    return LanguageModel(languages, weights.astype(np.float32), writes)
+    return LanguageModel(languages, grams, writes)
 
 
 class _Scores(WordTable):
@@ -168,15 +170,15 @@ def viterbi(score: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best language for each word of one text; of equal paths, the one with lower languages."""
     n, many = score.shape
     if not n:
-        return np.empty(0, np.int8)
+        return np.empty(0, np.int32)
     best = int(score.sum(0, dtype=np.float64).argmax())
     # If no stretch of words gains a switch against the best single language, that language is the best path.
     ahead = np.ascontiguousarray((score - score[:, best : best + 1]).T, np.float64)
     if np.maximum(ahead, 0).sum(1).max() <= switch:
-        return np.full(n, best, np.int8)
+        return np.full(n, best, np.int32)
     gain = np.concatenate([np.zeros((many, 1)), np.cumsum(ahead, 1)], 1)
     if (gain - np.minimum.accumulate(gain, 1)).max() <= switch:
-        return np.full(n, best, np.int8)
+        return np.full(n, best, np.int32)
     # Few languages: plain lists are faster here than arrays of a few numbers.
     rows = score.tolist()
     state, came = rows[0], []
@@ -188,7 +190,7 @@ def viterbi(score: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     path = [state.index(max(state))]
     for step in reversed(came):
         path.append(step[path[-1]])
-    return np.array(path[::-1], np.int8)
+    return np.array(path[::-1], np.int32)
 
 
 def _label(model: LanguageModel, schema: pa.Schema):
@@ -221,8 +223,10 @@ def label_languages(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, spans (start and end word, language), lang_pred and score of every whole text.
 
     ``lang_pred`` has most letters, and ``score`` is its share of them; ``und`` and 0
-    for a text that is null or has no letter, or if nothing was learned.  Repeated
-    rows are labelled each; an empty table gives no rows.
+    for a text that is null or has no letter, or if nothing was learned; of
+    languages with as many letters the first by name.  Very long texts are labelled
+    whole, by one task each; repeated rows are labelled each; an empty table gives
+    no rows.  Other columns are not read.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 

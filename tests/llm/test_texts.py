@@ -168,3 +168,25 @@ def test_languages_and_spans(spark):
     nothing = langid.train(docs.selectExpr("text", "CAST(NULL AS STRING) AS lang"))
     assert langid.label_languages(docs, nothing).where("lang_pred <> 'und'").count() == 0
     assert langid.label_languages(docs.limit(0), model).count() == 0
+
+
+def test_three_hundred_languages_over_many_tasks(spark):
+    """Counts of many tasks go up a tree, and there is no limit of 128 languages."""
+    rng = random.Random(12)
+    words = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5)] for i in range(300)}
+    rows = [(i, " ".join(words[lang] * 3), lang) for i, lang in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(9)
+    model = langid.train(docs)
+    assert len(model.languages) == 300
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.label_languages(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 290
+    mixed = spark.createDataFrame([(1, " ".join(words["l290"] * 9 + words["l005"] * 9))], "doc_id long, text string")
+    assert [s["lang"] for s in langid.label_languages(mixed, model).first()["spans"]] == ["l290", "l005"]
+
+
+def test_tree_of_sums(spark):
+    from funnelworks.llm.store import added_by_tree
+
+    parts = spark.createDataFrame([("a" if b % 3 else "b", b, np.array([b, 1], np.int64).tobytes()) for b in range(200)], "k string, block int, x binary")
+    got = {r["k"]: np.frombuffer(r["x"], np.int64).tolist() for r in added_by_tree(parts, ["k"], langid._sum, fan=4).collect()}
+    assert got == {k: [sum(b for b in range(200) if (b % 3 > 0) == (k == "a")), sum((b % 3 > 0) == (k == "a") for b in range(200))] for k in "ab"}
