@@ -1,26 +1,25 @@
 """Perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 The model is a bigram model over all words of the trusted text; every other word
-is one unknown word.  What is known of a single word (its continuation
-probability, the mass a history leaves to the lower order) is an array over the
-vocabulary, which grows with the distinct words of the trusted text.
-The bigram counts grow with the trusted text; they stay sharded by history.
-Blocks of documents send the shards the bigrams that may have been seen, and the
-shards send back, for each document, the sum of what those add to the lower
-order's log-probability: counts meet documents by one exchange, and no table of
-counts is copied to all executors.
-
-With c(hw) a count, D its discount, N a number of distinct words:
-
-    p(w|h) = (c(hw) - D) / c(h) + g(h) q(w),    g(h) = (D1 N1(h) + D2 N2(h) + D3 N3+(h)) / c(h)
-    q(w)   = (N(.w) - D') / N(..) + g' / V
+is one unknown word.  With c(hw) a count, D its discount, N a number of distinct
+words:
 
-If the vocabulary is limited (``most_words``), the unknown word stands for all the
-trusted words outside it, and its probability is shared equally among them, else
-text of unknown words looks likely.
+    p(w|h) = (c(hw) - D) / c(h) + g(h) q(w),    g(h) = G(h) / c(h),    G(h) = D1 N1(h) + D2 N2(h) + D3 N3+(h)
+    q(w)   = (N(.w) - D') / N(..) + g' / V
 
-So log p(w|h) = log q(w) + log g(h) for an unseen bigram, and a seen one adds
-log((c - D) / (c(h) g(h) q(w)) + 1) to that.  After an unseen history p is q.
+So log p(w|h) = log q(w) + log g(h) for an unseen bigram, and a seen one adds its
+gain, log((c - D) / (G(h) q(w)) + 1), to that.  After an unseen history p is q.
+
+All counts are sharded.  A bigram is a 64-bit key (32 bits of either word's hash)
+that a bijection spreads; a shard is a range of that, so a frequent history lies
+in all shards alike.  Words of one 32-bit hash are one word: of V words, a share of
+V / 2^32.  What is known of a single word is summed up from the
+bigrams in shards of its own.  Only two tables of fixed size go to the executors:
+the most frequent words and the most frequent bigrams.  They settle most of a
+text where it is read.  Blocks of documents send the shards the rest, the bigrams
+that a filter of fixed size lets pass and the words that are not in the table,
+and get back what those add to each document.  So the tables' sizes change the
+traffic and not the result.
 """
 
 from __future__ import annotations
@@ -34,14 +33,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import partitions, sent, staged
-from .words import WordTable, hash_words, text_chunks
-
-UNKNOWN, BEGIN, END, FIRST = 0, 1, 2, 3
-#: Bits of the filter that keeps bigrams which the trusted text lacks out of the exchange: a fixed size.
-FILTER_BITS = 1 << 26
+from .store import dropped, parts_for, sent, staged
+from .words import WordTable, hash_words, mix, text_chunks
+
+#: Ids that no word has: the history of a key that stands for a single word, and the ends of a text.
+ALONE, BEGIN, END, FIRST = 0, 1, 2, 3
+#: Words and bigrams that are sent to the executors at most (16 and 12 bytes each).
+MOST_WORDS, MOST_BIGRAMS = 1 << 20, 1 << 21
+#: Bits of the filter that keeps what the trusted text lacks out of the exchange: a fixed size.
+FILTER_BITS = 26
+#: Requests that a task holds before it sends them.
+MOST_HELD = 1 << 22
 #: Trusted ids up to this many are sent to the executors (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST_IDS = 4_000_000
+#: Counts at which the most frequent may begin.
+LADDER = np.array(sorted({1, 2, 3} | {m << k for k in range(1, 60) for m in (2, 3)}), np.int64)
 
 
 @dataclass(frozen=True)
@@ -56,225 +62,190 @@ class Calibration:
     least: int = 100
 
 
-class _Hashes(WordTable):
-    def __init__(self):
-        super().__init__(lambda words: (hash_words(words),))
+def _inverse(odd: int) -> np.uint64:
+    return np.uint64(pow(odd, -1, 1 << 64))
 
 
-def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and how often each occurs."""
-    key = np.sort(key)
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-    return key[start], np.diff(np.append(start, len(key)))
+def unmix(x: np.ndarray) -> np.ndarray:
+    """What ``mix`` made ``x`` of."""
+    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+    x = x * _inverse(0x94D049BB133111EB)
+    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+    x = x * _inverse(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
 
 
-def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    return keys[start], np.add.reduceat(counts, start) if len(start) else counts
+def _key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Spread keys of bigrams; with ALONE as history, of words."""
+    return mix(h.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64))
 
 
-def _bigrams(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return h.astype(np.uint64) << np.uint64(32) | w
+def _words_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pair = unmix(key)
+    return (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The lowest bytes of all 32-bit numbers, then the next ones: high bytes, which are mostly equal, compress."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _hash32(words: list[bytes]) -> np.ndarray:
+    x = hash_words(words).astype(np.uint32)
+    return np.where(x < FIRST, x + np.uint32(FIRST), x)
 
 
-def _from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
-def _bigram_bytes(keys: np.ndarray) -> bytes:
-    """Sorted bigrams: the steps between histories, and the words."""
-    return _planes(np.diff(keys >> np.uint64(32), prepend=np.uint64(0))) + _planes(keys & np.uint64(0xFFFFFFFF))
-
-
-def _bigrams_of(raw: bytes) -> np.ndarray:
-    half = len(raw) // 2
-    return _bigrams(np.cumsum(_from_planes(raw[:half]), dtype=np.uint64), _from_planes(raw[half:]))
-
+def _planes(x: np.ndarray) -> bytes:
+    """The lowest bytes of all 64-bit numbers, then the next ones: high bytes, which are mostly equal, compress."""
+    return np.ascontiguousarray(np.asarray(x).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
-def _hash_bytes(keys: np.ndarray) -> bytes:
-    return keys.tobytes()
 
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
-def _hashes_of(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint64)
 
+def _key_bytes(keys: np.ndarray) -> bytes:
+    """Sorted keys, as the steps between them."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
 
-_COUNTS = "shard int, keys binary, counts binary"
 
+def _keys_of(raw: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(raw), dtype=np.uint64)
 
-def _packed(shard: int, keys: bytes, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([keys], pa.binary()), pa.array([_planes(counts)], pa.binary())], names=["shard", "keys", "counts"])
 
+def _cuts(keys: np.ndarray, shards: int) -> list[int]:
+    return np.searchsorted(keys, np.array([(s << 64) // shards for s in range(shards)], np.uint64)).tolist() + [len(keys)]
 
-def _word_counts(shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held = _Hashes(), []
-        for _, texts in text_chunks(batches):
-            table.begin()
-            ids = [table.ids(t.split()) for t in texts if t]
-            (hashes,) = table.settle()
-            if ids:
-                counts = np.bincount(np.concatenate(ids), minlength=len(table.index))
-                some = np.flatnonzero(counts)
-                held.append((hashes[some], counts[some]))
-                if len(held) > 32:
-                    held = [_merged(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
-        if held:
-            keys, counts = _merged(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            cut = np.searchsorted(keys, np.array([(s << 64) // shards for s in range(shards)], np.uint64)).tolist() + [len(keys)]
-            for s in range(shards):
-                if cut[s] < cut[s + 1]:
-                    yield _packed(s, _hash_bytes(keys[cut[s] : cut[s + 1]]), counts[cut[s] : cut[s + 1]])
 
-    return run
+def _starts(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
 
 
-def _unpacked(raw: dict, of: Callable[[bytes], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([of(k) for k in raw["keys"]]), np.concatenate([_from_planes(c) for c in raw["counts"]])
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs."""
+    key = np.sort(key)
+    start = _starts(key)
+    return key[start], np.diff(np.append(start, len(key)))
 
 
-def _added(to: Callable[[np.ndarray], bytes], of: Callable[[bytes], np.ndarray]):
-    def run(table: pa.Table) -> pa.Table:
-        raw = table.to_pydict()
-        keys, counts = _unpacked(raw, of)
-        keys, counts = _merged(keys, counts.astype(np.int64))
-        return pa.Table.from_batches([_packed(raw["shard"][0], to(keys), counts)])
+def _merged(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, with the sums of the columns."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    start = _starts(keys)
+    return keys[start], *[np.add.reduceat(c[order], start) if len(start) else c for c in columns]
 
-    return run
 
+def _batch(schema: pa.Schema, *rows: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-def _of_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many keys have each count."""
-    for b in batches:
-        for raw in b.column("counts"):
-            value, n = _runs(_from_planes(raw.as_buffer()))
-            yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(n)], names=["value", "n"])
 
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "smallint": pa.int16(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
-def _frequent(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, c in zip(b.column("keys"), b.column("counts"), strict=True):
-                some = np.frombuffer(k.as_buffer(), np.uint64)[_from_planes(c.as_buffer()) >= least]
-                yield pa.RecordBatch.from_arrays([pa.array([some.tobytes()], pa.binary())], names=["keys"])
 
-    return run
+def _schema(kinds: str) -> pa.Schema:
+    """Of a list of names and types; executors need it too, where Spark's own parser is not at hand."""
+    return pa.schema([(name, _KINDS[kind]) for name, kind in (x.split(" ") for x in kinds.split(", "))])
 
 
-def vocabulary(texts: DataFrame, most: int | None = None) -> tuple[np.ndarray, int]:
-    """Sorted hashes of the words of all texts, or of those that occur at least so often that no more than ``most`` do; how many distinct words are left out."""
-    shards = partitions(texts.sparkSession)
-    counts = staged(texts.select("text").mapInArrow(_word_counts(shards), _COUNTS).groupBy("shard").applyInArrow(_added(_hash_bytes, _hashes_of), _COUNTS), "words")
-    # Distinct counts are few: there are at most sqrt(2 x words) of them.
-    histogram = sorted(((r["value"], r["n"]) for r in counts.mapInArrow(_of_counts, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).collect()), reverse=True)
-    least, held = 1 << 62, 0
-    for value, n in histogram:
-        if most is not None and held + n > most:
-            break
-        least, held = value, held + n
-    rows = counts.mapInArrow(_frequent(min(least, (1 << 32) - 1)), "keys binary").collect()
-    return np.sort(np.frombuffer(b"".join(r["keys"] for r in rows), np.uint64)), sum(n for _, n in histogram) - held
-
-
-class _Ids(WordTable):
-    """The vocabulary's id of each distinct word."""
-
-    def __init__(self, vocabulary: np.ndarray):
-        def describe(words: list[bytes]) -> tuple[np.ndarray]:
-            h = hash_words(words)
-            if not len(vocabulary):
-                return (np.zeros(len(words), np.uint32),)
-            at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-            return (np.where(vocabulary[at] == h, at + FIRST, UNKNOWN).astype(np.uint32),)
+class _Reader(WordTable):
+    """Texts as sequences of word numbers, from BEGIN to END; what is known of the two ends comes last in each column."""
 
+    def __init__(self, describe: Callable[[list[bytes]], tuple[np.ndarray, ...]], ends: tuple[np.ndarray, ...]):
         super().__init__(describe)
+        self.ends = ends
 
-    def bigrams(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of texts with a word, end to end: history, word and text of each bigram, from BEGIN to END."""
+    def bigrams(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of texts with a word, end to end: numbers of history and word, and text, of each bigram; the columns by number."""
         self.begin()
         words = [self.ids(t.split()) if t else np.empty(0, np.int32) for t in texts]
-        (ids,) = self.settle()
-        sequence = [np.concatenate([[BEGIN], ids[w], [END]]) for w in words if len(w)]
-        text = np.repeat([i for i, w in enumerate(words) if len(w)], [len(s) for s in sequence]) if sequence else np.empty(0, np.int64)
-        every = np.concatenate(sequence).astype(np.uint32) if sequence else np.empty(0, np.uint32)
+        columns = self.settle()
+        n = len(self.index)
+        some = [i for i, w in enumerate(words) if len(w)]
+        sequence = [np.concatenate([[n], words[i], [n + 1]]) for i in some]
+        every = np.concatenate(sequence) if some else np.empty(0, np.int64)
+        text = np.repeat(np.array(some, np.int64), [len(s) for s in sequence])
         inside = text[1:] == text[:-1]
-        return every[:-1][inside], every[1:][inside], text[1:][inside]
+        return every[:-1][inside], every[1:][inside], text[1:][inside], [np.concatenate([c[:n], e]) for c, e in zip(columns, self.ends, strict=True)]
+
 
+_COUNTS = "shard int, keys binary, counts binary"
 
-def _shard_of(history: np.ndarray, shards: int) -> np.ndarray:
-    """Frequent histories have low and scattered ids; a multiplier spreads them over the shards."""
-    return (history.astype(np.uint64) * np.uint64(2654435761) % np.uint64(1 << 32) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
+def _bigram_counts(shards: int):
+    schema = _schema(_COUNTS)
 
-def _bigram_counts(vocab: np.ndarray, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held = _Ids(vocab), []
+        table, held = _Reader(lambda words: (_hash32(words),), (np.array([BEGIN, END], np.uint32),)), []
+        together = lambda: _merged(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
         for _, texts in text_chunks(batches):
-            h, w, _ = table.bigrams(texts)
-            held.append(_runs(_bigrams(h, w)))
+            h, w, _, (word,) = table.bigrams(texts)
+            held.append(_runs(_key(word[h], word[w])))
             if len(held) > 32:
-                held = [_merged(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+                held = [together()]
         if held:
-            keys, counts = _merged(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            shard = _shard_of(keys >> np.uint64(32), shards)
-            order = np.argsort(shard, kind="stable")
-            keys, counts, shard = keys[order], counts[order], shard[order]
-            cut = np.searchsorted(shard, np.arange(shards + 1))
+            keys, counts = together()
+            cut = _cuts(keys, shards)
             for s in range(shards):
                 if cut[s] < cut[s + 1]:
-                    yield _packed(s, _bigram_bytes(keys[cut[s] : cut[s + 1]]), counts[cut[s] : cut[s + 1]])
+                    yield _batch(schema, (s, _key_bytes(keys[cut[s] : cut[s + 1]]), _planes(counts[cut[s] : cut[s + 1]])))
 
     return run
 
 
-_PARTS = 64
+_BIGRAMS = f"{_COUNTS}, of array<long>, ladder array<long>"
+
+
+def _of_counts(counts: np.ndarray) -> list[int]:
+    """How many there are of each count from 1 to 4."""
+    return np.bincount(counts[counts < 5].astype(np.int64), minlength=5)[1:].tolist()
+
+
+def _steps(counts: np.ndarray) -> list[int]:
+    """How many reach each count of the ladder."""
+    return (len(counts) - np.searchsorted(np.sort(counts), LADDER)).tolist()
 
 
-def _padded(ids: int) -> int:
-    return -(-ids // _PARTS) * _PARTS
+def _added(table: pa.Table) -> pa.Table:
+    """Of a shard: the counts of all blocks in one."""
+    raw = table.to_pydict()
+    keys, counts = _merged(np.concatenate([_keys_of(k) for k in raw["keys"]]), np.concatenate([_from_planes(c).astype(np.int64) for c in raw["counts"]]))
+    return pa.Table.from_batches([_batch(_schema(_BIGRAMS), (raw["shard"][0], _key_bytes(keys), _planes(counts), _of_counts(counts), _steps(counts)))])
 
 
-def _statistics(ids: int):
-    """Arrays over all ids, in parts: tokens and distinct words after each history by count, distinct histories of each word; the counts of counts; the filter's bits."""
+#: tokens, one, two and more: of a word as history; before: of distinct words before it.
+_FACTS = ("tokens", "one", "two", "more", "before")
+_WORDS = "shard int, words binary, " + ", ".join(f"{x} binary" for x in _FACTS)
+
+
+def _word_facts(shards: int):
+    schema = _schema(_WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = {name: np.zeros(_padded(ids), np.int64) for name in ("tokens", "one", "two", "more", "before")} | {"of": np.zeros(_PARTS, np.int64)}
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for b in batches:
-            for k, c in zip(b.column("keys"), b.column("counts"), strict=True):
-                key, count = _bigrams_of(k.as_py()), _from_planes(c.as_buffer())
-                h, w = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                made["tokens"] += np.bincount(h, count, _padded(ids)).astype(np.int64)
-                for name, some in (("one", count == 1), ("two", count == 2), ("more", count > 2)):
-                    made[name] += np.bincount(h[some], minlength=_padded(ids))
-                made["before"] += np.bincount(w, minlength=_padded(ids))
-                made["of"][1:5] += np.bincount(count[count < 5], minlength=5)[1:5]
-                slot = _slot(key)
-                np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-        for name, x in [*made.items(), ("bits", bits.view(np.int64))]:
-            size = len(x) // _PARTS
-            for i in range(_PARTS):
-                if x[i * size : (i + 1) * size].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int32()), pa.array([x[i * size : (i + 1) * size].tobytes()], pa.binary())], names=["name", "part", "x"])
+            for raw, counted in zip(b.column("keys"), b.column("counts"), strict=True):
+                (h, w), c = _words_of(_keys_of(raw.as_py())), _from_planes(counted.as_py()).astype(np.int64)
+                none = np.zeros(len(c), np.int64)
+                as_history = _merged(h, c, *[x.astype(np.int64) for x in (c == 1, c == 2, c > 2)], none)
+                as_word = _merged(w, *[none] * 4, none + 1)
+                word, *facts = _merged(*[np.concatenate(x) for x in zip(as_history, as_word, strict=True)])
+                key = _key(np.zeros(len(word)), word)
+                order = np.argsort(key)
+                key, word, facts = key[order], word[order], [x[order] for x in facts]
+                cut = _cuts(key, shards)
+                for s in range(shards):
+                    part = slice(cut[s], cut[s + 1])
+                    if cut[s] < cut[s + 1]:
+                        yield _batch(schema, (s, _planes(word[part]), *[_planes(x[part]) for x in facts]))
 
     return run
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 26)).astype(np.int64)
+_SUMMED = f"{_WORDS}, n_words long, n_followers long, n_before long, of array<long>, ladder array<long>"
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    name, arrays = table.column("name")[0].as_py(), [np.frombuffer(x, np.int64) for x in table.column("x").to_pylist()]
-    total = (np.bitwise_or if name == "bits" else np.add).reduce(arrays)
-    return pa.table([pa.array([name]), table.column("part").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["name", "part", "x"])
+def _added_facts(table: pa.Table) -> pa.Table:
+    """Of a shard: each word with the sums of all shards of bigrams."""
+    raw = table.to_pydict()
+    word, *facts = _merged(*[np.concatenate([_from_planes(x).astype(np.int64) for x in raw[c]]) for c in ("words", *_FACTS)])
+    tokens, before = facts[0], facts[-1]
+    row = (raw["shard"][0], _planes(word), *[_planes(x) for x in facts], int((word >= FIRST).sum()), int((before > 0).sum()), int(before.sum()), _of_counts(before), _steps(np.maximum(tokens, before)))
+    return pa.Table.from_batches([_batch(_schema(_SUMMED), row)])
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -287,113 +258,355 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 @dataclass(frozen=True)
-class Model:
-    vocabulary: np.ndarray
-    #: By id: log q(w), for the unknown word shared among the words that it stands for; q(w); log g(h) (0 for an unseen history); c(h).
+class Law:
+    """What all probabilities need: the discounts of both orders, N(..), what the lower order spreads over every word, the unknown one among them."""
+
+    upper: tuple[float, float, float]
+    lower: tuple[float, float, float]
+    total: float
+    spare: float
+
+    def q(self, before: np.ndarray) -> np.ndarray:
+        taken = np.select([before == 0, before == 1, before == 2], [0.0, *self.lower[:2]], self.lower[2])
+        return (before - taken) / self.total + self.spare
+
+    def left(self, one: np.ndarray, two: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """G(h)."""
+        return self.upper[0] * one + self.upper[1] * two + self.upper[2] * more
+
+    def kept(self, count: np.ndarray) -> np.ndarray:
+        """c - D"""
+        return count - np.select([count == 1, count == 2], self.upper[:2], self.upper[2])
+
+
+@dataclass(frozen=True)
+class Frequent:
+    """The most frequent words and both ends, by hash: log q(w), log g(h) (0 for a word that is no history) and log G(h)."""
+
+    words: np.ndarray
     log_q: np.ndarray
-    q: np.ndarray
     log_g: np.ndarray
-    tokens: np.ndarray
-    discounts: tuple[float, float, float]
-    #: Bits of bigrams that were seen.
+    log_left: np.ndarray
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words are in the table, and whether they are."""
+        if not len(self.words):
+            return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return at, self.words[at] == words
+
+
+@dataclass(frozen=True)
+class Model:
+    law: Law
+    frequent: Frequent
+    #: The most frequent bigrams (sorted keys) and their gains.
+    keys: np.ndarray
+    gains: np.ndarray
+    #: Bits of the other keys.
     bits: np.ndarray
+    #: How many distinct words were seen.
+    n_words: int
     shards: int
-    #: The sharded counts (shard, keys, counts).
-    counts: DataFrame
-
-
-def train(texts: DataFrame, most_words: int | None = None) -> Model:
-    """Count all of ``texts`` (text); null texts and texts without words say nothing."""
-    vocab, unknown_words = vocabulary(texts, most_words)
-    shards = partitions(texts.sparkSession)
-    counts = staged(texts.select("text").mapInArrow(_bigram_counts(vocab, shards), _COUNTS).groupBy("shard").applyInArrow(_added(_bigram_bytes, _bigrams_of), _COUNTS), "bigrams")
-    size = len(vocab) + FIRST
-    got = counts.mapInArrow(_statistics(size), "name string, part int, x binary").groupBy("name", "part").applyInArrow(_summed, "name string, part int, x binary").collect()
-    arrays = {name: np.zeros(_padded(size), np.int64) for name in ("tokens", "one", "two", "more", "before")} | {"of": np.zeros(_PARTS, np.int64), "bits": np.zeros(FILTER_BITS // 64, np.int64)}
-    for r in got:
-        x = np.frombuffer(r["x"], np.int64)
-        arrays[r["name"]][r["part"] * len(x) : (r["part"] + 1) * len(x)] = x
-    d = discounts(*(int(x) for x in arrays["of"][1:5]))
-    before = arrays["before"].astype(float)
-    lower = discounts(*(int((before == k).sum()) for k in (1, 2, 3, 4)))
-    total = max(before.sum(), 1.0)
-    taken = np.select([before == 0, before == 1, before == 2], [0.0, lower[0], lower[1]], lower[2])
-    q = (before - taken) / total + (taken.sum() / total if before.any() else 1.0) / size
-    history = np.maximum(arrays["tokens"], 1)
-    g = (d[0] * arrays["one"] + d[1] * arrays["two"] + d[2] * arrays["more"]) / history
-    seen = arrays["tokens"] > 0
-    log_q = np.log(q)
-    log_q[UNKNOWN] -= np.log(max(unknown_words, 1))
-    return Model(vocab, log_q, q, np.where(seen, np.log(np.where(seen, g, 1.0)), 0.0), arrays["tokens"], d, arrays["bits"].view(np.uint8), shards, counts)
-
-
-_REQUESTS = "kind int, shard int, block long, local int, doc_id long, lang string, n long, base double, keys binary, counts binary, refs binary"
-
-
-def _requests(vocab: np.ndarray, log_q: np.ndarray, log_g: np.ndarray, bits: np.ndarray, shards: int, schema: pa.Schema):
-    """Of a block: each document's tokens and lower-order log-probability (kind 0), and for each shard the bigrams that may be seen, with the documents that have them (kind 1)."""
+    #: Sharded counts of bigrams of frequent words, and gains of all other keys (one of the two is null).
+    answers: DataFrame
+
+
+def _least(table: DataFrame, most: int) -> int:
+    """The least count of the ladder that no more than ``most`` reach."""
+    sums = dict(table.select(F.posexplode("ladder")).groupBy("pos").agg(F.sum("col")).collect())  # a row for each step
+    return next((int(LADDER[i]) for i in range(len(LADDER)) if sums.get(i, 0) <= most), 1 << 62)
+
+
+def _sums(table: DataFrame, column: str) -> list[int]:
+    return list(table.agg(*[F.coalesce(F.sum(F.col(column)[i]), F.lit(0)) for i in range(4)]).first())
+
+
+_FREQUENT = "words binary, log_q binary, log_g binary, log_left binary"
+
+
+def _facts_of(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
+    return tuple(_from_planes(b.column(c)[i].as_py()).astype(np.int64) for c in ("words", *_FACTS))
+
+
+def _logs(law: Law, tokens: np.ndarray, one: np.ndarray, two: np.ndarray, more: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+    """log q, log g and log G of words."""
+    left = law.left(one, two, more)
+    seen = tokens > 0
+    log_left = np.where(seen, np.log(np.where(seen, left, 1.0)), 0.0)
+    return np.log(law.q(before)), np.where(seen, log_left - np.log(np.maximum(tokens, 1)), 0.0), log_left
+
+
+def _frequent_words(law: Law, least: int):
+    schema = _schema(_FREQUENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, block, number = _Ids(vocab), TaskContext.get().partitionId(), 0
-        held_keys, held_refs = [], []
+        for b in batches:
+            for i in range(b.num_rows):
+                word, *facts = _facts_of(b, i)
+                some = (np.maximum(facts[0], facts[-1]) >= least) | (word < FIRST)
+                logs = _logs(law, *[x[some] for x in facts])
+                yield _batch(schema, (word[some].astype(np.uint32).tobytes(), *[x.astype(np.float32).tobytes() for x in logs]))
+
+    return run
+
+
+def _rare_words(law: Law, least: int):
+    """Words outside the table: a row for each, with q and G (for bigrams)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                word, *facts = _facts_of(b, i)
+                some = (np.maximum(facts[0], facts[-1]) < least) & (word >= FIRST)
+                log_q, _, log_left = _logs(law, *[x[some] for x in facts])
+                yield pa.RecordBatch.from_arrays([pa.array(word[some]), pa.array(log_q), pa.array(log_left)], names=["word", "log_q", "log_left"])
+
+    return run
+
+
+_ANSWERS = "shard int, keys binary, counts binary, gains binary"
+
+
+def _rare_word_gains(law: Law, least: int):
+    """Of words outside the table, packed: what their occurrence adds to that of an unknown word, as word and as history."""
+    schema = _schema(_ANSWERS)
+    unknown = float(np.log(law.spare))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                word, *facts = _facts_of(b, i)
+                some = (np.maximum(facts[0], facts[-1]) < least) & (word >= FIRST)
+                if some.any():
+                    log_q, log_g, _ = _logs(law, *[x[some] for x in facts])
+                    key = _key(np.zeros(int(some.sum())), word[some])
+                    order = np.argsort(key)
+                    yield _batch(schema, (b.column("shard")[i].as_py(), _key_bytes(key[order]), None, (log_q - unknown + log_g)[order].astype(np.float32).tobytes()))
+
+    return run
+
+
+def _sides(key: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, ...]:
+    """Of bigrams: their words, where those are in the table and whether they are."""
+    h, w = _words_of(key)
+    return h, w, *frequent.find(h), *frequent.find(w)
+
+
+def _frequent_gains(law: Law, frequent: Frequent, key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the bigrams are of frequent words, and their gains (0 for others)."""
+    _, _, at_h, is_h, at_w, is_w = _sides(key, frequent)
+    both = is_h & is_w
+    gains = np.zeros(len(key))
+    gains[both] = np.log(law.kept(count[both].astype(float)) / np.exp(frequent.log_left[at_h[both]].astype(float) + frequent.log_q[at_w[both]]) + 1)
+    return both, gains
+
+
+def _frequent_bigrams(law: Law, frequent: Frequent, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw, counted in zip(b.column("keys"), b.column("counts"), strict=True):
+                key, count = _keys_of(raw.as_py()), _from_planes(counted.as_py())
+                some = count >= least
+                both, gains = _frequent_gains(law, frequent, key[some], count[some])
+                yield pa.RecordBatch.from_arrays([pa.array([key[some][both].tobytes()]), pa.array([gains[both].astype(np.float32).tobytes()])], names=["keys", "gains"])
+
+    return run
+
+
+def _open_bigrams(law: Law, frequent: Frequent):
+    """Bigrams with a word outside the table, a row for each: log(c - D), and the logs of the side that is in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, raw, counted in zip(b.column("shard"), b.column("keys"), b.column("counts"), strict=True):
+                key, count = _keys_of(raw.as_py()), _from_planes(counted.as_py())
+                h, w, at_h, is_h, at_w, is_w = _sides(key, frequent)
+                some = ~(is_h & is_w)
+                pick = lambda x, known: pa.array(x[some].astype(np.int64), mask=known[some])
+                log = lambda x, at, known: pa.array(x[at[some]].astype(float) if len(x) else np.zeros(int(some.sum())), mask=~known[some])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard.as_py()] * int(some.sum()), pa.int32()), pa.array(key[some].view(np.int64)), pa.array(np.log(law.kept(count[some].astype(float)))), pick(h, is_h), pick(w, is_w), log(frequent.log_left, at_h, is_h), log(frequent.log_q, at_w, is_w)],
+                    names=["shard", "key", "kept", "h", "w", "left_h", "q_w"],
+                )
+
+    return run
+
+
+def _packed_gains(table: pa.Table) -> pa.Table:
+    key, gain = table.column("key").to_numpy().view(np.uint64), table.column("gain").to_numpy()
+    order = np.argsort(key)
+    return pa.Table.from_batches([_batch(_schema(_ANSWERS), (table.column("shard")[0].as_py(), _key_bytes(key[order]), None, gain[order].astype(np.float32).tobytes()))])
+
+
+def _filter_slices(known: np.ndarray):
+    """Of a range of keys: the filter's bytes for those that are not ``known``; ranges meet in a byte at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column("keys"):
+                key = _keys_of(raw.as_py())
+                key = key[~_member(known, key)]
+                if len(key):
+                    slot = _slot(key)
+                    first = int(slot.min()) >> 3
+                    bits = np.zeros((int(slot.max()) >> 3) - first + 1, np.uint8)
+                    np.bitwise_or.at(bits, (slot >> 3) - first, (1 << (slot & 7)).astype(np.uint8))
+                    yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([bits.tobytes()])], names=["first", "bits"])
+
+    return run
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _member(known: np.ndarray, key: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(key), bool)
+    return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+
+
+def train(texts: DataFrame, most_words: int = MOST_WORDS, most_bigrams: int = MOST_BIGRAMS) -> Model:
+    """Count all of ``texts`` (text); null texts and texts without words say nothing.
+
+    ``most_words`` and ``most_bigrams`` bound what is sent to the executors, not what is counted.
+    """
+    shards = parts_for(texts)
+    bigrams = staged(texts.select("text").mapInArrow(_bigram_counts(shards), _COUNTS).groupBy("shard").applyInArrow(_added, _BIGRAMS), "bigrams")
+    facts = staged(bigrams.select("keys", "counts").mapInArrow(_word_facts(shards), _WORDS).groupBy("shard").applyInArrow(_added_facts, _SUMMED), "words")
+    n_words, n_followers, total = facts.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n_words", "n_followers", "n_before")]).first()
+    upper, of = discounts(*_sums(bigrams, "of")), _sums(facts, "of")
+    lower = discounts(*of)
+    # Of the words that follow any: one or two distinct histories are discounted by less than more are.
+    taken = lower[0] * of[0] + lower[1] * of[1] + lower[2] * (n_followers - of[0] - of[1])
+    law = Law(upper, lower, max(total, 1), (taken / total if total else 1.0) / (n_words + FIRST))
+    least = _least(facts, most_words)
+    got = facts.mapInArrow(_frequent_words(law, least), _FREQUENT).collect()
+    words = np.frombuffer(b"".join(r["words"] for r in got), np.uint32)
+    order = np.argsort(words)
+    frequent = Frequent(words[order], *[np.frombuffer(b"".join(r[c] for r in got), np.float32)[order] for c in ("log_q", "log_g", "log_left")])
+    got = bigrams.mapInArrow(_frequent_bigrams(law, frequent, _least(bigrams, most_bigrams)), "keys binary, gains binary").collect()
+    keys = np.frombuffer(b"".join(r["keys"] for r in got), np.uint64)
+    order = np.argsort(keys)
+    keys, gains = keys[order], np.frombuffer(b"".join(r["gains"] for r in got), np.float32)[order]
+    # Bigrams with a rare word: what the table lacks is joined to them, for either side.
+    rare = facts.mapInArrow(_rare_words(law, least), "word long, log_q double, log_left double")
+    joined = bigrams.select("shard", "keys", "counts").mapInArrow(_open_bigrams(law, frequent), "shard int, key long, kept double, h long, w long, left_h double, q_w double")
+    joined = joined.join(rare.select(F.col("word").alias("h"), F.col("log_left").alias("left_rare")), "h", "left").join(rare.select(F.col("word").alias("w"), F.col("log_q").alias("q_rare")), "w", "left")
+    gain = F.log(F.exp(F.col("kept") - F.coalesce("left_h", "left_rare") - F.coalesce("q_w", "q_rare")) + 1)
+    apart = joined.select("shard", "key", gain.alias("gain")).groupBy("shard").applyInArrow(_packed_gains, _ANSWERS)
+    alone = facts.mapInArrow(_rare_word_gains(law, least), _ANSWERS)
+    answers = staged(bigrams.select("shard", "keys", "counts", F.lit(None).cast("binary").alias("gains")).union(apart).union(alone), "answers")
+    dropped(bigrams, facts)
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in answers.select("keys").mapInArrow(_filter_slices(keys), "first long, bits binary").collect():
+        x = np.frombuffer(r["bits"], np.uint8)
+        bits[r["first"] : r["first"] + len(x)] |= x
+    return Model(law, frequent, keys, gains, bits, n_words, shards, answers)
+
+
+_REQUESTS = "kind int, shard int, block long, narrow int, local int, doc_id long, lang string, n long, base double, keys binary, counts binary, refs binary"
+
+
+def _requests(law: Law, frequent: Frequent, known: np.ndarray, gains: np.ndarray, bits: np.ndarray, shards: int, schema: pa.Schema):
+    """Of a block: each document's tokens and what is settled here of its log-probability (kind 0), and for each shard the keys that it may have, with the documents that ask (kind 1)."""
+    unknown = float(np.log(law.spare))
+
+    def describe(words: list[bytes]) -> tuple[np.ndarray, ...]:
+        word = _hash32(words)
+        return word, *about(word)
+
+    def about(word: np.ndarray) -> tuple[np.ndarray, ...]:
+        at, there = frequent.find(word)
+        if not len(frequent.words):
+            return np.full(len(word), unknown), np.zeros(len(word)), ~there
+        return np.where(there, frequent.log_q[at], unknown), np.where(there, frequent.log_g[at], 0.0), ~there
+
+    def flush(block: int, number: int, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, ref = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(key, kind="stable")  # refs ascend already
+        key, ref = key[order], ref[order]
+        cut, narrow = _cuts(key, shards), number <= 1 << 16
+        for s in range(shards):
+            part = key[cut[s] : cut[s + 1]]
+            if len(part):
+                start = _starts(part)
+                yield _batch(schema, (1, s, block, int(narrow), None, None, None, len(part), None, _key_bytes(part[start]), _planes(np.diff(np.append(start, len(part)))), ref[cut[s] : cut[s + 1]].astype(np.uint16 if narrow else np.uint32).tobytes()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = np.array([BEGIN, END], np.uint32)
+        log_q, log_g, _ = about(ends)
+        table = _Reader(describe, (ends, log_q, log_g, np.zeros(2, bool)))
+        block, number, held, many_held = TaskContext.get().partitionId(), 0, [], 0
         for rows, texts in text_chunks(batches):
-            h, w, text = table.bigrams(texts)
+            h, w, text, (word, log_q, log_g, rare) = table.bigrams(texts)
             many = len(texts)
             n = np.bincount(text, minlength=many)
-            base = np.bincount(text, log_q[w] + log_g[h], many)
-            key = _bigrams(h, w)
+            # Equal bigrams of the chunk are looked up once.
+            order = np.argsort(pair := h.astype(np.int64) << 32 | w, kind="stable")
+            start = _starts(pair[order])
+            of = np.empty(len(pair), np.int64)
+            of[order] = np.cumsum(np.bincount(start, minlength=len(pair))[: len(pair)]) - 1 if len(pair) else 0
+            first = order[start]
+            key = _key(word[h[first]], word[w[first]])
+            at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+            here = known[at] == key if len(known) else np.zeros(len(key), bool)
+            gain = np.where(here, gains[at], 0.0) if len(known) else np.zeros(len(key))
+            base = np.bincount(text, log_q[w] + log_g[h] + gain[of], many)
             slot = _slot(key)
-            some = (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
-            held_keys.append(key[some])
-            held_refs.append((text[some] + number).astype(np.uint32))
-            columns = [[0] * many, [(block * 7919 + i) % shards for i in range(many)], [block] * many, range(number, number + many), rows.column(0), rows.column(1), n, base] + [[None] * many] * 3
+            ask = ~here & (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+            some, new = ask[of], rare[w]
+            alone = _key(np.zeros(len(word)), word)
+            slot = _slot(alone)
+            new &= (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)[w]
+            held.append((np.concatenate([key[of[some]], alone[w[new]]]), (np.concatenate([text[some], text[new]]) + number).astype(np.uint32)))
+            many_held += len(held[-1][0])
+            columns = [[0] * many, [(block * 7919 + i) % shards for i in range(many)], [block] * many, [None] * many, range(number, number + many), rows.column(0), rows.column(1), n, base] + [[None] * many] * 3
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
             number += many
-        if not held_keys:
-            return
-        key, ref = np.concatenate(held_keys), np.concatenate(held_refs)
-        held_keys.clear()
-        held_refs.clear()
-        order = np.argsort(key, kind="stable")  # refs ascend already
-        shard = _shard_of(key[order] >> np.uint64(32), shards).astype(np.uint16 if shards <= 1 << 16 else np.int64)
-        by_shard = np.argsort(shard, kind="stable")
-        order, shard = order[by_shard], shard[by_shard]
-        key, ref = key[order], ref[order]
-        cut = np.searchsorted(shard, np.arange(shards + 1))
-        narrow = np.uint16 if number <= 1 << 16 else np.uint32
-        for s in range(shards):
-            part = key[cut[s] : cut[s + 1]]
-            if len(part):
-                start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                row = [1, s, block, int(narrow == np.uint32), None, None, len(part), None, _bigram_bytes(part[start]), _planes(np.diff(np.append(start, len(part)))), ref[cut[s] : cut[s + 1]].astype(narrow).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+            if many_held > MOST_HELD:
+                yield from flush(block, number, held)
+                many_held = 0
+        if held:
+            yield from flush(block, number, held)
 
     return run
 
 
-def _answers(q: np.ndarray, log_g: np.ndarray, tokens: np.ndarray, d: tuple[float, float, float], schema: pa.Schema):
-    """Of a shard: for each block's request, what its seen bigrams add for each document; documents' rows as they are."""
-
-    def run(asked: pa.Table, counts: pa.Table) -> pa.Table:
-        kind = asked.column("kind").to_numpy()
-        out = [asked.filter(pa.array(kind == 0)).cast(schema)]
-        if counts.num_rows:
-            raw = counts.to_pydict()
-            key, count = _unpacked(raw, _bigrams_of)
-            order = np.argsort(key)
-            key, count = key[order], count[order].astype(float)
-            h, w = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
-            share = (count - np.select([count == 1, count == 2], d[:2], d[2])) / tokens[h]
-            more = np.log(share / (np.exp(log_g[h]) * q[w]) + 1)
-            for r in asked.filter(pa.array(kind == 1)).to_pylist():
-                k = _bigrams_of(r["keys"])
-                at = np.minimum(np.searchsorted(key, k), len(key) - 1)
-                gain = np.where(key[at] == k, more[at], 0.0)
-                ref = np.frombuffer(r["refs"], np.uint32 if r["local"] else np.uint16)
-                each = np.bincount(ref, np.repeat(gain, _from_planes(r["counts"])))
-                some = np.flatnonzero(each)
-                row = [1, r["shard"], r["block"], r["local"], None, None, len(some), None, each[some].astype(np.float32).tobytes(), None, some.astype(np.uint32).tobytes()]
-                out.append(pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema))
+def _answered(law: Law, frequent: Frequent, schema: pa.Schema):
+    """Of a shard: for each request what its keys add for each document; documents' rows as they are."""
+
+    def run(asked: pa.Table, answers: pa.Table) -> pa.Table:
+        out = [asked.filter(pa.array(asked.column("kind").to_numpy() == 0)).cast(schema)]
+        requests = asked.filter(pa.array(asked.column("kind").to_numpy() == 1))
+        if not answers.num_rows or not requests.num_rows:
+            return pa.concat_tables(out)
+        keys, gains = [], []
+        for raw, counted, gain in zip(answers.column("keys"), answers.column("counts"), answers.column("gains"), strict=True):
+            key = _keys_of(raw.as_py())
+            if gain.is_valid:
+                keys.append(key)
+                gains.append(np.frombuffer(gain.as_py(), np.float32).astype(float))
+            else:
+                both, more = _frequent_gains(law, frequent, key, _from_planes(counted.as_py()))
+                keys.append(key[both])
+                gains.append(more[both])
+        key, gain = np.concatenate(keys), np.concatenate(gains)
+        order = np.argsort(key)
+        key, gain = key[order], gain[order]
+        for i in range(requests.num_rows if len(key) else 0):
+            r = {c: requests.column(c)[i].as_py() for c in ("shard", "block", "narrow", "keys", "counts", "refs")}
+            k = _keys_of(r["keys"])
+            at = np.minimum(np.searchsorted(key, k), len(key) - 1)
+            more = np.where(key[at] == k, gain[at], 0.0)
+            ref = np.frombuffer(r["refs"], np.uint16 if r["narrow"] else np.uint32)
+            each = np.bincount(ref, np.repeat(more, _from_planes(r["counts"]).astype(np.int64)))
+            some = np.flatnonzero(each)
+            if len(some):
+                row = (1, r["shard"], r["block"], None, None, None, None, len(some), None, each[some].astype(np.float32).tobytes(), None, some.astype(np.uint32).tobytes())
+                out.append(pa.Table.from_batches([_batch(schema, row)]))
         return pa.concat_tables(out)
 
     return run
@@ -402,24 +615,23 @@ def _answers(q: np.ndarray, log_g: np.ndarray, tokens: np.ndarray, d: tuple[floa
 def _totals(table: pa.Table) -> pa.Table:
     """Of a block: every document with its whole log-probability."""
     kind = table.column("kind").to_numpy()
-    documents, parts = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 1)).select(["keys", "refs"]).to_pydict()
+    documents, parts = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 1)).select(["keys", "refs"])
     local = documents.column("local").to_numpy()
     total = np.zeros(int(local.max(initial=-1)) + 1)
-    ref = np.frombuffer(b"".join(parts["refs"]), np.uint32)
-    total += np.bincount(ref, np.frombuffer(b"".join(parts["keys"]), np.float32), len(total))
+    for keys, refs in zip(parts.column("keys"), parts.column("refs"), strict=True):
+        total[np.frombuffer(refs.as_py(), np.uint32)] += np.frombuffer(keys.as_py(), np.float32)  # distinct documents
     log_p = documents.column("base").to_numpy() + total[local]
     return pa.table([documents.column("doc_id"), documents.column("lang"), documents.column("n"), pa.array(log_p)], names=["doc_id", "lang", "n_tokens", "log_probability"])
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id (long), lang, n_tokens and log_probability of every whole text, the end of the text being a token; 0 tokens for a text without words."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = to_arrow_schema(_parse_datatype_string(_REQUESTS))
-    asked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_requests(model.vocabulary, model.log_q, model.log_g, model.bits, model.shards, schema), _REQUESTS)
-    answers = asked.groupBy("shard").cogroup(model.counts.groupBy("shard")).applyInArrow(_answers(model.q, model.log_g, model.tokens, model.discounts, schema), _REQUESTS)
-    return answers.groupBy("block").applyInArrow(_totals, "doc_id long, lang string, n_tokens long, log_probability double")
+    """doc_id, lang, n_tokens and log_probability of every whole text, the end of the text being a token; 0 tokens for a text without words."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    kinds = _REQUESTS.replace("doc_id long", f"doc_id {kind}")
+    schema = _schema(kinds)
+    asked = documents.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_requests(model.law, model.frequent, model.keys, model.gains, model.bits, model.shards, schema), kinds)
+    answers = asked.groupBy("shard").cogroup(model.answers.groupBy("shard")).applyInArrow(_answered(model.law, model.frequent, schema), kinds)
+    return answers.groupBy("block").applyInArrow(_totals, f"doc_id {kind}, lang string, n_tokens long, log_probability double")
 
 
 def trusted_only(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -439,14 +651,17 @@ def perplexities(documents: DataFrame, trusted: DataFrame, calibration: Calibrat
     checksum of doc_id, is not learned from and gives the thresholds.  A text
     without words, or null, has a null log_perplexity and is not kept; a null
     language uses the thresholds of all.  Without trusted documents all texts with
-    words are kept.  Repeated rows are judged each; an empty table gives no rows.
+    words are kept.  Very long texts are scored whole; repeated rows are judged each,
+    and count each where they are trusted; equal perplexities are judged alike; an
+    empty table gives no rows.  Other columns are not read.
     """
-    trusted = staged(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "trusted")
+    trusted = staged(trusted.select("doc_id").where("doc_id is not null").distinct(), "trusted")
     aside = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    model = train(trusted_only(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), trusted.where(~aside)))
+    model = train(trusted_only(documents.select("doc_id", "text"), trusted.where(~aside)))
     scored = score(documents, model)
     length = F.when(F.col("n_tokens") < 32, 0).when(F.col("n_tokens") < 128, 1).otherwise(2)
     scored = staged(scored.withColumn("log_perplexity", F.when(F.col("n_tokens") > 0, -F.col("log_probability") / F.col("n_tokens"))).withColumn("length", length), "scores")
+    dropped(model.answers)
     held = trusted_only(scored.where("log_perplexity is not null"), trusted.where(aside))
 
     def quantiles(name: str, *keys: str) -> DataFrame:

@@ -74,10 +74,8 @@ def test_toxicity_without_two_labels(spark):
     assert 0 <= toxicity.score_toxicity(docs, empty).first()["score"] <= 1
 
 
-def brute_perplexity(train, texts, most):
-    words = Counter(w for t in train for w in t.split())
-    keep = {w for w, n in words.items() if n > sorted(words.values(), reverse=True)[most]} if len(words) > most else set(words)
-    unknown = len(words) - len(keep)
+def brute_perplexity(train, texts):
+    keep = {w for t in train for w in t.split()}
     seq = lambda t: ["<s>", *[w if w in keep else "<unk>" for w in t.split()], "</s>"]
     c = Counter(p for t in train if t.split() for p in itertools.pairwise(seq(t)))
     size = len(keep) + 3
@@ -101,19 +99,20 @@ def brute_perplexity(train, texts, most):
 
     for h in list(after)[:5] + ["never"]:
         assert sum(p(h, w) for w in [*keep, "<unk>", "<s>", "</s>"]) == pytest.approx(1, abs=1e-9)
-    return [sum(math.log(p(h, w)) - (math.log(unknown) if w == "<unk>" and unknown else 0) for h, w in itertools.pairwise(seq(t))) if t and t.split() else 0.0 for t in texts]
+    return [sum(math.log(p(h, w)) for h, w in itertools.pairwise(seq(t))) if t and t.split() else 0.0 for t in texts]
 
 
-@pytest.mark.parametrize("most", [1000, 15])
-def test_perplexity_against_brute_force(spark, most):
+@pytest.mark.parametrize(("words", "bigrams"), [(1 << 20, 1 << 21), (15, 40), (0, 0)])
+def test_perplexity_against_brute_force(spark, words, bigrams):
+    """What is sent to the executors (all, some or nothing) does not matter to the result."""
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(40)]
     text = lambda: " ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(40)], k=rng.randint(1, 60)))
-    train, texts = [text() for _ in range(60)], [text() + " new word" * (i % 3) for i in range(30)] + ["", None, "w0"]
+    train, texts = [text() for _ in range(60)], [text() + " new word" * (i % 3) for i in range(30)] + ["", None, "w0", "w3 w1 new " * 20_000]
     docs = spark.createDataFrame([(i, t, "en", 0.5) for i, t in enumerate(texts)] + [(None, "w1 w2", None, 0.5)], "doc_id long, text string, lang string, base double")
-    model = kneser_ney.train(spark.createDataFrame([(t,) for t in train] + [(None,), ("",)], "text string"), most)
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in train] + [(None,), ("",)], "text string").repartition(3), words, bigrams)
     got = {r["doc_id"]: r for r in kneser_ney.score(docs, model).collect()}
-    want = brute_perplexity(train, texts, most)
+    want = brute_perplexity(train, texts)
     assert len(got) == len(texts) + 1
     for i, x in enumerate(want):
         assert got[i]["log_probability"] == pytest.approx(x, rel=1e-5, abs=1e-5)
@@ -124,12 +123,23 @@ def test_all_trusted_words_count(spark):
     words = [f"w{i}" for i in range(70_000)]
     train = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
     model = kneser_ney.train(spark.createDataFrame([(t,) for t in train], "text string"))
-    assert len(model.vocabulary) == len(words)
+    assert len(words) - 5 <= model.n_words <= len(words)  # words of one 32-bit hash are one
     texts = ["w50 w51", "w69950 w69951", "w50 w52", "w50 other"]
     got = {r["doc_id"]: r["log_probability"] for r in kneser_ney.score(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string"), model).collect()}
     assert got[0] == pytest.approx(got[1]) and got[0] > got[2] > got[3]
 
 
+def test_keys_are_a_bijection_and_counts_do_not_wrap():
+    rng = np.random.default_rng(4)
+    h, w = rng.integers(0, 1 << 32, 1000, np.uint64), rng.integers(0, 1 << 32, 1000, np.uint64)
+    back = kneser_ney._words_of(kneser_ney._key(h, w))
+    assert (back[0] == h).all() and (back[1] == w).all()
+    many = np.array([1, 5_000_000_000, 1 << 60])
+    assert kneser_ney._from_planes(kneser_ney._planes(many)).tolist() == many.tolist()
+    keys = np.sort(kneser_ney._key(h, w))
+    assert (kneser_ney._keys_of(kneser_ney._key_bytes(keys)) == keys).all()
+
+
 def test_perplexity_thresholds(spark):
     rng = random.Random(9)
     good = lambda: " ".join(rng.choices(["the", "cat", "sat", "on", "a", "mat"], k=40))
