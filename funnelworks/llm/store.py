@@ -59,6 +59,12 @@ def dropped(*tables: DataFrame) -> None:
         table.sparkSession._jvm.System.gc()
 
 
+def reading(result: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``result``, with the staged tables that it reads named in ``_reads``: once it is written they can be ``dropped``."""
+    result._reads = tables
+    return result
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all that operators have left in the shared folder; results that were not written or collected are lost."""
     _delete(spark, f"{shared_dir(spark)}/funnelworks")
@@ -68,9 +74,18 @@ def clear(spark: SparkSession) -> None:
 MOST_SENT = 500_000
 
 
-def sent(keys: DataFrame) -> DataFrame:
-    """``keys``, a written table of narrow rows, as a side of a join: broadcast if it is few, else shuffled."""
-    return F.broadcast(keys) if keys.limit(MOST_SENT + 1).count() <= MOST_SENT else keys.hint("merge")
+def sent(keys: DataFrame, weight: Column | None = None) -> DataFrame:
+    """``keys``, a written table of narrow rows, as a side of a join: broadcast if it is few, else shuffled.  ``weight`` says how many rows one counts for."""
+    few = keys.limit(MOST_SENT + 1).count() if weight is None else keys.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(keys) if few <= MOST_SENT else keys.hint("merge")
+
+
+def unused(table: DataFrame, name: str) -> str:
+    """A column name that ``table`` lacks."""
+    taken = {c.lower() for c in table.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:

@@ -19,13 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import staged
+from .store import FILTER_BITS, bit_filter, staged
 from .words import WordTable, hash_words, text_chunks, window_hashes
 
-#: Bits of the filter that spares the join most seeds of clean documents: its size is fixed, whatever the benchmark's.
-FILTER_BITS = 1 << 24
-FILTER_PARTS = 64
-
 
 @dataclass(frozen=True)
 class Tiling:
@@ -58,7 +54,7 @@ class _Reader:
 
 
 def _slots(seeds: np.ndarray) -> np.ndarray:
-    return (seeds >> np.uint64(40)).astype(np.int64) % FILTER_BITS
+    return (seeds >> np.uint64(40)).astype(np.int64) % FILTER_BITS  # the filter spares the join most seeds of clean documents
 
 
 def _items(tiling: Tiling):
@@ -72,31 +68,9 @@ def _items(tiling: Tiling):
     return run
 
 
-def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for b in batches:
-        slot = _slots(b.column("seed").to_numpy().astype(np.uint64))
-        np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-    size = len(bits) // FILTER_PARTS
-    for i in range(FILTER_PARTS):
-        part = bits[i * size : (i + 1) * size]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["part", "bits"])
-
-
-def _any_of(table: pa.Table) -> pa.Table:
-    total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
-    return pa.table([pa.array([table.column("part")[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "bits"])
-
-
 def seed_filter(seeds: DataFrame) -> np.ndarray:
     """One bit for each hash slot that holds a seed; FILTER_BITS in all."""
-    parts = seeds.select("seed").mapInArrow(_filter_parts, "part int, bits binary").groupBy("part").applyInArrow(_any_of, "part int, bits binary").collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    size = len(bits) // FILTER_PARTS
-    for r in parts:
-        bits[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return bits
+    return bit_filter(seeds.select(F.shiftrightunsigned("seed", 40).alias("slot")))
 
 
 def _hits(bits: np.ndarray, tiling: Tiling, schema: pa.Schema):

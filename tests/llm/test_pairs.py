@@ -1,11 +1,12 @@
 """Jaccard join, components, tiling and chaining."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 
-from funnelworks.llm.chaining import Chaining, Fenwick, aligned_parts, chain, cut_words, minimizers, repeated_passages, without_repeats
+from funnelworks.llm.chaining import Chaining, Fenwick, _common, aligned_parts, chain, cut_words, minimizers, repeated_passages, without_repeats
 from funnelworks.llm.components import components
 from funnelworks.llm.jaccard import Rule, near_duplicates, tile_links
 from funnelworks.llm.tiling import Tiling, leaks, tile
@@ -283,6 +284,84 @@ def test_parts_of_a_chain_that_does_not_align(spark):
     assert not aligned_parts(np.array(a[80:]), np.array(b[80:]), np.array([(0, 0, len(a) - 80)]), rule)
 
 
+def covered(rows, doc_id):
+    return {w for r in rows if r["doc_id"] == doc_id for w in range(r["start"], r["end"])}
+
+
+def test_passages_whose_parts_lie_elsewhere(spark):
+    """No partner of a seed has the whole passage: the halves occur apart before, between and after."""
+    rng = random.Random(31)
+    prose = lambda n: [f"w{rng.randint(0, 10**7)}" for _ in range(n)]
+    whole, ten = prose(80), [prose(10) for _ in range(6)]
+    pieces = lambda a, b: prose(20) + a + prose(60) + b + prose(9)
+    texts = [pieces(whole[:40], []), pieces([], whole[40:]), prose(30) + whole + prose(20)] + [pieces(whole[:40], whole[40:]) for _ in range(4)] + [prose(7) + whole + prose(3)]
+    texts += [pieces(ten[i], ten[j]) for i in range(6) for j in range(6)] + [sum(ten, prose(5))] + [pieces(ten[i], ten[j]) for i in range(6) for j in range(6)] + [sum(ten, prose(11))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = repeated_passages(docs).collect()
+    # Document 8 of the order shares all 80 words with the third alone, which is the partner of none of its seeds.
+    assert covered(got, 7) >= set(range(7, 87)) and any((r["start"], r["end"], r["other_doc_id"]) == (7, 87, 2) for r in got)
+    last = len(texts) - 1
+    assert covered(got, last) == set(range(11, 71)) and last - 37 in {r["other_doc_id"] for r in got if r["doc_id"] == last}
+    assert not {0, 1, 2, 3, 8, last - 37} & {r["doc_id"] for r in got}
+
+
+def test_null_and_repeated_ids_and_repeats_in_one_document(spark):
+    rng = random.Random(32)
+    prose = lambda n: [f"w{rng.randint(0, 10**7)}" for _ in range(n)]
+    one, two = prose(70), prose(60)
+    changed = [w if i % 17 else "other" for i, w in enumerate(two)]
+    rows = [(i, " ".join(one)) for i in (None, 2, 3, 3, None)] + [(10, " ".join(prose(8) + two + prose(30) + two + prose(5))), (11, " ".join(["and"] * 300)), (12, " ".join(prose(20) + ["and"] * 90)), (13, " ".join(prose(20) + changed + prose(3))), (14, "x " * 60_000 + "y")]
+    for parts in (1, 4):
+        got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        copies = {(r["doc_id"], r["other_doc_id"]) for r in got if r["doc_id"] in (None, 2, 3)}
+        assert len(copies) == 2 and len({b for _, b in copies}) == 1 and {a for a, _ in copies} | {b for _, b in copies} == {None, 2, 3}
+        inside = [r for r in got if r["doc_id"] == r["other_doc_id"] == 10]
+        assert (98, 158) in {(r["start"], r["end"]) for r in inside} and all(r["other_end"] <= r["start"] for r in inside)
+        ands = covered(got, 11), covered(got, 12)
+        assert ands in ((set(range(50, 300)), set(range(20, 110))), (set(range(300)), set(range(70, 110))))
+        assert covered(got, 14) == set(range(50, 60_000)) and sum(r["doc_id"] == 14 for r in got) < 3000
+        assert (len(covered(got, 13)) >= 56) or len(covered(got, 10)) >= 112
+
+
+def test_common_words_of_long_stretches():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 30, 90)
+    b = np.concatenate([a[:40], rng.integers(30, 60, 3), a[40:]])
+    assert _common(a, b) == 90
+    for _ in range(20):
+        x, y = rng.integers(0, 5, rng.integers(0, 80)), rng.integers(0, 5, rng.integers(0, 80))
+        table = np.zeros((len(x) + 1, len(y) + 1), int)
+        for i in range(len(x)):
+            for j in range(len(y)):
+                table[i + 1, j + 1] = table[i, j] + 1 if x[i] == y[j] else max(table[i, j + 1], table[i + 1, j])
+        assert _common(x, y) == table[-1, -1]
+
+
+def exact_repeats(texts, size):
+    """Words of each text in runs that an earlier text has, or itself before without overlap; by looking at all runs."""
+    seen, out = {}, []
+    for d, words in enumerate(texts):
+        mine = set()
+        for i in range(len(words) - size + 1):
+            first = seen.setdefault(tuple(words[i : i + size]), (d, i))
+            if first[0] != d or i - first[1] >= size:
+                mine |= set(range(i, i + size))
+        out.append(mine)
+    return out
+
+
+def test_every_exact_repeat_of_a_table_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    rows = docs.select("doc_id", "text").collect()
+    got = {}
+    for r in repeated_passages(docs).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    want = exact_repeats([re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "") for r in rows], 50)
+    assert sum(map(bool, want)) > 50
+    for r, words in zip(rows, want, strict=True):
+        assert words <= got.get(r["doc_id"], set()), r["doc_id"]
+
+
 def test_cuts(spark):
     assert cut_words(b"a b  c\nd e", [(1, 3)]) == b"a \nd e"
     assert cut_words(b" a b ", [(0, 2)]) == b"  "
