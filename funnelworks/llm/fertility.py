@@ -3,8 +3,9 @@
 Prose of a language gives about the same number of characters per token, the same
 share of tokens that fall back to single bytes, and a token distribution whose
 entropy follows the text's length.  Junk does not.  The bands are medians of a
-language (of a script where the language is not known) with a width from the
-median deviation of its documents, both over the whole table.
+language with a width from the median deviation of its documents, both over the
+whole table; of its script where the language is not known or has too few
+documents, and of all documents where the script has too few as well.
 """
 
 from __future__ import annotations
@@ -36,14 +37,13 @@ class FertilityRules:
 
     A measure x of a document with n tokens is rejected when it is further from
     its group's median m than ``width * s / sqrt(n) + slack * m``; s is the median
-    of ``|x - m| * sqrt(n)`` over the group.  Documents of under ``least_tokens``
-    tokens are too short to tell and are kept, as are groups of under ``least_documents``.
+    of ``|x - m| * sqrt(n)`` over the group.  Short texts have wide
+    bands by that.  A group of under ``least_documents`` is judged by the next wider.
     """
 
     width: float = 6.0
-    slack: float = 0.04
+    slack: float = 0.02
     byte_share_slack: float = 0.02
-    least_tokens: int = 60
     least_documents: int = 20
 
 
@@ -173,17 +173,29 @@ def _small(bands: DataFrame) -> DataFrame:
     return F.broadcast(bands) if bands.limit(MOST_BANDS + 1).count() <= MOST_BANDS else bands
 
 
+def _bands(used: DataFrame, level: str, keys: list[str], names: tuple[str, ...], rules: FertilityRules) -> DataFrame:
+    """For each group by ``keys``, as a struct named ``level``: the measures' medians, and those of how far documents are off, times sqrt(tokens).
+
+    Groups of too few documents have no row; all documents together have one always.
+    """
+    rows = used.dropna(subset=keys) if keys else used
+    middle = _small(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("documents"), *[F.percentile_approx(x, 0.5, 10000).alias(f"{x}_mid") for x in names]).where(F.col("documents") >= (rules.least_documents if keys else 0)))
+    placed = rows.join(middle, keys) if keys else rows.crossJoin(F.broadcast(middle))
+    off = lambda x: F.abs(F.col(x) - F.col(f"{x}_mid")) * F.sqrt("n_tokens")
+    spreads = placed.groupBy(*keys).agg(*[F.first(f"{x}_mid").alias(f"{x}_mid") for x in names], *[F.percentile_approx(off(x), 0.5, 10000).alias(f"{x}_dev") for x in names])
+    return _small(spreads.select(*keys, F.struct(*[f"{x}_{y}" for x in names for y in ("mid", "dev")]).alias(level)))
+
+
 def judge(measured: DataFrame, rules: FertilityRules = FertilityRules()) -> DataFrame:
     """``measured`` with chars_per_token, chars_per_rank_token, byte_share, entropy_ratio, base_failed, out_of_band and kept.
 
-    ``measured`` is read twice, so it should be a written table.  The bands are a
-    few numbers for each language or script.  Documents that fail the base rules
-    have no part in them.
+    ``measured`` is read several times, so it should be a written table.  The bands
+    are a few numbers for each language or script.  Documents that fail the base
+    rules have no part in them.
     """
     n = F.greatest(F.col("n_tokens"), F.lit(1))
     measured = (
-        measured.withColumn("band", F.coalesce("lang", "script", F.lit("none")))
-        .withColumn("chars_per_token", F.col("word_chars") / n)
+        measured.withColumn("chars_per_token", F.col("word_chars") / n)
         .withColumn("chars_per_rank_token", F.col("word_chars") / F.greatest(F.col("n_rank_tokens"), F.lit(1)))
         .withColumn("byte_share", F.col("n_byte_tokens") / n)
         # Of a short text the entropy is near log2(n); of a long one it is that of the language.
@@ -191,26 +203,27 @@ def judge(measured: DataFrame, rules: FertilityRules = FertilityRules()) -> Data
         .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     )
     names = ("chars_per_token", "chars_per_rank_token", "byte_share", "entropy_ratio")
-    long = F.col("n_tokens") >= rules.least_tokens
-    used = measured.where(long & ~F.col("base_failed"))
-    middle = _small(used.groupBy("band").agg(F.count(F.lit(1)).alias("documents"), *[F.percentile_approx(x, 0.5, 10000).alias(f"{x}_mid") for x in names]))
-    off = lambda x: F.abs(F.col(x) - F.col(f"{x}_mid"))
-    spreads = used.join(middle, "band").groupBy("band").agg(*[F.percentile_approx(off(x) * F.sqrt("n_tokens"), 0.5, 10000).alias(f"{x}_dev") for x in names])
-    bands = middle.join(spreads, "band").where(F.col("documents") >= rules.least_documents)
-    bands = _small(bands)
-    slack = lambda x: F.lit(rules.byte_share_slack) if x == "byte_share" else F.lit(rules.slack) * F.col(f"{x}_mid")
+    used = measured.where(~F.col("base_failed"))
+    judged = measured
+    levels = (("by_lang", ["lang"]), ("by_script", ["script"]), ("by_all", []))
+    for level, keys in levels:
+        judged = judged.join(_bands(used, level, keys, names, rules), keys, "left") if keys else judged.crossJoin(F.broadcast(_bands(used, level, keys, names, rules)))
+    judged = judged.withColumn("band", F.coalesce(*[level for level, _ in levels]))
     outside = F.lit(False)
     for x in names:
-        far = off(x) > rules.width * F.col(f"{x}_dev") / F.sqrt(n) + slack(x)
-        outside = outside | (far if x != "byte_share" else far & (F.col(x) > F.col(f"{x}_mid")))
-    judged = measured.join(bands, "band", "left").withColumn("out_of_band", F.coalesce(outside & long, F.lit(False)))
+        mid, dev = F.col(f"band.{x}_mid"), F.col(f"band.{x}_dev")
+        slack = F.lit(rules.byte_share_slack) if x == "byte_share" else F.lit(rules.slack) * mid
+        off = F.col(x) - mid if x == "byte_share" else F.abs(F.col(x) - mid)
+        outside = outside | (off > rules.width * dev / F.sqrt(n) + slack)
+    judged = judged.withColumn("out_of_band", F.coalesce(outside, F.lit(False))).drop("band", *[level for level, _ in levels])
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("out_of_band"))
 
 
 def quality_rules(documents: DataFrame, piece_path: str, rank_path: str, rules: FertilityRules = FertilityRules()) -> DataFrame:
     """Every document with its measures and verdict; see ``measure`` and ``judge``.
 
-    Null languages are judged by script; an empty table gives no rows; repeated
-    rows are judged each.  Other columns of ``documents`` are not read.
+    Null languages are judged by script; very long texts are measured whole, by one
+    task each; equal texts of a language are judged alike, repeated rows each; an
+    empty table gives no rows.  Other columns of ``documents`` are not read.
     """
     return judge(staged(measure(documents, piece_path, rank_path), "fertility"), rules)
