@@ -1,11 +1,11 @@
 """Licence scans by a trained paragraph classifier, in DataFrame operations alone.
 
-Every line of a text with a word is a paragraph.  Its words and word pairs are the
-sparse inputs of a multinomial logistic regression over licence families and
-``none``; probabilities are calibrated by a temperature fitted on variants that
-training did not see, and a paragraph that looks like a licence without a clear
-family is ``unknown``.  A family is confirmed if one of its templates has most of
-its words in common with the paragraph.
+Paragraphs are what blank lines part.  Their words and word pairs are the sparse
+inputs of a multinomial logistic regression over licence families, ``none`` and
+``unknown``; the last is learned from notices whose naming words are replaced, and
+the probabilities are calibrated by a temperature and a threshold that variants and
+whole families unseen in training decide.  A family is confirmed if the paragraph
+has a template's naming words and half of its word pairs.
 
 Inputs are n-grams with at least one telling word of the templates; a paragraph
 without such a word has no inputs and is ``none`` whatever the weights, so whole
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import staged
+from .store import dropped, staged
 
 NONE, UNKNOWN = "none", "unknown"
 
@@ -134,8 +134,9 @@ _WORD = re.compile(r"[a-z0-9]+")
 _COMMON = frozenset("a above all along an and any are as at be by can except file following for free from have if in into is it its later list may met not notice of on or part received should source terms that the their this to under use used was were with without you your published work form code program library document text project copy copies person portions international version 0 1 2 3 4 v http www org".split())
 #: Copies of each template with words dropped, joined and added, for training; and as many for calibration.
 VARIANTS = 24
-THRESHOLD = 0.6
-#: Share of the words of paragraph and template together that both have.
+#: Rounds in which a third of the families is held out to see what probability unseen families get.
+ROUNDS = 3
+#: Share of a template's word pairs that a confirmed paragraph has.
 CONFIRM = 0.5
 
 
@@ -158,6 +159,15 @@ class LicenceModel:
     weights: dict[str, tuple[float, ...]]
     bias: tuple[float, ...]
     temperature: float
+    #: A family needs this probability.
+    threshold: float
+
+
+def naming_words(template: str) -> list[str]:
+    """Telling words of a template that no other family's templates have."""
+    own = next(f for f, group in TEMPLATES.items() if template in group)
+    others = {w for f, group in TEMPLATES.items() if f != own for t in group for w in words_of(t)}
+    return sorted(set(words_of(template)) & set(telling_words()) - others)
 
 
 def _variant(words: list[str], rng: random.Random, fillers: list[str]) -> list[str]:
@@ -167,82 +177,120 @@ def _variant(words: list[str], rng: random.Random, fillers: list[str]) -> list[s
     return out[:at] + some + out[at:]
 
 
-@lru_cache(maxsize=1)
-def train(seed: int = 11) -> LicenceModel:
-    """Fit on variants of the templates and near misses; bounded by their number, the same at every run."""
-    rng = random.Random(seed)
-    classes = (NONE, *TEMPLATES)
+def _sample(families: list[str], rng: random.Random) -> tuple[list[set[str]], list[str]]:
+    """Inputs and classes: variants of the families' templates, of those without their names, and of near misses; and texts without inputs."""
     telling = set(telling_words())
     fillers = sorted({w for t in NEAR_MISSES for w in words_of(t)} - telling)
+    xs, ys = [], []
 
-    def sample() -> tuple[list[set[str]], list[int]]:
-        xs, ys = [], []
-        for label, family in enumerate(classes):
-            for template in TEMPLATES.get(family, ()):
-                own = words_of(template)
-                for k in range(VARIANTS):
-                    xs.append(ngrams(own if k == 0 else _variant(own, rng, fillers)))
-                    ys.append(label)
-        for template in NEAR_MISSES:
-            for k in range(VARIANTS):
-                own = words_of(template)
-                xs.append(ngrams(own if k == 0 else _variant(own, rng, fillers)))
-                ys.append(0)
-        return xs, ys
+    def add(words: list[str], label: str) -> None:
+        xs.append(ngrams(words))
+        ys.append(label)
 
-    (xs, ys), (held_xs, held_ys) = sample(), sample()
+    for family in families:
+        for template in TEMPLATES[family]:
+            own, names = words_of(template), set(naming_words(template))
+            for k in range(VARIANTS):
+                add(own if k == 0 else _variant(own, rng, fillers), family)
+            rest = set(own) & telling - names
+            # A notice without its name may be another family's, as that of a licence with fewer conditions.
+            another = any(set(words_of(t)) & telling <= rest for f in families if f != family for t in TEMPLATES[f])
+            for _ in range(VARIANTS if names and not another else 0):
+                add(_variant([rng.choice(fillers) if w in names else w for w in own], rng, fillers), UNKNOWN)
+    for template in NEAR_MISSES:
+        own = words_of(template)
+        for k in range(VARIANTS):
+            add(own if k == 0 else _variant(own, rng, fillers), NONE)
+    for _ in range(4 * VARIANTS):
+        add([], NONE)
+    return xs, ys
+
+
+def _matrix(rows: list[set[str]], index: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(rows), len(index)))
+    for i, row in enumerate(rows):
+        out[i, [index[g] for g in row if g in index]] = 1
+    return out
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def _fit(families: list[str], rng: random.Random) -> tuple[tuple[str, ...], dict[str, int], np.ndarray, np.ndarray]:
+    classes, telling = (NONE, UNKNOWN, *families), set(telling_words())
+    xs, ys = _sample(families, rng)
     seen = Counter(g for x in xs for g in x if telling & set(g.split()))
     index = {g: i for i, g in enumerate(sorted(g for g, n in seen.items() if n >= VARIANTS // 2))}
-
-    def matrix(rows: list[set[str]]) -> np.ndarray:
-        out = np.zeros((len(rows), len(index)))
-        for i, row in enumerate(rows):
-            out[i, [index[g] for g in row if g in index]] = 1
-        return out
-
-    x, y = matrix(xs), np.eye(len(classes))[ys]
+    x, y = _matrix(xs, index), np.eye(len(classes))[[classes.index(c) for c in ys]]
     w, b = np.zeros((x.shape[1], len(classes))), np.zeros(len(classes))
     speed_w, speed_b = np.zeros_like(w), np.zeros_like(b)
-    for _ in range(400):
-        z = x @ w + b
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        d = (p - y) / len(x)
+    for _ in range(300):
+        d = (_softmax(x @ w + b) - y) / len(x)
         speed_w, speed_b = 0.9 * speed_w - (x.T @ d + 1e-4 * w), 0.9 * speed_b - d.sum(0)
         w, b = w + 1.5 * speed_w, b + 1.5 * speed_b
-    b[0] = max(b[0], b[1:].max() + 2.0)  # no inputs: none
-    z, held = matrix(held_xs) @ w + b, np.array(held_ys)
+    return classes, index, w, b
+
+
+@lru_cache(maxsize=1)
+def train(seed: int = 11) -> LicenceModel:
+    """Fit on variants of the templates and near misses; bounded by their number, the same at every run.
+
+    In rounds, a third of the families is held out: their notices are ``unknown`` to a
+    model of the others.  What it says of those, and of new variants of the others,
+    decides the temperature (by likelihood) and the threshold (by balanced accuracy).
+    """
+    rng = random.Random(seed)
+    every = list(TEMPLATES)
+    logits, wanted = [], []
+    for k in range(ROUNDS):
+        held = every[k::ROUNDS]
+        classes, index, w, b = _fit([f for f in every if f not in held], rng)
+        xs, ys = _sample(every, rng)
+        logits.append((_matrix(xs, index) @ w + b, np.array([classes.index(UNKNOWN if y in held else y) for y in ys])))
 
     def loss(t: float) -> float:
-        s = z / t
-        s = s - s.max(1, keepdims=True)
-        return float(-(s[np.arange(len(held)), held] - np.log(np.exp(s).sum(1))).mean())
+        return float(np.mean(np.concatenate([-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12) for z, y in logits])))
 
-    temperature = min((t / 20 for t in range(4, 61)), key=loss)
-    return LicenceModel(classes, {g: tuple(w[i]) for g, i in index.items()}, tuple(b), temperature)
+    temperature = min((t / 10 for t in range(2, 41)), key=loss)
+    for z, y in logits:
+        p = _softmax(z / temperature)
+        licence = y != 0
+        wanted += zip(p[licence, 2:].max(1).tolist(), ((y[licence] > 1) & (p[licence, 2:].argmax(1) + 2 == y[licence])).tolist(), strict=True)
+    high, known = (np.array(x) for x in zip(*wanted, strict=True))
+    threshold = max((t / 100 for t in range(50, 100)), key=lambda t: float((high[known] >= t).mean() + (high[~known] < t).mean()))
+    classes, index, w, b = _fit(every, rng)
+    return LicenceModel(classes, {g: tuple(w[i]) for g, i in index.items()}, tuple(b), temperature, threshold)
 
 
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
-def scan_licences(documents: DataFrame, model: LicenceModel | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def _pairs(words: str) -> Column:
+    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def scan_licences(documents: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     """Paragraphs of ``documents`` (doc_id, text) that state a licence.
 
-    Columns: doc_id, paragraph (line of the text, from 0), family (``unknown`` if it
-    looks like a licence and no family has a probability of ``threshold``),
-    probability, confirmed, similarity (to the nearest template of the family) and
-    text (the paragraph).  Null and empty texts have none; an empty table gives no
-    rows; repeated rows are scanned each.
+    Columns: doc_id, paragraph (what blank lines part, from 0), family (``unknown`` if it
+    looks like a licence and no family reaches the model's threshold), probability
+    (of the likeliest family), confirmed, similarity (share of word pairs of the
+    nearest template of the likeliest family whose naming words it has, else 0) and
+    text (the paragraph).  Of equally likely families the first by order of the
+    classes.  Null and empty texts have none; very long texts and paragraphs are read
+    whole; an empty table gives no rows; repeated rows are scanned each.  Other
+    columns are not read.
     """
     spark = documents.sparkSession
     model = model or train()
     telling = F.array(*[F.lit(w) for w in telling_words()])
     marked = documents.select("doc_id", "text").where(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), telling)).withColumn("row", F.monotonically_increasing_id())
-    lines = marked.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).withColumn("words", _words(F.col("line"))).where(F.arrays_overlap("words", telling))
-    lines = staged(lines, "licence-lines")
-    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
-    grams = lines.select("row", "paragraph", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
+    blocks = marked.select("doc_id", "row", F.posexplode(F.split("text", "\n[\\x20\\x09-\\x0D]*\n")).alias("paragraph", "line")).withColumn("words", _words(F.col("line"))).where(F.arrays_overlap("words", telling))
+    lines = staged(blocks, "licence-lines")
+    grams = lines.select("row", "paragraph", F.explode(F.array_distinct(F.concat("words", _pairs("words")))).alias("gram"))
     columns = [f"w{i}" for i in range(len(model.classes))]
     # As many rows as the model has inputs: the templates bound them.
     weights = F.broadcast(spark.createDataFrame([(g, *map(float, w)) for g, w in model.weights.items()], ", ".join(["gram string", *[f"{c} double" for c in columns]])))
@@ -251,12 +299,16 @@ def scan_licences(documents: DataFrame, model: LicenceModel | None = None, thres
     # Written tables end the plans here: expressions that use each other would be written out again and again in one plan.
     scaled = staged(sums.select("row", "paragraph", logits.alias("z")).select("row", "paragraph", F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("p")), "licence-scores")
     total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
-    best = F.array_max(F.slice("p", 2, len(model.classes)))
-    judged = scaled.where(F.col("p")[0] / total < 0.5).select("row", "paragraph", (best / total).alias("probability"), F.array(*[F.lit(x) for x in model.classes])[F.array_position("p", best).cast("int") - 1].alias("likeliest"))
-    judged = staged(judged.withColumn("family", F.when(F.col("probability") >= threshold, F.col("likeliest")).otherwise(F.lit(UNKNOWN))), "licence-verdicts")
+    best = F.array_max(F.slice("p", 3, len(model.classes)))
+    judged = scaled.where(F.col("p")[0] / total < 0.5).select("row", "paragraph", (best / total).alias("probability"), F.array(*[F.lit(x) for x in model.classes])[F.array_position(F.slice("p", 3, len(model.classes)), best).cast("int") + 1].alias("likeliest"))
+    judged = staged(judged.withColumn("family", F.when(F.col("probability") >= model.threshold, F.col("likeliest")).otherwise(F.lit(UNKNOWN))), "licence-verdicts")
+    dropped(scaled)
     found = judged.join(lines, ["row", "paragraph"])
-    templates = F.broadcast(spark.createDataFrame([(family, words_of(t)) for family, group in TEMPLATES.items() for t in group], "likeliest string, template array<string>"))
-    alike = F.size(F.array_intersect("words", "template")) / F.size(F.array_union("words", "template"))
-    nearest = found.join(templates, "likeliest").groupBy("row", "paragraph").agg(F.max(alike).alias("similarity"))
+    rows = [(family, naming_words(t), sorted({f"{a} {b}" for a, b in zip(words_of(t), words_of(t)[1:], strict=False)})) for family, group in TEMPLATES.items() for t in group]
+    templates = F.broadcast(spark.createDataFrame(rows, "likeliest string, names array<string>, pairs array<string>"))
+    alike = F.when(F.size(F.array_intersect("names", "words")) == F.size("names"), F.size(F.array_intersect(_pairs("words"), "pairs")) / F.size("pairs")).otherwise(0.0)
+    # A template without naming words has to be there whole.
+    enough = alike >= F.when(F.size("names") > 0, CONFIRM).otherwise(1.0)
+    nearest = found.join(templates, "likeliest").groupBy("row", "paragraph").agg(F.max(alike).alias("similarity"), F.max(enough).alias("enough"))
     found = found.join(nearest, ["row", "paragraph"])
-    return found.select("doc_id", "paragraph", "family", "probability", ((F.col("similarity") >= CONFIRM) & (F.col("family") != UNKNOWN)).alias("confirmed"), "similarity", F.col("line").alias("text"))
+    return found.select("doc_id", "paragraph", "family", "probability", (F.col("enough") & (F.col("family") != UNKNOWN)).alias("confirmed"), "similarity", F.col("line").alias("text"))
