@@ -2,10 +2,13 @@
 
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
 
+from funnelworks.llm import tiling
 from funnelworks.llm.chaining import Chaining, Fenwick, _common, aligned_parts, chain, cut_words, minimizers, repeated_passages, without_repeats
 from funnelworks.llm.components import components
 from funnelworks.llm.jaccard import Rule, near_duplicates, tile_links
@@ -128,7 +131,10 @@ def naive_tiles(item, text, least):
         out.append((i, t, n))
 
 
-def test_tiles_against_naive_greedy():
+@pytest.mark.parametrize("pairs", [8, 0])
+def test_tiles_against_naive_greedy(monkeypatch, pairs):
+    """With all pairs of equal runs written out, and walked through."""
+    monkeypatch.setattr(tiling, "MOST_PAIRS", pairs)
     rng = np.random.default_rng(5)
     for k in range(60):
         item, text = (rng.integers(1, 4 if k % 2 else 9, n).astype(np.uint64) for n in (rng.integers(2, 20), rng.integers(2, 40)))
@@ -144,6 +150,20 @@ def test_tiles_against_naive_greedy():
             assert sorted(n for *_, n in got) == sorted(n for *_, n in want)
 
 
+def test_tiles_of_long_repetitive_texts():
+    rng = np.random.default_rng(6)
+    phrases = [rng.integers(1, 1 << 40, 5).astype(np.uint64) for _ in range(4)]
+    item, text = (np.concatenate([phrases[k] for k in rng.integers(0, 4, n)]) for n in (600, 6000))
+    began = time.time()
+    tracemalloc.start()
+    found = tile(item, text, 4)
+    assert time.time() - began < 30 and tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
+    assert sum(n for *_, n in found) >= 0.95 * len(item)
+    assert tile(np.ones(3000, np.uint64), np.ones(30_000, np.uint64), 4) == [(0, 0, 3000)]
+    assert tile(item[:3], item[:3], 4) == [(0, 0, 3)] and tile(item[:3], item[:4], 4) == []
+
+
 def test_leaks_are_found_whole_and_reordered(spark):
     rng = random.Random(7)
     prose = lambda n: " ".join(f"p{rng.randint(0, 10**6)}" for _ in range(n))
@@ -160,14 +180,17 @@ def test_leaks_are_found_whole_and_reordered(spark):
         7: "",
         8: " ".join(item[::-1]),
         9: "q0 " * 400,
+        10: "Too, SHORT!",
+        11: "it is too short",
+        12: "x " * 50_000 + joined,
     }
     docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()] + [(None, joined, "x"), (1, texts[1], "x")], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(100, joined, 1), (101, "too short", 1), (102, None, 1), (103, "", 1), (104, prose(20), 1)], "item_id int, text string, doc_id int")
     got = leaks(docs, bench).collect()
-    assert sorted((str(r["doc_id"]), r["item_id"]) for r in got) == [("1", 100), ("1", 100), ("2", 100), ("3", 100), ("None", 100)]
-    assert {r["covered"] for r in got} == {30}
+    assert sorted((str(r["doc_id"]), r["item_id"]) for r in got) == [("1", 100), ("1", 100), ("10", 101), ("12", 100), ("2", 100), ("3", 100), ("None", 100)]
+    assert {r["covered"] for r in got if r["doc_id"] != 10} == {30}
     assert {len(r["tiles"]) for r in got if r["doc_id"] == 2} == {3}
-    assert {r["doc_id"] for r in leaks(docs, bench, Tiling(coverage=0.5)).collect()} == {1, 2, 3, 4, None}
+    assert {r["doc_id"] for r in leaks(docs, bench, Tiling(coverage=0.5)).collect()} == {1, 2, 3, 4, 10, 12, None}
     assert leaks(docs.limit(0), bench).count() == 0 and leaks(docs, bench.limit(0)).count() == 0
 
 
