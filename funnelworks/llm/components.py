@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import staged
+from .store import dropped, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: the smaller neighbours of a node, and the node itself, point at the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        edges = staged(small.where("a <> b").distinct(), "edges")
+        before, edges = edges, staged(small.where("a <> b").distinct(), "edges")
+        dropped(before, collect=False)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

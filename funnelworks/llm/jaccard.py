@@ -1,4 +1,4 @@
-"""Exact Jaccard join of word n-gram sets by vertical partitioning.
+"""Jaccard join of word n-gram sets by vertical partitioning.
 
 The global order of n-grams is cut into fragments by ranges of their hash.
 Every block of documents (what one task reads) sends each fragment a packed run
@@ -10,7 +10,7 @@ Of what is left, a set's rarest n-grams (its prefix) find the candidates: two
 sets over the threshold share one of them.  Sets that share a prefix n-gram are
 first compared with the least of them alone, which joins a family of near copies
 by a star instead of all its pairs; only sets that are still apart are compared
-after that, so the components are exact.  Few sets of one n-gram are compared as
+after that, so no link between components is missed.  Few sets of one n-gram are compared as
 pairs; many are cut into tiles of bounded size, and a task compares two tiles and
 tells only which components it joins, so no table of pairs is made.  Pairs and
 tiles are compared fragment by fragment: partial overlaps are counted separately
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import partitions, staged
+from .store import dropped, parts_for, reading, sent, staged
 from .words import WordTable, hash_words, mix, text_chunks, window_hashes
 
 SHINGLE = 5
@@ -121,31 +121,40 @@ def _shuffled_out(fragments: int, rule: Rule, schema: pa.Schema):
 
 
 def _shared_only(schema: pa.Schema):
-    """Of a fragment: the documents' rows as they are, and of the runs what two sets or more hold, back by block, with how many hold it."""
+    """Of fragments in order: the documents' rows as they are, and of the runs what two sets or more hold, back by block, with how many hold it."""
+
+    def of_fragment(fragment: int, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key = np.sort(np.concatenate([k for _, k, _ in parts]))
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        counts = np.diff(np.append(starts, len(key)))
+        shared, held_by = key[starts[counts > 1]], counts[counts > 1].astype(np.uint32)
+        if not len(shared):
+            return
+        for block, k, r in parts:
+            at = np.minimum(np.searchsorted(shared, k), len(shared) - 1)
+            some = shared[at] == k
+            if some.any():
+                row = [1, fragment, block, None, None, None, int(some.sum()), None, None, k[some].tobytes(), held_by[at[some]].tobytes(), r[some].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        current, parts = None, []
         for batch in batches:
             kind = batch.column("kind").to_numpy()
             documents = batch.filter(pa.array(kind == 0))
             if documents.num_rows:
                 yield pa.RecordBatch.from_arrays([documents.column(x) for x in schema.names], schema=schema)
-            for r in batch.filter(pa.array(kind == 1)).to_pylist():
+            runs = batch.filter(pa.array(kind == 1))
+            for i in range(runs.num_rows):
+                r = {c: runs.column(c)[i].as_py() for c in ("fragment", "block", "local", "high", "low", "refs")}
+                if r["fragment"] != current and parts:
+                    yield from of_fragment(current, parts)
+                    parts = []
+                current = r["fragment"]
                 key = np.frombuffer(r["high"], np.uint16).astype(np.uint64) << np.uint64(32) | np.frombuffer(r["low"], np.uint32)
-                runs.setdefault(r["fragment"], []).append((r["block"], key, np.frombuffer(r["refs"], np.uint32 if r["local"] else np.uint16).astype(np.uint32)))
-        for fragment, parts in runs.items():
-            key = np.sort(np.concatenate([k for _, k, _ in parts]))
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            counts = np.diff(np.append(starts, len(key)))
-            shared, held_by = key[starts[counts > 1]], counts[counts > 1].astype(np.uint32)
-            if not len(shared):
-                continue
-            for block, k, r in parts:
-                at = np.minimum(np.searchsorted(shared, k), len(shared) - 1)
-                some = shared[at] == k
-                if some.any():
-                    row = [1, fragment, block, None, None, None, int(some.sum()), None, None, k[some].tobytes(), held_by[at[some]].tobytes(), r[some].tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+                parts.append((r["block"], key, np.frombuffer(r["refs"], np.uint32 if r["local"] else np.uint16).astype(np.uint32)))
+        if parts:
+            yield from of_fragment(current, parts)
 
     return run
 
@@ -292,8 +301,8 @@ def _between_tiles(entries: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame
     component are not compared with each other, only with the rest, and the rest
     among themselves.  A set falls into a tile by its hash.
     """
-    hub = entries.groupBy("gram").agg(F.min("set_id").alias("a"))
-    of = staged(components(entries.join(hub, "gram").select("a", F.col("set_id").alias("b"))), "clusters")
+    hub = staged(entries.groupBy("gram").agg(F.min("set_id").alias("a")), "hubs")
+    of = staged(components(entries.join(sent(hub), "gram").select("a", F.col("set_id").alias("b"))), "clusters")
     placed = staged(entries.select("set_id", "n", "component").distinct().join(of.select(F.col("node").alias("set_id"), F.col("component").alias("cluster")), "set_id"), "clustered")
     weight = F.sum(F.lit(1.0) / TILE_SETS + F.col("n") / TILE_GRAMS)
     by_component = placed.groupBy("cluster", "component").agg(weight.alias("weight"))
@@ -308,7 +317,8 @@ def _between_tiles(entries: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame
            concat(transform(sequence(0, rest_tiles - 1), i -> struct(0 AS kind, least(i, tile) AS x, greatest(i, tile) AS y, IF(tile <= i, 0, 1) AS side)),
                   transform(sequence(0, main_tiles - 1), i -> struct(1 AS kind, tile AS x, i AS y, 0 AS side))))""")
     dealt = tiled.select("cluster", "set_id", "n", "component", F.explode(cells).alias("cell")).select("cluster", "set_id", "n", "component", "cell.*").withColumn("alone", (F.col("kind") == 0) & (F.col("x") == F.col("y")))
-    return dealt.join(sets.select("set_id", "grams"), "set_id").groupBy("cluster", "kind", "x", "y").applyInArrow(_tile(rule), "a long, b long")
+    links = dealt.join(sets.select("set_id", "grams"), "set_id").groupBy("cluster", "kind", "x", "y").applyInArrow(_tile(rule), "a long, b long")
+    return reading(links, hub, of, placed)
 
 
 def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -320,15 +330,17 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     the least doc_id that a chain of links reaches; a document without words, or
     with a null text, has an empty set, no link, and its own doc_id.  Rows with a
     null doc_id are kept; they link, but never name a component unless all of it
-    is null.  Repeated rows each have their row.  An empty table gives no rows.
+    is null.  Repeated rows each have their row.  Very long texts have one set like
+    others.  N-grams of one 48-bit hash are one to a pair; sets are counted and told
+    apart by 64 and 128 bits.  An empty table gives no rows.  Other columns are not read.
     """
-    spark = documents.sparkSession
+    fragments = parts_for(documents)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(_ROWS))
-    out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text").mapInArrow(_shuffled_out(partitions(spark), rule, schema), _ROWS)
-    found = staged(out.repartition(partitions(spark), "fragment").mapInArrow(_shared_only(schema), _ROWS), "fragments")
+    out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text").mapInArrow(_shuffled_out(fragments, rule, schema), _ROWS)
+    found = staged(out.repartition(fragments, "fragment").sortWithinPartitions("fragment").mapInArrow(_shared_only(schema), _ROWS), "fragments")
     sets = staged(found.groupBy("block").applyInArrow(_survivors(rule), "set_id long, n long, name_a long, name_b long, grams binary"), "sets")
     # Sets that are equal in different blocks are one from here on.
     named = sets.groupBy("n", "name_a", "name_b").agg(F.min("set_id").alias("set_id"))
@@ -336,8 +348,9 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     sizes, prefix = kept.select("set_id", "n"), staged(kept.mapInArrow(_prefixes(rule), "gram long, set_id long, n long"), "prefixes")
     segments = staged(kept.select("set_id", "grams").mapInArrow(_segments, "set_id long, segment int, grams binary"), "segments")
 
-    least = prefix.groupBy("gram").agg(F.min("set_id").alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    member = prefix.join(least, "gram").where(F.col("set_id") != F.col("a")).select("a", F.col("set_id").alias("b"), "n").distinct()
+    # Small tables are sent to where the n-grams lie: no shuffle gathers the many sets of one n-gram.
+    least = staged(prefix.groupBy("gram").agg(F.min("set_id").alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1"), "least")
+    member = prefix.join(sent(least), "gram").where(F.col("set_id") != F.col("a")).select("a", F.col("set_id").alias("b"), "n").distinct()
     near = member.join(sizes.select(F.col("set_id").alias("a"), F.col("n").alias("n_a")), "a").where(100 * F.least("n", "n_a") >= rule.percent * F.greatest("n", "n_a"))
     star = staged(near.select("a", "b"), "star")
     links = staged(_compared(star, segments, sizes, rule), "links")
@@ -346,12 +359,16 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     # Sets that share a prefix n-gram and are not joined yet: all of them are compared, whatever their number.
     placed = prefix.join(of.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     shares = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("gram").agg(F.sum("m").alias("many"), F.max(F.struct("m", "component")).alias("top")).where("many > top.m")
-    open_ = staged(placed.join(shares.select("gram", "many"), "gram"), "apart")
+    shares = staged(shares.select("gram", "many"), "shares")
+    open_ = staged(placed.join(sent(shares), "gram"), "apart")
     few, many = open_.where(F.col("many") <= FEW), open_.where(F.col("many") > FEW)
     x, y = few.select("gram", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a")), few.select("gram", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
     rest = x.join(y, "gram").where("a < b and of_a <> of_b").where(100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b")).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = staged(_compared(rest, segments, sizes, rule).union(_between_tiles(many.drop("many"), kept, rule)), "links")
+    tiled = _between_tiles(many.drop("many"), kept, rule)
+    more = staged(_compared(rest, segments, sizes, rule).union(tiled), "links")
+    dropped(of, prefix, segments, least, star, shares, open_, *tiled._reads)
     of = staged(components(links.union(more)), "components")
+    dropped(links, more, kept)
 
     member_of = sets.select("set_id", "n", "name_a", "name_b").join(named.withColumnRenamed("set_id", "node"), ["n", "name_a", "name_b"]).select("set_id", "node")
     member_of = member_of.join(of, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
@@ -364,4 +381,4 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     linked = linked.select("doc_id", "content", "n_shingles", F.col("first.doc_id").alias("component_id"), stays.alias("stays"))
     # A document without words is joined with nothing, though others of its block have the same (empty) set.
     own = rows.where("n_shingles = 0").select("doc_id", "content", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
-    return linked.union(own)
+    return reading(linked.union(own), found, sets, of)
