@@ -1,11 +1,13 @@
 """The pipeline's stages, the registered queries, and their results on the small test data."""
 
 import random
+import re
 from collections import Counter
 
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
+from test_pairs import exact_repeats
 
 import __spark_entry__ as entry
 
@@ -71,6 +73,46 @@ def test_stages_take_effect(spark, tmp_path):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
 
 
+@pytest.mark.parametrize("more", [[], [(7, "x y z a b c d"), (7, "x y z a b c d")]])
+def test_a_row_does_not_depend_on_unrelated_rows(spark, more):
+    rows = [(5, None), (5, None), (6, ""), (6, ""), (None, "p q r s t u"), (None, "p q r s t u"), (1, "a b")]
+    docs = spark.createDataFrame([(*r, "en", "s") for r in rows + more], "doc_id long, text string, lang string, found_id string")
+    out = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.ngram_jaccard_join(spark, docs, SMALL).collect())
+    assert out == Counter(rows[:5] + rows[6:] + more[:1])
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """What each stage leaves of a test table has nothing more of what it takes out, and misses nothing else."""
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    at, left = spark.read.parquet(f"{SMALL}/documents.parquet").coalesce(1), []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, at, SMALL).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+        at = spark.read.parquet(f"{tmp_path}/{i}").coalesce(1)
+        left.append({r["doc_id"]: r["text"] for r in at.collect()})
+    first = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    for i, t in first.items():
+        w = words(t)
+        seen = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        repeated = {k + j for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for j in range(8)}
+        assert (i in left[0]) <= (len(w) >= 20 and 100 * len(repeated) <= 30 * len(w))
+
+    def grams(t):
+        w = words((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: grams(t) for i, t in left[0].items()}
+    like = lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    kept = sorted(left[1])
+    assert not any(like(a, b) for n, a in enumerate(kept) for b in kept[n + 1 :])
+    assert all(any(like(i, j) for j in left[0] if j != i) for i in set(left[0]) - set(left[1]))
+    assert any(exact_repeats([words(t) for t in left[1].values()], 50)) and not any(exact_repeats([words(t) for t in left[2].values()], 50))
+    assert set(left[2]) <= set(left[1])
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    plain = lambda t: " ".join(re.sub(r"[^a-z0-9 ]", "", w.lower()) for w in words(t))
+    assert not any(plain(q) in plain(t) for q in items.values() for t in left[3].values())
+    assert all(any(len(set(plain(q).split()) & set(plain(left[2][i]).split())) >= 0.5 * len(set(plain(q).split())) for q in items.values()) for i in set(left[2]) - set(left[3]))
+
+
 def test_stages_on_nothing(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
