@@ -13,10 +13,24 @@ from .session import build_session, configure_logging
 from .sources.catalog import Catalog
 
 
+def _read(path: Path) -> dict:
+    if path.suffix == ".json":
+        return json.loads(path.read_text())
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError(f"PyYAML is needed to read {path}") from e
+    return yaml.safe_load(path.read_text()) or {}
+
+
 def _environment(folder: str | None, name: str) -> dict:
-    """``name``.json of a configuration folder, if it is there."""
-    path = Path(folder or ".") / f"{name}.json"
-    return json.loads(path.read_text()) if folder and path.exists() else {}
+    """Of a configuration folder: ``name``.json and .yml, ``name``_*, and the files in ``name``/, each over those before by name."""
+    found: dict = {}
+    for path in sorted(Path(folder).rglob("*")) if folder else []:
+        first = path.relative_to(folder).parts[0]
+        if path.suffix in (".json", ".yml", ".yaml") and (first == name or first.startswith((f"{name}.", f"{name}_"))):
+            found = merged(found, _read(path))
+    return found
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -26,7 +40,7 @@ def main(argv: list[str] | None = None) -> int:
     runs = commands.add_parser("run", help="run a pipeline")
     runs.add_argument("--pipeline", default=DEFAULT)
     runs.add_argument("--data", default="data", help="root of relative dataset paths")
-    runs.add_argument("--env", action="append", default=[], help="folder with catalog.json, parameters.json, spark.json; later ones win")
+    runs.add_argument("--env", action="append", default=[], help="folder with catalog, parameters and spark settings, as JSON or YAML; later ones win")
     runs.add_argument("--conf", action="append", default=[], metavar="KEY=VALUE", help="Spark setting")
     runs.add_argument("--params", action="append", default=[], metavar="STEP.KEY=VALUE", help="parameter")
     runs.add_argument("--threads", type=int, default=1)

@@ -70,8 +70,12 @@ def last_n_dates(df: DataFrame, date_col: str, n: int = 0, source: DataFrame | N
     return df.limit(0) if last is None else df.filter(F.col(date_col).between(F.lit(last - timedelta(days=n)), F.lit(last)))
 
 
-def create_windows(df: DataFrame, parameters: Mapping[str, Any] | FeatureParams) -> tuple[DataFrame, dict[str, dict[str, str]]]:
-    """Features over all rows, then only the last days; and the schema of the result."""
+def create_windows(df: DataFrame, parameters: Mapping[str, Any] | FeatureParams, source: DataFrame | None = None) -> tuple[DataFrame, dict[str, dict[str, str]]]:
+    """Features over all rows, then only the last days; and the schema of the result.
+
+    ``source`` may be a plan with the same dates that is cheaper to read: after left
+    joins that is the table of prints.
+    """
     p = parameters if isinstance(parameters, FeatureParams) else FeatureParams.from_dict(parameters)
-    out = last_n_dates(add_features(df, p), p.date_col, p.last_n_days, source=df)
+    out = last_n_dates(add_features(df, p), p.date_col, p.last_n_days, source=df if source is None else source)
     return out, schema_of(out)

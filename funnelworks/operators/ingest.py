@@ -52,6 +52,16 @@ def last_day(df: DataFrame, column: str) -> date | None:
     return df.agg(F.max(_day(column, "null")).alias("last")).first()["last"]
 
 
+def last_days(*tables: tuple[DataFrame, str]) -> list[date | None]:
+    """The latest date of each table (by its column), by one action: the tables are read side by side."""
+    each = [df.agg(F.max(_day(column, "null")).alias("last")).select(F.lit(i).alias("of"), "last") for i, (df, column) in enumerate(tables)]
+    union = each[0]
+    for more in each[1:]:
+        union = union.union(more)
+    found = {r["of"]: r["last"] for r in union.collect()}
+    return [found[i] for i in range(len(tables))]
+
+
 def after(df: DataFrame, column: str, existing: DataFrame) -> DataFrame:
     """Rows later than all of ``existing``: the same day again is not.  All rows if ``existing`` has no dates."""
     last = last_day(existing, column)

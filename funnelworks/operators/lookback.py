@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import lookback_bounds
 from ..params import LookbackParams
-from .ingest import last_day
+from .ingest import last_day, last_days
 
 log = logging.getLogger(__name__)
 
@@ -34,3 +34,10 @@ def load_lookback(df: DataFrame, parameters: Mapping[str, Any] | LookbackParams,
     start, end = lookback_bounds(last, p.last_n_days)
     by = f"{p.date_col}_partition" if f"{p.date_col}_partition" in df.columns else p.date_col
     return df.filter(F.col(by).between(F.lit(start), F.lit(end)))
+
+
+def load_lookbacks(*tables: tuple[DataFrame, Mapping[str, Any] | LookbackParams]) -> list[DataFrame]:
+    """``load_lookback`` of several tables, each before its own last day; one action finds all last days."""
+    given = [(df, p if isinstance(p, LookbackParams) else LookbackParams.from_dict(p)) for df, p in tables]
+    days = last_days(*[(df, p.date_col) for df, p in given])
+    return [df.limit(0) if day is None else load_lookback(df, p, day) for (df, p), day in zip(given, days, strict=True)]

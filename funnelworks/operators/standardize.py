@@ -70,5 +70,5 @@ def preprocess_df(df: DataFrame, parameters: Mapping[str, Any] | StandardizePara
     if p.columns_to_rename:
         df = rename_columns(df, p.columns_to_rename)
     df = add_partition_column(df, p.date_col)
-    log.info("columns: %s", df.dtypes)
+    log.info("columns:\n%s", df.schema.treeString() if hasattr(df.schema, "treeString") else df.dtypes)
     return df, schema_of(df)

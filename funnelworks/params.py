@@ -10,6 +10,8 @@ from typing import Any
 log = logging.getLogger(__name__)
 
 HOWS = ("inner", "left", "right", "full")
+#: Spark's other names for these; with keys to join by, a cross join is an inner one.
+_ALIASES = {"cross": "inner", "leftouter": "left", "rightouter": "right", "outer": "full", "fullouter": "full"}
 
 
 def _optional(value: Any) -> str | None:
@@ -32,7 +34,8 @@ class IngestParams:
         known = ("col_to_filter_by", "start_dt", "end_dt")
         if missing := sorted(set(known) - set(given)):
             log.info("Unspecified parameters: %s", missing)
-        if unknown := sorted(set(given) - set(known)):
+        # The table that is there already is an input of the step, but may be named among its parameters.
+        if unknown := sorted(set(given) - {*known, "existing_data_df"}):
             log.warning("Unrecognized parameters: %s", unknown)
         found = {k: _optional(given[k]) for k in known if k in given}
         if not found:
@@ -89,15 +92,22 @@ class JoinParams:
     fill: Sequence[str] | None = None
 
     def __post_init__(self) -> None:
+        how = self.how.lower().replace("_", "")
+        object.__setattr__(self, "how", _ALIASES.get(how, how))
         if self.how not in HOWS:
-            raise ValueError(f"how is {self.how!r}; it can be {', '.join(HOWS)}")
+            raise ValueError(f"how is {self.how!r}; it can be {', '.join([*HOWS, *_ALIASES])}")
         if not (len(self.print_keys) == len(self.tap_keys) == len(self.pay_keys) > 0):
             raise ValueError("the tables need equally many keys, one at least")
 
     @classmethod
     def from_dict(cls, given: Mapping[str, Any]) -> JoinParams:
-        keys = [tuple(given[f"{t}_df"]["cols_to_join"]) for t in ("prints", "taps", "pays")]
-        return cls(*keys, how=given["how"], keep=tuple(given.get("keep") or ()), fill=given.get("fill"))
+        """``cols_to_keep`` of prints adds to ``keep``; of taps and pays only the match and the total go on, which a warning says."""
+        tables = [given[f"{t}_df"] for t in ("prints", "taps", "pays")]
+        for name, table in zip(("taps_df", "pays_df"), tables[1:], strict=True):
+            if table.get("cols_to_keep"):
+                log.warning("cols_to_keep of %s has no effect", name)
+        keep = dict.fromkeys([*(given.get("keep") or ()), *(tables[0].get("cols_to_keep") or ())])
+        return cls(*[tuple(t["cols_to_join"]) for t in tables], how=given.get("how") or given.get("join_type") or "left", keep=tuple(keep), fill=given.get("fill"))
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions.dates import snap_weekday
 from .operators.features import PAID, PAID_COUNT, PAID_SUM, SAW_COUNT, TAP, TAP_COUNT, add_features, create_windows, join_dataframes, last_n_dates
 from .operators.ingest import ingest_historical_data, ingest_incremental_data, last_day, to_date_column
-from .operators.lookback import load_lookback
+from .operators.lookback import load_lookback, load_lookbacks
 from .operators.standardize import add_partition_column, cast_columns, drop_columns, flatten_struct, preprocess_df, rename_columns
 from .params import FeatureParams, JoinParams
 from .plans.defaults import CATALOG, PARAMETERS, merged
@@ -77,7 +77,7 @@ def _standard(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 
 def _loaded(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    return [load_lookback(df, PARAMETERS[f"primary_{t}"]) for df, t in zip(_standard(spark, sf_dir), ("prints", "taps", "pays"), strict=True)]
+    return load_lookbacks(*[(df, PARAMETERS[f"primary_{t}"]) for df, t in zip(_standard(spark, sf_dir), ("prints", "taps", "pays"), strict=True)])
 
 
 def _pre_mdt(spark: SparkSession, sf_dir: str, how: str = "left") -> DataFrame:
@@ -102,7 +102,9 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 @_query(_MDT)
 def mdt_flagship(spark, sf_dir):
-    return _rounded(create_windows(_pre_mdt(spark, sf_dir), FeatureParams("date", 6, _TIES))[0])
+    prints, taps, pays = _loaded(spark, sf_dir)
+    joined = join_dataframes(prints, taps, pays, JoinParams(how="left", keep=("event_id",)))
+    return _rounded(create_windows(joined, FeatureParams("date", 6, _TIES), source=prints)[0])
 
 
 _ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders"

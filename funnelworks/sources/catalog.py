@@ -30,6 +30,13 @@ class DatasetSpec:
 
     @classmethod
     def from_dict(cls, given: Mapping[str, Any]) -> DatasetSpec:
+        """From its fields, or from an entry with filepath, type, file_format, load_args and save_args."""
+        if "filepath" in given:
+            save = dict(given.get("save_args") or {})
+            by = save.pop("partitionBy", None) or save.pop("partition_by", None) or ()
+            kind = given.get("file_format") or given["type"].rpartition(".")[2].lower().removesuffix("dataset")
+            tracking = given["type"].startswith("tracking.")
+            return cls("tracking" if tracking else kind, given["filepath"], given.get("load_args") or {}, save.pop("mode", "overwrite"), (by,) if isinstance(by, str) else tuple(by), {} if tracking else save)
         by = given.get("partition_by") or ()
         return cls(given["format"], given["path"], given.get("read_options") or {}, given.get("mode", "overwrite"), (by,) if isinstance(by, str) else tuple(by), given.get("write_options") or {}, given.get("schema"))
 
@@ -89,6 +96,15 @@ class Catalog:
         spec = self._at(name)
         return json.loads(read_text(self.spark, spec.path)) if spec.format == "tracking" else spec.read(self.spark)
 
+    def schema(self, name: str) -> StructType:
+        """Of a table."""
+        return self.load(name).schema
+
+    def show(self, name: str, n: int = 20) -> None:
+        """The first rows of a table, or a tracked document, on the console."""
+        data = self.load(name)
+        data.show(n, truncate=False) if isinstance(data, DataFrame) else print(json.dumps(data, indent=2))
+
     def save(self, name: str, data: Any) -> None:
         if name not in self.entries:
             self.memory[name] = data

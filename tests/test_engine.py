@@ -11,56 +11,55 @@ from pyspark.testing import assertDataFrameEqual
 from funnelworks.functions.dates import lookback_bounds, snap_weekday, validate_date
 from funnelworks.operators.features import PAID, PAID_COUNT, PAID_SUM, SAW_COUNT, TAP, TAP_COUNT, add_features, create_windows, join_dataframes, last_n_dates
 from funnelworks.operators.ingest import as_dataframe, ingest_historical_data, ingest_incremental_data, to_date_column
-from funnelworks.operators.lookback import load_lookback
+from funnelworks.operators.lookback import load_lookback, load_lookbacks
 from funnelworks.operators.standardize import cast_columns, drop_columns, flatten_struct, preprocess_df, rename_columns
 from funnelworks.params import FeatureParams, IngestParams, JoinParams, LookbackParams, StandardizeParams
 
-CUSTOMERS = "customer_id string, birth_dt string, joining_dt date, update_dt string, nationality string, taxes_paid float"
+ACCOUNTS = "account string, opened date, seen string, balance double"
 
 
 @pytest.fixture
-def customers(spark):
-    return spark.createDataFrame(
-        [("c001", "1989-11-30", date(2020, 1, 1), "2022-12-25", "Italian", 10.0), ("c002", "1990-11-30", date(2022, 1, 1), "2022-12-31", "Brazilian", 20.0), ("c003", "1991-11-30", date(2022, 1, 1), "2022-10-10", "English", 30.0)],
-        CUSTOMERS,
-    )
+def accounts(spark):
+    rows = [("x", date(2019, 3, 4), "2021-05-30", 1.5), ("y", date(2020, 7, 1), "2021-05-31", -2.0), ("z", date(2018, 9, 9), "2021-04-02", 0.0), ("w", None, "2021-05-01", 7.25)]
+    return spark.createDataFrame(rows, ACCOUNTS)
 
 
-def ids(df, column="customer_id"):
+def ids(df, column="account"):
     return sorted(r[column] for r in df.collect())
 
 
-def test_historical_range_includes_both_ends(customers):
-    out = ingest_historical_data(customers, {"col_to_filter_by": "update_dt", "start_dt": "2022-12-01", "end_dt": "2022-12-31"})
-    assert ids(out) == ["c001", "c002"]
-    assert dict(out.dtypes)["update_dt"] == "date"
+SEEN = {"col_to_filter_by": "seen"}
 
 
-@pytest.mark.parametrize("extra", [{}, {"start_dt": "2022-12-01"}, {"end_dt": "2022-12-01"}, {"start_dt": "2022-12-01", "end_dt": "None"}, {"start_dt": None, "end_dt": None}])
-def test_range_needs_both_bounds(customers, extra):
-    assert len(ids(ingest_historical_data(customers, {"col_to_filter_by": "update_dt"} | extra))) == 3
+def test_historical_range_includes_both_ends(accounts):
+    out = ingest_historical_data(accounts, SEEN | {"start_dt": "2021-05-01", "end_dt": "2021-05-30"})
+    assert ids(out) == ["w", "x"]
+    assert dict(out.dtypes)["seen"] == "date"
 
 
-def test_range_takes_dates(customers):
-    out = ingest_historical_data(customers, {"col_to_filter_by": "update_dt", "start_dt": date(2022, 12, 31), "end_dt": date(2022, 12, 31)})
-    assert ids(out) == ["c002"]
+@pytest.mark.parametrize("extra", [{}, {"start_dt": "2021-05-31"}, {"end_dt": "2021-01-01"}, {"start_dt": "2021-05-31", "end_dt": "None"}, {"start_dt": None, "end_dt": None}])
+def test_range_needs_both_bounds(accounts, extra):
+    assert len(ids(ingest_historical_data(accounts, SEEN | extra))) == 4
 
 
-def test_incremental_is_strictly_later(spark, customers):
-    existing = spark.createDataFrame([("c003", date(2022, 10, 10))], "customer_id string, update_dt date")
-    assert ids(ingest_incremental_data(customers, {"col_to_filter_by": "update_dt"}, existing)) == ["c001", "c002"]
+def test_range_takes_dates(accounts):
+    assert ids(ingest_historical_data(accounts, SEEN | {"start_dt": date(2021, 4, 2), "end_dt": date(2021, 4, 2)})) == ["z"]
+
+
+def test_incremental_is_strictly_later(spark, accounts):
+    existing = spark.createDataFrame([(date(2021, 5, 1),), (date(2020, 1, 1),), (None,)], "seen date")
+    assert ids(ingest_incremental_data(accounts, SEEN, existing)) == ["x", "y"]
 
 
 @pytest.mark.parametrize("kind", ["date", "string"])
-def test_incremental_into_nothing_takes_all(spark, customers, kind):
+def test_incremental_into_nothing_takes_all(spark, accounts, kind):
     for rows in ([], [(None,)]):
-        existing = spark.createDataFrame(rows, f"update_dt {kind}")
-        assert len(ids(ingest_incremental_data(customers, {"col_to_filter_by": "update_dt"}, existing))) == 3
+        assert len(ids(ingest_incremental_data(accounts, SEEN, spark.createDataFrame(rows, f"seen {kind}")))) == 4
 
 
-def test_incremental_over_text_and_pandas(customers, spark):
-    existing = pd.DataFrame({"update_dt": ["2022-12-25"]})
-    assert ids(ingest_incremental_data(customers.toPandas(), {"col_to_filter_by": "update_dt"}, existing, spark)) == ["c002"]
+def test_incremental_over_text_and_pandas(accounts, spark):
+    existing = pd.DataFrame({"seen": ["2021-05-30"]})
+    assert ids(ingest_incremental_data(accounts.drop("opened").toPandas(), SEEN, existing, spark)) == ["y"]
 
 
 def test_historical_and_incremental_split_the_table(spark):
@@ -105,10 +104,10 @@ def test_ingest_parameters(caplog):
 
 
 def test_validate_date():
-    assert validate_date(["2022-01-01", "2022-06-30"]) is None
+    assert validate_date(["1999-12-31", "2000-02-29"]) is None
     assert validate_date("2022-1-5") is None
     assert validate_date(("2022-01-01", "2022-01-01")) is None
-    for bad in (["obi-wan", "kenobi"], ["2022-11-01", "2022-01-01"], "2022-02-30", "2022-01-01 ", 5, None, {"a": 1}):
+    for bad in (["today", "1999-12-31"], ["2000-02-29", "1999-12-31"], "2022-02-30", "2022-01-01 ", 5, None, {"a": 1}):
         with pytest.raises(ValueError):
             validate_date(bad)
 
@@ -160,6 +159,15 @@ def test_lookback_bounds_and_rows(spark):
         LookbackParams.from_dict({})
 
 
+def test_lookbacks_of_several_tables(spark):
+    a = spark.createDataFrame([(date(2024, 3, d),) for d in range(1, 31)], "date date")
+    b = a.selectExpr("date_sub(date, 40) AS pay_date")
+    none = a.limit(0)
+    given = [(a, {"date_col": "date", "last_n_days": 7}), (b, {"date_col": "pay_date", "last_n_days": 0}), (none, {"date_col": "date"})]
+    for df, (table, p) in zip(load_lookbacks(*given), given, strict=True):
+        assertDataFrameEqual(df, load_lookback(table, p))
+
+
 def test_lookback_prunes_partitions(spark, tmp_path):
     df = spark.range(40).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date")).withColumn("date_partition", F.col("date"))
     df.write.partitionBy("date_partition").parquet(str(tmp_path / "t"))
@@ -193,6 +201,18 @@ def test_join_kinds(three):
         JoinParams(print_keys=("date",))
 
 
+@pytest.mark.parametrize(("alias", "how"), [("left_outer", "left"), ("LeftOuter", "left"), ("outer", "full"), ("full_outer", "full"), ("right_outer", "right"), ("cross", "inner")])
+def test_names_of_joins(three, alias, how):
+    assert JoinParams(how=alias).how == how
+    assertDataFrameEqual(join_dataframes(*three, JoinParams(how=alias)), join_dataframes(*three, JoinParams(how=how)))
+
+
+def test_columns_to_keep_of_each_table(caplog):
+    tables = {f"{t}_df": {"cols_to_join": ["a"], "cols_to_keep": ["b", t]} for t in ("prints", "taps", "pays")}
+    assert JoinParams.from_dict(tables | {"how": "outer", "keep": ["b", "c"]}).keep == ("b", "c", "prints")
+    assert "cols_to_keep of taps_df has no effect" in caplog.text and "pays_df" in caplog.text
+
+
 def test_join_takes_extra_columns_with_clashing_names(three):
     prints, taps, pays = three
     taps = taps.withColumn("total", F.lit(1)).withColumn("event", F.lit(1))
@@ -201,17 +221,18 @@ def test_join_takes_extra_columns_with_clashing_names(three):
     assert {r["event"] for r in out.collect()} == {2}
 
 
-def test_windows_of_the_documented_case(spark):
-    rows = [(u + 1, p, date(2022, 1, d + 1), 5 * u + d + 1, 20.0 * (5 * u + d + 1)) for u, p in enumerate("ABC") for d in range(5)]
+def test_windows_over_no_rows_and_over_some(spark):
+    """Nothing before a row: no prints, and sums that are null and not 0."""
+    rows = [(9, "p", date(2023, 5, 2), 0, 0.0), (9, "p", date(2023, 5, 9), 1, 4.5), (9, "p", date(2023, 6, 1), 1, 0.0), (9, "q", date(2023, 5, 30), 1, 3.0), (None, "p", date(2023, 5, 31), 0, 1.0)]
     df = spark.createDataFrame(rows, "user_id int, value_prop string, date date, customer_tap int, paid_by_customer double")
-    out, tracked = create_windows(df, {"date_col": "date", "last_n_days": 7})
+    out, tracked = create_windows(df, {"date_col": "date", "last_n_days": 30})
     assert out.columns == ["user_id", "value_prop", "date", TAP, PAID, SAW_COUNT, TAP_COUNT, PAID_SUM, PAID_COUNT] == list(tracked["columns"])
-    got = [tuple(r)[5:] for r in out.orderBy("user_id", "date").collect()]
-    expected = []
-    for u in range(3):
-        taps = [5 * u + d + 1 for d in range(5)]
-        expected += [(d, sum(taps[:d]), 20.0 * sum(taps[:d]), d) if d else (0, None, None, None) for d in range(5)]
-    assert got == expected
+    got = {(r[0], r[1], r[2].day): tuple(r)[5:] for r in out.collect()}
+    nothing = (0, None, None, None)
+    # The second of May is 30 days before the last day; the row of the 9th has one before it, the last row two.
+    assert got == {(9, "p", 2): nothing, (9, "p", 9): (1, 0, 0.0, 0), (9, "p", 1): (2, 1, 4.5, 1), (9, "q", 30): nothing, (None, "p", 31): nothing}
+    same, _ = create_windows(df, {"date_col": "date", "last_n_days": 30}, source=df.select("date"))
+    assertDataFrameEqual(same, out)
 
 
 @pytest.mark.parametrize("frame", ["rows", "days"])

@@ -64,6 +64,23 @@ def test_csv_and_json(spark, tmp_path):
     assert back.dtypes == [("pay_date", "date"), ("total", "double"), ("user_id", "int"), ("value_prop", "string")]
 
 
+def test_configuration_in_yaml(spark, tmp_path):
+    from funnelworks.__main__ import _environment
+
+    (tmp_path / "catalog").mkdir()
+    (tmp_path / "catalog" / "one.yml").write_text("t.x:\n  type: spark.SparkDataset\n  filepath: x\n  file_format: parquet\n  save_args:\n    mode: overwrite\n    partitionBy: [d]\n")
+    (tmp_path / "catalog" / "two.yml").write_text("t.cols:\n  type: tracking.JSONDataSet\n  filepath: cols.json\n")
+    (tmp_path / "parameters_more.yaml").write_text("step: {a: 1}\n")
+    (tmp_path / "parameters.json").write_text('{"step": {"b": 2}}')
+    assert _environment(str(tmp_path), "parameters") == {"step": {"a": 1, "b": 2}} and _environment(str(tmp_path), "spark") == {} == _environment(None, "spark")
+    catalog = Catalog(spark, _environment(str(tmp_path), "catalog"), root=str(tmp_path / "data"))
+    catalog.save("t.x", spark.createDataFrame([(1, "a")], "n int, d string"))
+    catalog.save("t.cols", {"columns": {"n": "int"}})
+    assert (tmp_path / "data" / "x" / "d=a").is_dir() and catalog.schema("t.x").names == ["n", "d"] and catalog.load("t.cols") == {"columns": {"n": "int"}}
+    catalog.show("t.x")
+    catalog.show("t.cols")
+
+
 def test_settings_of_environments_are_merged():
     assert merged({"a": {"x": 1, "y": 2}, "b": 1}, {"a": {"x": 3}}, {"b": {"z": 1}}) == {"a": {"x": 3, "y": 2}, "b": {"z": 1}}
     assert set(CATALOG) >= {"raw.prints", "intermediate.pays", "primary.mdt"} and set(PARAMETERS) >= {"primary_join_parameters"}
