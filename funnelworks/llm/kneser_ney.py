@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,9 @@ from .words import WordTable, hash_words, mix, text_chunks
 #: Ids that no word has: the history of a key that stands for a single word, and the ends of a text.
 ALONE, BEGIN, END, FIRST = 0, 1, 2, 3
 #: Words and bigrams that are sent to the executors at most (16 and 12 bytes each).
-MOST_WORDS, MOST_BIGRAMS = 1 << 20, 1 << 21
+MOST_WORDS, MOST_BIGRAMS = 1 << 20, 1 << 20
+#: Bits of a key that a request leaves out: with N bigrams in the model, one of 2^48 / N requests for what it lacks is answered by mistake.
+LEFT_OUT = np.uint64(16)
 #: Bits of the filter that keeps what the trusted text lacks out of the exchange: a fixed size.
 FILTER_BITS = 26
 #: Requests that a task holds before it sends them.
@@ -91,12 +94,12 @@ def _hash32(words: list[bytes]) -> np.ndarray:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """The lowest bytes of all 64-bit numbers, then the next ones: high bytes, which are mostly equal, compress."""
-    return np.ascontiguousarray(np.asarray(x).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """The lowest bytes of all 64-bit numbers, then the next ones, compressed: high bytes are few or all equal."""
+    return zstandard.compress(np.ascontiguousarray(np.asarray(x).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def _from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
 def _key_bytes(keys: np.ndarray) -> bytes:
@@ -287,6 +290,8 @@ class Frequent:
     log_q: np.ndarray
     log_g: np.ndarray
     log_left: np.ndarray
+    #: log q(w) and log G(h) of every other word, where those are the ones that occur once; else None.
+    once: tuple[float, float] | None = None
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where words are in the table, and whether they are."""
@@ -308,8 +313,14 @@ class Model:
     #: How many distinct words were seen.
     n_words: int
     shards: int
-    #: Sharded counts of bigrams of frequent words, and gains of all other keys (one of the two is null).
-    answers: DataFrame
+    #: Sharded counts of all bigrams (shard, keys, counts), and gains of the keys with a word outside ``frequent`` (shard, keys, gains).
+    bigrams: DataFrame
+    others: DataFrame
+
+    @property
+    def answers(self) -> DataFrame:
+        nothing = F.lit(None).cast("binary")
+        return self.bigrams.select("shard", "keys", "counts", nothing.alias("gains")).union(self.others.select("shard", "keys", nothing.alias("counts"), "gains"))
 
 
 def _least(table: DataFrame, most: int) -> int:
@@ -365,12 +376,12 @@ def _rare_words(law: Law, least: int):
     return run
 
 
-_ANSWERS = "shard int, keys binary, counts binary, gains binary"
+_GAINS = "shard int, keys binary, gains binary"
 
 
 def _rare_word_gains(law: Law, least: int):
     """Of words outside the table, packed: what their occurrence adds to that of an unknown word, as word and as history."""
-    schema = _schema(_ANSWERS)
+    schema = _schema(_GAINS)
     unknown = float(np.log(law.spare))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +393,7 @@ def _rare_word_gains(law: Law, least: int):
                     log_q, log_g, _ = _logs(law, *[x[some] for x in facts])
                     key = _key(np.zeros(int(some.sum())), word[some])
                     order = np.argsort(key)
-                    yield _batch(schema, (b.column("shard")[i].as_py(), _key_bytes(key[order]), None, (log_q - unknown + log_g)[order].astype(np.float32).tobytes()))
+                    yield _batch(schema, (b.column("shard")[i].as_py(), _key_bytes(key[order]), zstandard.compress((log_q - unknown + log_g)[order].astype(np.float32).tobytes(), 1)))
 
     return run
 
@@ -394,11 +405,15 @@ def _sides(key: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, ...]:
 
 
 def _frequent_gains(law: Law, frequent: Frequent, key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the bigrams are of frequent words, and their gains (0 for others)."""
+    """Which of the bigrams are of words that ``frequent`` tells of, and their gains (0 for others)."""
     _, _, at_h, is_h, at_w, is_w = _sides(key, frequent)
+    log_left, log_q = (x[at].astype(float) if len(x) else np.zeros(len(key)) for x, at in ((frequent.log_left, at_h), (frequent.log_q, at_w)))
+    if frequent.once:
+        log_q, log_left = np.where(is_w, log_q, frequent.once[0]), np.where(is_h, log_left, frequent.once[1])
+        is_h = is_w = np.ones(len(key), bool)
     both = is_h & is_w
     gains = np.zeros(len(key))
-    gains[both] = np.log(law.kept(count[both].astype(float)) / np.exp(frequent.log_left[at_h[both]].astype(float) + frequent.log_q[at_w[both]]) + 1)
+    gains[both] = np.log(law.kept(count[both].astype(float)) / np.exp(log_left[both] + log_q[both]) + 1)
     return both, gains
 
 
@@ -436,7 +451,7 @@ def _open_bigrams(law: Law, frequent: Frequent):
 def _packed_gains(table: pa.Table) -> pa.Table:
     key, gain = table.column("key").to_numpy().view(np.uint64), table.column("gain").to_numpy()
     order = np.argsort(key)
-    return pa.Table.from_batches([_batch(_schema(_ANSWERS), (table.column("shard")[0].as_py(), _key_bytes(key[order]), None, gain[order].astype(np.float32).tobytes()))])
+    return pa.Table.from_batches([_batch(_schema(_GAINS), (table.column("shard")[0].as_py(), _key_bytes(key[order]), zstandard.compress(gain[order].astype(np.float32).tobytes(), 1)))])
 
 
 def _filter_slices(known: np.ndarray):
@@ -467,6 +482,15 @@ def _member(known: np.ndarray, key: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
 
 
+def _rare_bigram_gains(law: Law, frequent: Frequent, least: int, bigrams: DataFrame, facts: DataFrame) -> DataFrame:
+    """Gains of the bigrams with a word outside the table, packed: what the table lacks is joined to them, for either side."""
+    rare = facts.mapInArrow(_rare_words(law, least), "word long, log_q double, log_left double")
+    joined = bigrams.select("shard", "keys", "counts").mapInArrow(_open_bigrams(law, frequent), "shard int, key long, kept double, h long, w long, left_h double, q_w double")
+    joined = joined.join(rare.select(F.col("word").alias("h"), F.col("log_left").alias("left_rare")), "h", "left").join(rare.select(F.col("word").alias("w"), F.col("log_q").alias("q_rare")), "w", "left")
+    gain = F.log(F.exp(F.col("kept") - F.coalesce("left_h", "left_rare") - F.coalesce("q_w", "q_rare")) + 1)
+    return joined.select("shard", "key", gain.alias("gain")).groupBy("shard").applyInArrow(_packed_gains, _GAINS)
+
+
 def train(texts: DataFrame, most_words: int = MOST_WORDS, most_bigrams: int = MOST_BIGRAMS) -> Model:
     """Count all of ``texts`` (text); null texts and texts without words say nothing.
 
@@ -485,28 +509,27 @@ def train(texts: DataFrame, most_words: int = MOST_WORDS, most_bigrams: int = MO
     got = facts.mapInArrow(_frequent_words(law, least), _FREQUENT).collect()
     words = np.frombuffer(b"".join(r["words"] for r in got), np.uint32)
     order = np.argsort(words)
-    frequent = Frequent(words[order], *[np.frombuffer(b"".join(r[c] for r in got), np.float32)[order] for c in ("log_q", "log_g", "log_left")])
+    # A word that occurs once is followed once, and follows once.
+    once = tuple(float(x[0]) for x in _logs(law, *np.ones((2, 1)), *np.zeros((2, 1)), np.ones(1))[::2]) if least <= 2 else None
+    frequent = Frequent(words[order], *[np.frombuffer(b"".join(r[c] for r in got), np.float32)[order] for c in ("log_q", "log_g", "log_left")], once)
     got = bigrams.mapInArrow(_frequent_bigrams(law, frequent, _least(bigrams, most_bigrams)), "keys binary, gains binary").collect()
     keys = np.frombuffer(b"".join(r["keys"] for r in got), np.uint64)
     order = np.argsort(keys)
     keys, gains = keys[order], np.frombuffer(b"".join(r["gains"] for r in got), np.float32)[order]
-    # Bigrams with a rare word: what the table lacks is joined to them, for either side.
-    rare = facts.mapInArrow(_rare_words(law, least), "word long, log_q double, log_left double")
-    joined = bigrams.select("shard", "keys", "counts").mapInArrow(_open_bigrams(law, frequent), "shard int, key long, kept double, h long, w long, left_h double, q_w double")
-    joined = joined.join(rare.select(F.col("word").alias("h"), F.col("log_left").alias("left_rare")), "h", "left").join(rare.select(F.col("word").alias("w"), F.col("log_q").alias("q_rare")), "w", "left")
-    gain = F.log(F.exp(F.col("kept") - F.coalesce("left_h", "left_rare") - F.coalesce("q_w", "q_rare")) + 1)
-    apart = joined.select("shard", "key", gain.alias("gain")).groupBy("shard").applyInArrow(_packed_gains, _ANSWERS)
-    alone = facts.mapInArrow(_rare_word_gains(law, least), _ANSWERS)
-    answers = staged(bigrams.select("shard", "keys", "counts", F.lit(None).cast("binary").alias("gains")).union(apart).union(alone), "answers")
-    dropped(bigrams, facts)
+    others = facts.mapInArrow(_rare_word_gains(law, least), _GAINS)
+    if not once:
+        others = others.union(_rare_bigram_gains(law, frequent, least, bigrams, facts))
+    others = staged(others, "answers")
+    dropped(facts)
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in answers.select("keys").mapInArrow(_filter_slices(keys), "first long, bits binary").collect():
+    for r in bigrams.select("keys").union(others.select("keys")).mapInArrow(_filter_slices(keys), "first long, bits binary").collect():
         x = np.frombuffer(r["bits"], np.uint8)
         bits[r["first"] : r["first"] + len(x)] |= x
-    return Model(law, frequent, keys, gains, bits, n_words, shards, answers)
+    return Model(law, frequent, keys, gains, bits, n_words, shards, bigrams, others)
 
 
-_REQUESTS = "kind int, shard int, block long, narrow int, local int, doc_id long, lang string, n long, base double, keys binary, counts binary, refs binary"
+#: ``keys`` and ``counts``: of a request, or in an answer what they add to each document.
+_REQUESTS = "kind int, shard int, block long, local int, doc_id long, lang string, n long, base double, keys binary, counts binary, refs binary"
 
 
 def _requests(law: Law, frequent: Frequent, known: np.ndarray, gains: np.ndarray, bits: np.ndarray, shards: int, schema: pa.Schema):
@@ -523,17 +546,17 @@ def _requests(law: Law, frequent: Frequent, known: np.ndarray, gains: np.ndarray
             return np.full(len(word), unknown), np.zeros(len(word)), ~there
         return np.where(there, frequent.log_q[at], unknown), np.where(there, frequent.log_g[at], 0.0), ~there
 
-    def flush(block: int, number: int, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def flush(block: int, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         key, ref = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         order = np.argsort(key, kind="stable")  # refs ascend already
         key, ref = key[order], ref[order]
-        cut, narrow = _cuts(key, shards), number <= 1 << 16
+        cut = _cuts(key, shards)
         for s in range(shards):
             part = key[cut[s] : cut[s + 1]]
             if len(part):
                 start = _starts(part)
-                yield _batch(schema, (1, s, block, int(narrow), None, None, None, len(part), None, _key_bytes(part[start]), _planes(np.diff(np.append(start, len(part)))), ref[cut[s] : cut[s + 1]].astype(np.uint16 if narrow else np.uint32).tobytes()))
+                yield _batch(schema, (1, s, block, None, None, None, len(part), None, _key_bytes(part[start] >> LEFT_OUT), _planes(np.diff(np.append(start, len(part)))), _planes(ref[cut[s] : cut[s + 1]])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.array([BEGIN, END], np.uint32)
@@ -563,14 +586,14 @@ def _requests(law: Law, frequent: Frequent, known: np.ndarray, gains: np.ndarray
             new &= (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)[w]
             held.append((np.concatenate([key[of[some]], alone[w[new]]]), (np.concatenate([text[some], text[new]]) + number).astype(np.uint32)))
             many_held += len(held[-1][0])
-            columns = [[0] * many, [(block * 7919 + i) % shards for i in range(many)], [block] * many, [None] * many, range(number, number + many), rows.column(0), rows.column(1), n, base] + [[None] * many] * 3
+            columns = [[0] * many, [(block * 7919 + i) % shards for i in range(many)], [block] * many, range(number, number + many), rows.column(0), rows.column(1), n, base] + [[None] * many] * 3
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
             number += many
             if many_held > MOST_HELD:
-                yield from flush(block, number, held)
+                yield from flush(block, held)
                 many_held = 0
         if held:
-            yield from flush(block, number, held)
+            yield from flush(block, held)
 
     return run
 
@@ -588,24 +611,23 @@ def _answered(law: Law, frequent: Frequent, schema: pa.Schema):
             key = _keys_of(raw.as_py())
             if gain.is_valid:
                 keys.append(key)
-                gains.append(np.frombuffer(gain.as_py(), np.float32).astype(float))
+                gains.append(np.frombuffer(zstandard.decompress(gain.as_py()), np.float32).astype(float))
             else:
                 both, more = _frequent_gains(law, frequent, key, _from_planes(counted.as_py()))
                 keys.append(key[both])
                 gains.append(more[both])
         key, gain = np.concatenate(keys), np.concatenate(gains)
         order = np.argsort(key)
-        key, gain = key[order], gain[order]
+        key, gain = key[order] >> LEFT_OUT, gain[order]
         for i in range(requests.num_rows if len(key) else 0):
-            r = {c: requests.column(c)[i].as_py() for c in ("shard", "block", "narrow", "keys", "counts", "refs")}
+            r = {c: requests.column(c)[i].as_py() for c in ("shard", "block", "keys", "counts", "refs")}
             k = _keys_of(r["keys"])
             at = np.minimum(np.searchsorted(key, k), len(key) - 1)
             more = np.where(key[at] == k, gain[at], 0.0)
-            ref = np.frombuffer(r["refs"], np.uint16 if r["narrow"] else np.uint32)
-            each = np.bincount(ref, np.repeat(more, _from_planes(r["counts"]).astype(np.int64)))
+            each = np.bincount(_from_planes(r["refs"]).astype(np.int64), np.repeat(more, _from_planes(r["counts"]).astype(np.int64)))
             some = np.flatnonzero(each)
             if len(some):
-                row = (1, r["shard"], r["block"], None, None, None, None, len(some), None, each[some].astype(np.float32).tobytes(), None, some.astype(np.uint32).tobytes())
+                row = (1, r["shard"], r["block"], None, None, None, len(some), None, each[some].astype(np.float32).tobytes(), None, _planes(np.diff(some, prepend=0)))
                 out.append(pa.Table.from_batches([_batch(schema, row)]))
         return pa.concat_tables(out)
 
@@ -619,7 +641,7 @@ def _totals(table: pa.Table) -> pa.Table:
     local = documents.column("local").to_numpy()
     total = np.zeros(int(local.max(initial=-1)) + 1)
     for keys, refs in zip(parts.column("keys"), parts.column("refs"), strict=True):
-        total[np.frombuffer(refs.as_py(), np.uint32)] += np.frombuffer(keys.as_py(), np.float32)  # distinct documents
+        total[np.cumsum(_from_planes(refs.as_py()), dtype=np.int64)] += np.frombuffer(keys.as_py(), np.float32)  # distinct documents
     log_p = documents.column("base").to_numpy() + total[local]
     return pa.table([documents.column("doc_id"), documents.column("lang"), documents.column("n"), pa.array(log_p)], names=["doc_id", "lang", "n_tokens", "log_probability"])
 
@@ -661,7 +683,7 @@ def perplexities(documents: DataFrame, trusted: DataFrame, calibration: Calibrat
     scored = score(documents, model)
     length = F.when(F.col("n_tokens") < 32, 0).when(F.col("n_tokens") < 128, 1).otherwise(2)
     scored = staged(scored.withColumn("log_perplexity", F.when(F.col("n_tokens") > 0, -F.col("log_probability") / F.col("n_tokens"))).withColumn("length", length), "scores")
-    dropped(model.answers)
+    dropped(model.bigrams, model.others)
     held = trusted_only(scored.where("log_perplexity is not null"), trusted.where(aside))
 
     def quantiles(name: str, *keys: str) -> DataFrame:

@@ -102,13 +102,13 @@ def brute_perplexity(train, texts):
     return [sum(math.log(p(h, w)) for h, w in itertools.pairwise(seq(t))) if t and t.split() else 0.0 for t in texts]
 
 
-@pytest.mark.parametrize(("words", "bigrams"), [(1 << 20, 1 << 21), (15, 40), (0, 0)])
+@pytest.mark.parametrize(("words", "bigrams"), [(1 << 20, 1 << 21), (42, 30), (15, 40), (0, 0)])
 def test_perplexity_against_brute_force(spark, words, bigrams):
     """What is sent to the executors (all, some or nothing) does not matter to the result."""
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(40)]
     text = lambda: " ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(40)], k=rng.randint(1, 60)))
-    train, texts = [text() for _ in range(60)], [text() + " new word" * (i % 3) for i in range(30)] + ["", None, "w0", "w3 w1 new " * 20_000]
+    train, texts = [text() + f" once{i}" * (i % 5 == 0) for i in range(60)], [text() + f" once{i}" * (i % 2) + " new word" * (i % 3) for i in range(30)] + ["", None, "w0", "w3 w1 new " * 20_000]
     docs = spark.createDataFrame([(i, t, "en", 0.5) for i, t in enumerate(texts)] + [(None, "w1 w2", None, 0.5)], "doc_id long, text string, lang string, base double")
     model = kneser_ney.train(spark.createDataFrame([(t,) for t in train] + [(None,), ("",)], "text string").repartition(3), words, bigrams)
     got = {r["doc_id"]: r for r in kneser_ney.score(docs, model).collect()}
