@@ -9,6 +9,7 @@ until ``clear``.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -48,14 +49,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def dropped(*tables: DataFrame) -> None:
+def dropped(*tables: DataFrame, collect: bool = True) -> None:
     """Delete staged tables (as ``staged`` returned them); nothing may read them any more.
 
-    The files of shuffles that only made them go as well, as soon as the driver has collected its garbage.
+    The files of shuffles that only made them go as well, as soon as the driver has collected its garbage (``collect``).
     """
     for table in tables:
         _delete(table.sparkSession, table._staged_at)
-    for table in tables[:1]:
+    for table in tables[: int(collect)]:
+        gc.collect()  # data frames that are gone still name their shuffles to the driver's JVM
         table.sparkSession._jvm.System.gc()
 
 
