@@ -49,11 +49,10 @@ class TokenTable(WordTable):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.plain = Tokenizer.from_file(tokenizer_path)
-        self.special = [t.content.encode() for t in self.plain.get_added_tokens_decoder().values()]
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.encode_special_tokens = True  # what only lower-casing makes of a word is no special token
-        super().__init__(self._tokens, most=900_000)
+        super().__init__(self._tokens, most=500_000)
 
     def _restart(self) -> None:
         super()._restart()
@@ -62,7 +61,10 @@ class TokenTable(WordTable):
     def whole(self, text: bytes | None) -> np.ndarray | None:
         """The ids of a text with a special token in it; None for other texts."""
         if text and any(x in text for x in self.special):
-            return np.array(self.plain.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+            self.tokenizer.encode_special_tokens = False
+            ids = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+            self.tokenizer.encode_special_tokens = True
+            return ids
         return None
 
     def _tokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -236,8 +238,10 @@ class _Bins:
     def __init__(self, plan: Counter[Pattern], capacity: int):
         self.capacity = capacity
         self.count: dict[Pattern, int] = {}
+        self.full: dict[int, Pattern] = {}  # full bins by what two of their pieces have in all; may be out of date
         self.one, self.two = _Index(capacity), _Index(capacity)
         self.bins = 0
+        self.open: set[Pattern] = set()
         for pattern, n in plan.items():
             self.put(pattern, n)
 
@@ -253,6 +257,8 @@ class _Bins:
         if pattern and n:
             if pattern not in self.count:
                 self.show(pattern)
+                if _fill(pattern) < self.capacity:
+                    self.open.add(pattern)
             self.count[pattern] = self.count.get(pattern, 0) + n
             self.bins += n
 
@@ -261,6 +267,7 @@ class _Bins:
         self.count[pattern] -= n
         if not self.count[pattern]:
             del self.count[pattern]
+            self.open.discard(pattern)
             self.hide(pattern)
 
     def show(self, pattern: Pattern) -> None:
@@ -272,7 +279,7 @@ class _Bins:
             index.drop(size, self.capacity - _fill(pattern), pattern)
 
     def underfull(self) -> list[tuple[int, Pattern]]:
-        return sorted((_fill(p), p) for p in self.count if _fill(p) < self.capacity)
+        return sorted((_fill(p), p) for p in self.open)
 
     def exchange(self, emptier: Pattern) -> Pattern | None:
         """The move, one-for-one, two-for-one or one-for-two exchange of ``emptier`` with another bin that raises the sum of squared fills most; its new pattern.
@@ -311,27 +318,25 @@ class _Bins:
 
     def split(self) -> Pattern | None:
         """Two-for-one with a full bin at equal length: the sum stays, and the emptier bin has smaller pieces to give away; its new pattern."""
-        full: dict[int, Pattern] = {}
-        for pattern in self.count:
-            if _fill(pattern) == self.capacity:
-                for size in _pairs(pattern):
-                    full.setdefault(size, pattern)
-        for _, emptier in self.underfull():
-            for size, _ in emptier:
-                if size in full:
-                    fuller = full[size]
-                    return self._swap(fuller, _pairs(fuller)[size], emptier, (size,), min(self.count[fuller], self.count[emptier]))
+        for fresh in (False, True):
+            if fresh:
+                self.full = {size: p for p in self.count if _fill(p) == self.capacity for size in _pairs(p)}
+            for _, emptier in self.underfull():
+                for size, _ in emptier:
+                    fuller = self.full.get(size)
+                    if fuller in self.count:
+                        return self._swap(fuller, _pairs(fuller)[size], emptier, (size,), min(self.count[fuller], self.count[emptier]))
         return None
 
 
-def local_search(plan: Counter[Pattern], capacity: int) -> Counter[Pattern]:
+def local_search(plan: Counter[Pattern], capacity: int, splits: bool = True) -> Counter[Pattern]:
     """Exchanges between underfull bins that raise the sum of squared fills, until bins empty.
 
-    The emptiest bins give first.  Bins with the same pattern move together, so the
+    The emptiest bins give first, and full ones are left alone.  Bins with the same pattern move together, so the
     work depends on the number of patterns and not on the number of sequences.
     Where nothing raises the sum, a piece of the emptiest bin is swapped for two of
-    a full one, which leaves the sum and makes new exchanges possible.  It ends
-    when the fewest possible bins are reached or no exchange is left: the sum never
+    a full one (``splits``), which leaves the sum and makes new exchanges possible.
+    It ends when the fewest possible bins are reached or no exchange is left: the sum never
     falls, and between rises the number of pieces in underfull bins grows.
     """
     bins = _Bins(plan, capacity)
@@ -340,7 +345,7 @@ def local_search(plan: Counter[Pattern], capacity: int) -> Counter[Pattern]:
     while bins.bins > fewest:
         if not heap:
             if splitting or not moved:
-                fresh = bins.split()
+                fresh = bins.split() if splits else None
                 splitting = fresh is not None
                 if fresh:
                     heap, whole = [(_fill(fresh), fresh)], False
@@ -358,6 +363,24 @@ def local_search(plan: Counter[Pattern], capacity: int) -> Counter[Pattern]:
     return Counter(bins.count)
 
 
+def packed(counts: dict[int, int], capacity: int, base: int = 4) -> Counter[Pattern]:
+    """A plan for a histogram of lengths: ``next_fit`` and ``local_search`` for the digits of its counts, from the highest.
+
+    What is packed for the higher digits is had ``base`` times before the next digit
+    comes in.  So the work grows with the number of digits, not with that of the pieces.
+    """
+    plan: Counter[Pattern] = Counter()
+    power = 1
+    while power * base <= max(counts.values(), default=0):
+        power *= base
+    while power:
+        digits = {size: n // power % base for size, n in counts.items() if n // power % base}
+        plan = Counter({p: n * base for p, n in plan.items()}) + next_fit(digits, capacity)
+        plan = local_search(plan, capacity, splits=power == 1)
+        power //= base
+    return plan
+
+
 def places(plan: Counter[Pattern]) -> dict[int, tuple[np.ndarray, ...]]:
     """For each length: the first piece number, first sequence, first offset and pieces in a sequence of each run of places."""
     rows: dict[int, list[tuple[int, int, int, int]]] = {}
@@ -405,7 +428,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = SE
     pieces = staged(tokenise(documents, tokenizer_path, capacity, with_ids), "pieces")
     blocks = staged(pieces.groupBy("block", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in blocks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    where = places(local_search(next_fit(counts, capacity), capacity))
+    where = places(packed(counts, capacity))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = blocks.select("block", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     ranked = pieces.join(first, ["block", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, (F.col("before") + F.col("number")).alias("rank"))
