@@ -73,10 +73,10 @@ class Histogram:
 
     def __init__(self, rows: DataFrame, high: np.ndarray, low: np.ndarray):
         sums = [F.sum(x).alias(x) for x in ("bytes", "n")] + [F.min(x).alias(x) for x in ("first_hash", "first_tie")] + [F.max(x).alias(x) for x in ("last_hash", "last_tie")]
-        got = rows.select("hash", "tie", "size").mapInArrow(_histogram(high, low), _COUNTED).groupBy("cell").agg(*sums).toPandas()  # a row for each cell
+        got = rows.select("hash", "tie", "size").mapInArrow(_histogram(high, low), _COUNTED).groupBy("cell").agg(*sums).toArrow()  # a row for each cell
         for name in ("bytes", "n", "first_hash", "last_hash", "first_tie", "last_tie"):
             held = np.zeros(len(high) + 1, np.int64)
-            held[got["cell"].to_numpy(np.int64)] = got[name].to_numpy(np.int64)
+            held[got["cell"].to_numpy()] = got[name].to_numpy()
             setattr(self, name, held)
 
 

@@ -147,6 +147,6 @@ def bit_filter(slots: DataFrame, bits: int = FILTER_BITS):
 
     words = slots.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
     out = np.zeros(bits // 64, np.int64)
-    got = words.toPandas()
-    out[got["word"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64)
+    got = words.toArrow()
+    out[got["word"].to_numpy()] = got["bit"].to_numpy()
     return out.view(np.uint8)
