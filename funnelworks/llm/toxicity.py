@@ -344,12 +344,14 @@ def train(documents: DataFrame, labels: DataFrame, bounds: TrainingBounds = Trai
 
     For each label, 0 and 1, the ``bounds.documents`` doc_ids of lowest hash: the
     same at every run, and few enough to be sent to the documents.  Null labels and
-    texts, and texts longer than ``bounds.document_bytes``, are not learned from.
+    texts, and texts longer than ``bounds.document_bytes``, are not learned from; of
+    several texts of one doc_id the least is.
     """
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bounds.documents) for label in (0, 1)]
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= bounds.document_bytes))
-    rows = texts.join(F.broadcast(sample[0].union(sample[1])), "doc_id").select("doc_id", "text", "toxic").collect()
+    # However often a labelled doc_id is there, one row of it comes to the driver.
+    rows = texts.join(F.broadcast(sample[0].union(sample[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"].encode() for r in rows], [r["toxic"] for r in rows], bounds)
 
@@ -357,7 +359,9 @@ def train(documents: DataFrame, labels: DataFrame, bounds: TrainingBounds = Trai
 def score_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, score (0 to 1) and n_windows of every whole text; a text without words, or null, has ``model.floor``.
 
-    Scores depend on the text alone.  Repeated rows are scored each; an empty table gives no rows.
+    Scores depend on the text alone.  Very long texts are scored whole, all their
+    windows; repeated rows are scored each; an empty table gives no rows.  Other
+    columns are not read.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 

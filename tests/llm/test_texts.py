@@ -66,6 +66,15 @@ def test_toxicity_finds_words_and_their_forms(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_a_labelled_id_that_is_repeated_is_learned_once(spark, monkeypatch):
+    rows = [(1, "bad words here"), (2, "good words here")] + [(1, f"copy {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, bounds: seen.append((texts, labels)))
+    toxicity.train(docs, spark.createDataFrame([(1, 1), (2, 0), (1, 1), (None, 1)], "doc_id long, toxic int"))
+    assert seen == [([b"bad words here", b"good words here"], [1, 0])]
+
+
 def test_toxicity_without_two_labels(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
