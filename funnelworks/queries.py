@@ -93,6 +93,9 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         from tempfile import mkdtemp
 
         where = mkdtemp(prefix="funnelworks-")
