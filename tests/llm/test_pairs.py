@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from funnelworks.llm import tiling
-from funnelworks.llm.chaining import Chaining, Fenwick, _common, aligned_parts, chain, cut_words, minimizers, repeated_passages, without_repeats
+from funnelworks.llm.chaining import Chaining, Fenwick, _chainable, _common, aligned_parts, chain, cut_words, minimizers, repeated_passages, without_repeats
 from funnelworks.llm.components import components
 from funnelworks.llm.jaccard import Rule, near_duplicates, tile_links
 from funnelworks.llm.tiling import Tiling, leaks, tile
@@ -328,6 +328,39 @@ def test_passages_whose_parts_lie_elsewhere(spark):
     assert not {0, 1, 2, 3, 8, last - 37} & {r["doc_id"] for r in got}
 
 
+def test_fuzzy_passages_of_texts_that_are_no_partner_of_a_seed(spark):
+    """What a passage's copy has unchanged occurs elsewhere piece by piece, first and just before; only one text has it whole."""
+    rng = random.Random(41)
+    prose = lambda n: [f"w{rng.randint(0, 10**7)}" for _ in range(n)]
+    whole, own = prose(90), prose(90)
+    changed, own_changed = ([w if i % 15 != 7 else f"new{i}" for i, w in enumerate(x)] for x in (whole, own))
+    cuts = [0, *range(7, 90, 15), 90]
+    pieces = lambda x: [x[a + (a > 0) : b] for a, b in zip(cuts, cuts[1:])]
+    apart = lambda: [prose(9) + x + prose(50) for x in pieces(whole)]
+    texts = apart() + [prose(20) + whole + prose(20)] + apart() + [prose(5) + changed + prose(3)]
+    # In one document: the first places of the seeds are those of the pieces, and only the second ones are a passage.
+    texts += [sum((x + prose(50) for x in pieces(own)), []) + own + prose(60) + own_changed]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = repeated_passages(docs).collect()
+    last = len(texts) - 2
+    assert covered(got, last) >= set(range(10, 90)) and {r["other_doc_id"] for r in got if r["doc_id"] == last} == {7}
+    n = len(texts[-1])
+    assert covered(got, last + 1) >= set(range(n - 85, n - 5)) and min(covered(got, last + 1)) >= n - 90
+    assert all(r["identity"] >= 0.8 and r["end"] - r["start"] >= 50 for r in got) and {r["doc_id"] for r in got} == {last, last + 1}
+
+
+def test_stretches_that_no_chain_goes_beyond():
+    rng, rule = random.Random(42), Chaining()
+    for _ in range(300):
+        x = sorted(rng.sample(range(rng.choice((60, 200, 600))), rng.randint(1, 25)))
+        anchors = [(a, a + rng.choice((0, 0, 0, 3, -2)) + 100, rule.seed) for a in x if rng.random() < 0.8]
+        stretches = _chainable(np.zeros(len(x), np.int64), np.array(x, np.int64), rule)
+        for path in chain(anchors, rule):
+            first, end = path[0][0], path[-1][0]
+            if end + rule.seed - first >= rule.chain_words:
+                assert any(a <= first and end <= b for _, a, b in stretches)
+
+
 def test_null_and_repeated_ids_and_repeats_in_one_document(spark):
     rng = random.Random(32)
     prose = lambda n: [f"w{rng.randint(0, 10**7)}" for _ in range(n)]
