@@ -94,12 +94,23 @@ def _hash32(words: list[bytes]) -> np.ndarray:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """The lowest bytes of all 64-bit numbers, then the next ones, compressed: high bytes are few or all equal."""
-    return zstandard.compress(np.ascontiguousarray(np.asarray(x).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    """The lowest bytes of all 64-bit numbers, then the next ones, each plane compressed by itself: they differ in how even they are.
+
+    Before them, how many numbers there are and the length of each plane; planes of zeros are left out.
+    """
+    planes = np.ascontiguousarray(np.asarray(x).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    parts = [zstandard.compress(p.tobytes(), 1) if p.any() else b"" for p in planes]
+    return np.array([planes.shape[1], *map(len, parts)], "<u4").tobytes() + b"".join(parts)
 
 
 def _from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    n, *lengths = np.frombuffer(raw, "<u4", 9).tolist()
+    out, at = np.zeros((n, 8), np.uint8), 36
+    for i, length in enumerate(lengths):
+        if length:
+            out[:, i] = np.frombuffer(zstandard.decompress(raw[at : at + length]), np.uint8)
+        at += length
+    return out.view("<u8").ravel()
 
 
 def _key_bytes(keys: np.ndarray) -> bytes:

@@ -149,6 +149,14 @@ def test_keys_are_a_bijection_and_counts_do_not_wrap():
     assert (kneser_ney._keys_of(kneser_ney._key_bytes(keys)) == keys).all()
 
 
+def test_planes_are_compressed_each_by_itself():
+    rng = np.random.default_rng(5)
+    refs = rng.integers(0, 8000, 30_000)
+    assert len(kneser_ney._planes(refs)) < 52_000
+    for x in (refs, refs[:1], refs[:0], np.array([0, 2**64 - 1, 5], np.uint64), np.zeros(9, np.int64)):
+        assert (kneser_ney._from_planes(kneser_ney._planes(x)) == x.astype(np.uint64)).all()
+
+
 def test_perplexity_thresholds(spark):
     rng = random.Random(9)
     good = lambda: " ".join(rng.choices(["the", "cat", "sat", "on", "a", "mat"], k=40))
