@@ -202,3 +202,26 @@ def test_every_notice_of_a_table_is_found(spark):
     got = {(r["doc_id"], r["family"]) for r in scan_licences(docs).collect() if r["confirmed"]}
     assert len(want) > 10 and len(want & got) >= 0.95 * len(want)
     assert len(got - want) <= 0.05 * len(got)
+
+
+def test_a_worker_gives_freed_memory_back():
+    code = """
+import psutil
+from funnelworks.llm.words import WordTable, hash_words
+rss = lambda: psutil.Process().memory_info().rss >> 20
+WordTable(lambda words: (hash_words(words),))
+before = rss()
+table = WordTable(lambda words: (hash_words(words),))
+table.ids([b"word %d" % i for i in range(600_000)])
+end = [bytes(3000) for _ in range(20_000)]
+keep = bytes(3000)
+del table, end
+WordTable(lambda words: (hash_words(words),))
+assert rss() - before < 25, (before, rss())
+"""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=60)
