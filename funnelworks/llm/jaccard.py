@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import dropped, parts_for, reading, sent, staged
-from .words import WordTable, hash_words, mix, text_chunks, window_hashes
+from .words import WordTable, hash_words, lean_after, mix, text_chunks, window_hashes
 
 SHINGLE = 5
 #: Two sets link when 100 * overlap >= PERCENT * union.
 PERCENT = 75
 #: N-grams are compared by this many bits of their 64-bit hash; sets are counted and named by all of them.
 BITS = 48
+#: N-grams that a block gathers before it sends them, about: bounds a task's arrays and the size of a row.
+PART_KEYS = 1 << 20
 #: Parts of a set that a pair is compared by.
 SEGMENTS = 4
 #: Up to so many sets of one n-gram are compared as pairs, more as tiles.
@@ -75,7 +77,23 @@ def _name(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _shuffled_out(fragments: int, rule: Rule, schema: pa.Schema):
-    """Of a block: a row for each document (kind 0), and its shingles as one packed run for each fragment (kind 1)."""
+    """Of a block: a row for each document (kind 0), and its shingles as one packed run for each fragment (kind 1), or several in large blocks."""
+
+    def packed(block: int, many: int, keys: list[np.ndarray], refs: list[np.ndarray]) -> pa.RecordBatch:
+        """The runs of what has been gathered, which is gone after."""
+        key, ref = np.concatenate(keys), np.concatenate(refs)
+        keys.clear()
+        refs.clear()
+        order = np.argsort(key)
+        key, ref = key[order], ref[order]
+        cut = np.searchsorted(key, [(f << BITS) // fragments for f in range(fragments + 1)])
+        narrow = np.uint16 if many <= 1 << 16 else np.uint32
+        out = []
+        for f in np.flatnonzero(np.diff(cut)).tolist():
+            k, r = key[cut[f] : cut[f + 1]], ref[cut[f] : cut[f + 1]]
+            out.append((1, f, block, None, None, int(narrow == np.uint32), len(k), None, None, (k >> np.uint64(32)).astype(np.uint16).tobytes(), k.astype(np.uint32).tobytes(), r.astype(narrow).tobytes()))
+        columns = zip(*out, strict=True) if out else [[]] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId()
@@ -102,22 +120,12 @@ def _shuffled_out(fragments: int, rule: Rule, schema: pa.Schema):
             # They pass through any fragment, evenly.
             columns = [[0] * many, [(block * 7919 + i) % fragments for i in range(many)], [block] * many, doc, content, local, n, a, b, [None] * many, [None] * many, [None] * many]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-        if not keys:
-            return
-        key, ref = np.concatenate(keys), np.concatenate(refs)
-        keys.clear()
-        refs.clear()
-        order = np.argsort(key)
-        key, ref = key[order], ref[order]
-        cut = np.searchsorted(key, [(f << BITS) // fragments for f in range(fragments + 1)])
-        narrow = np.uint16 if len(sets) <= 1 << 16 else np.uint32
-        for f in range(fragments):
-            k, r = key[cut[f] : cut[f + 1]], ref[cut[f] : cut[f + 1]]
-            if len(k):
-                row = [1, f, block, None, None, int(narrow == np.uint32), len(k), None, None, (k >> np.uint64(32)).astype(np.uint16).tobytes(), k.astype(np.uint32).tobytes(), r.astype(narrow).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+            if sum(map(len, keys)) >= PART_KEYS:
+                yield packed(block, len(sets), keys, refs)
+        if keys:
+            yield packed(block, len(sets), keys, refs)
 
-    return run
+    return lean_after(run)
 
 
 def _shared_only(schema: pa.Schema):
@@ -156,7 +164,7 @@ def _shared_only(schema: pa.Schema):
         if parts:
             yield from of_fragment(current, parts)
 
-    return run
+    return lean_after(run)
 
 
 def _survivors(rule: Rule):

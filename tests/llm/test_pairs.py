@@ -432,3 +432,49 @@ def test_cuts(spark):
     assert all(n == len(t) for _, t, n in kept if t is not None)
     whole = " ".join(one)
     assert [i for i, t, _ in kept if whole in " ".join((t or "").split())] == [1]
+
+
+class _Block:
+    def partitionId(self):
+        return 3
+
+
+def _sent_by_a_block(monkeypatch, module, run_of, columns, most):
+    """Rows of runs that one block sends, with no more than about ``most`` keys gathered."""
+    import pyarrow as pa
+
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in module._ROWS.split(", "))])
+    monkeypatch.setattr(module.TaskContext, "get", classmethod(lambda cls: _Block()))
+    monkeypatch.setattr(module, "PART_KEYS", most, raising=False)
+    monkeypatch.setattr("funnelworks.llm.words.CHUNK_BYTES", 1 << 12)
+    monkeypatch.setattr("funnelworks.llm.words.chunks.__defaults__", (1 << 12,))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "content", "text"])
+    return [r for b in run_of(schema)([batch]) for r in b.to_pylist() if r["kind"] == 1]
+
+
+@pytest.mark.parametrize("name", ["jaccard"])
+def test_a_large_block_sends_its_keys_in_bounded_runs(monkeypatch, name):
+    from funnelworks.llm import chaining, jaccard
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randrange(1, 4) for _ in range(rng.randrange(0, 120))) for _ in range(400)]
+    columns = [list(range(400)), [hash(t) for t in texts], texts]
+    module, run_of = {"jaccard": (jaccard, lambda s: jaccard._shuffled_out(4, Rule(), s)), "chaining": (chaining, lambda s: chaining._seeds(4, Chaining(), s))}[name]
+    keys = {}
+    for most in (1 << 30, 2000):
+        rows = _sent_by_a_block(monkeypatch, module, run_of, columns, most)
+        keys[most] = sorted((r["fragment"], h, x, ref) for r in rows for h, x, ref in zip(np.frombuffer(r["high"], np.uint16).tolist(), np.frombuffer(r["low"], np.uint32).tolist(), np.frombuffer(r["refs"], np.uint16).tolist(), strict=True))
+    assert keys[2000] == keys[1 << 30] and len(rows) > 8
+    assert max(r["n" if name == "jaccard" else "n_words"] for r in rows) < 2000
+
+
+def test_a_worker_holds_nothing_of_a_task_that_is_done():
+    from funnelworks.llm.words import _kept, lean_after
+
+    def run(batches):
+        for b in batches:
+            _kept()["table"] = b
+            yield b
+
+    assert list(lean_after(run)([1, 2])) == [1, 2] and not _kept()
