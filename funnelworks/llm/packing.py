@@ -35,10 +35,19 @@ END_ID = 0
 
 #: Fewer tokenizer calls: ASCII case does not matter to the vocabulary, and a full stop or comma after a letter is a token of its own.
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
+#: The same, mark by mark: a pattern that begins with its mark is searched for several times as fast.
+_STOPS = [(b" " + x, re.compile(re.escape(x) + rb"(?=[ \n]|$)(?<=[a-z]" + re.escape(x) + b")")) for x in (b".", b",")]
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 
+def _stops_apart(text: bytes) -> bytes:
+    """A lower-case text with a space before each such mark."""
+    for apart, mark in _STOPS:
+        text = apart.join(mark.split(text))
+    return text
+
+
 class TokenTable(WordTable):
     """Token ids of distinct words.  The tokenizer never joins over white space, so a text's ids are its words' ids in order.
 
@@ -91,7 +100,7 @@ def _pieces(tokenizer_path: str, capacity: int, with_ids: bool, schema: pa.Schem
         for rows, texts in text_chunks(batches):
             table.begin()
             apart = [table.whole(t) for t in texts]
-            words = [table.ids(_STOP.sub(rb" \1", t.lower()).split()) if t and x is None else np.empty(0, np.int32) for t, x in zip(texts, apart, strict=True)]
+            words = [table.ids(_stops_apart(t.lower()).split()) if t and x is None else np.empty(0, np.int32) for t, x in zip(texts, apart, strict=True)]
             starts, counts = table.settle()
             every = np.concatenate(words) if words else np.empty(0, np.int32)
             tokens = table.flat[spread(starts[every], counts[every].astype(np.int64))]
