@@ -453,7 +453,7 @@ def _sent_by_a_block(monkeypatch, module, run_of, columns, most):
     return [r for b in run_of(schema)([batch]) for r in b.to_pylist() if r["kind"] == 1]
 
 
-@pytest.mark.parametrize("name", ["jaccard"])
+@pytest.mark.parametrize("name", ["jaccard", "chaining"])
 def test_a_large_block_sends_its_keys_in_bounded_runs(monkeypatch, name):
     from funnelworks.llm import chaining, jaccard
 
@@ -478,3 +478,27 @@ def test_a_worker_holds_nothing_of_a_task_that_is_done():
             yield b
 
     assert list(lean_after(run)([1, 2])) == [1, 2] and not _kept()
+
+
+def test_seeds_of_many_texts_are_those_of_each():
+    from funnelworks.llm.chaining import seed_keys, seeds_of
+
+    rng, rule = np.random.default_rng(2), Chaining()
+    for _ in range(100):
+        texts = [rng.integers(0, rng.integers(1, 50), rng.integers(0, rng.choice([1, 8, 12, 80]))).astype(np.uint64) for _ in range(rng.integers(0, 12))]
+        text, at, key = seeds_of(np.concatenate([np.empty(0, np.uint64), *texts]), np.array([len(t) for t in texts], np.int64), rule)
+        want = [(i, x, k) for i, t in enumerate(texts) for x, k in zip(*(v.tolist() for v in seed_keys(t, rule)), strict=True)]
+        assert list(zip(text.tolist(), at.tolist(), key.tolist(), strict=True)) == want
+
+
+def test_no_pair_with_a_passage_is_ruled_out():
+    from funnelworks.llm.chaining import _pair_chains, may_align
+
+    rng, rule, passages, out = np.random.default_rng(3), Chaining(), 0, 0
+    for _ in range(300):
+        a = rng.integers(0, 300, rng.integers(20, 150)).astype(np.uint64)
+        b = np.concatenate([rng.integers(300, 600, 20).astype(np.uint64), np.where(rng.random(len(a)) < rng.uniform(0, 0.3), rng.integers(0, 900, len(a)), a).astype(np.uint64)])
+        found = [p for c in _pair_chains(a, b, 0, len(a), False, rule) for p in aligned_parts(a, b, c, rule) if p[1] - p[0] >= rule.words and p[4] >= rule.identity]
+        passages, out = passages + bool(found), out + (not may_align(a, b, rule))
+        assert may_align(a, b, rule) or not found
+    assert passages > 20 and out > 20
