@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import scripts
 from .store import staged
-from .words import WordTable, hash_words, spread, text_chunks, window_hashes
+from .words import WordTable, hash_words, lean_after, spread, text_chunks, window_hashes
 
 #: Symbols that the base rules count.
 SYMBOLS = b"#*$%&|<>"
@@ -144,7 +144,7 @@ def _measures(piece_path: str, rank_path: str, schema: pa.Schema, others: list[s
             made = [n, total(chars), total(symbols), [duplicate_lines(t) if t else 0 for t in texts], repeated_words(hashes[every], n), tokens, total(byte_counts), total(rank_counts), _entropies(table.flat[spread(starts[every], counts[every].astype(np.int64))], tokens, len(table.is_byte)), main]
             yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(len(others))] + [pa.array(x, f.type) for x, f in zip(made, list(schema)[len(others) :], strict=True)], schema=schema)
 
-    return run
+    return lean_after(run)
 
 
 _MADE = (("n_words", pa.int64(), "long"), ("word_chars", pa.int64(), "long"), ("n_symbols", pa.int64(), "long"), ("n_dup_lines", pa.int64(), "long"), ("n_repeat_words", pa.int64(), "long"), ("n_tokens", pa.int64(), "long"), ("n_byte_tokens", pa.int64(), "long"), ("n_rank_tokens", pa.int64(), "long"), ("token_entropy", pa.float64(), "double"), ("script", pa.string(), "string"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import FILTER_BITS, bit_filter, staged
-from .words import WordTable, hash_words, text_chunks, window_hashes
+from .words import WordTable, hash_words, lean_after, text_chunks, window_hashes
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,7 @@ def _hits(bits: np.ndarray, tiling: Tiling, schema: pa.Schema):
             number += len(texts)
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(found)), pa.array(keys, pa.int64()), pa.array([tokens[i].tobytes() for i in found], pa.binary()), pa.array(seeds, pa.list_(pa.int64()))], schema=schema)
 
-    return run
+    return lean_after(run)
 
 
 def _free_runs(used: np.ndarray, size: int) -> np.ndarray:

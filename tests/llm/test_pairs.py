@@ -502,3 +502,25 @@ def test_no_pair_with_a_passage_is_ruled_out():
         passages, out = passages + bool(found), out + (not may_align(a, b, rule))
         assert may_align(a, b, rule) or not found
     assert passages > 20 and out > 20
+
+
+@pytest.mark.parametrize("name", ["measures", "hits"])
+def test_workers_of_the_other_stages_hold_nothing_after_a_task(monkeypatch, name):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from funnelworks.llm import fertility, tiling
+    from funnelworks.llm.words import _kept
+
+    def batches():
+        yield pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["en"]), pa.array([5]), pa.array(["one two three four five six seven eight"])], names=["doc_id", "lang", "content", "text"])
+        _kept()["table"] = "of this task"
+
+    if name == "measures":
+        schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("content", pa.int64())] + [(x, kind) for x, kind, _ in fertility._MADE])
+        run = fertility._measures(public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken"), schema, fertility.OTHERS)
+    else:
+        monkeypatch.setattr(tiling.TaskContext, "get", classmethod(lambda cls: _Block()))
+        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("tokens", pa.binary()), ("seeds", pa.list_(pa.int64()))])
+        run = tiling._hits(np.full(tiling.FILTER_BITS // 8, 255, np.uint8), tiling.Tiling(), schema)
+    assert sum(b.num_rows for b in run(batches())) == 1 and not _kept()
