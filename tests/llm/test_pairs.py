@@ -504,6 +504,49 @@ def test_no_pair_with_a_passage_is_ruled_out():
     assert passages > 20 and out > 20
 
 
+def test_pairs_that_may_reach_are_those_that_may_chain():
+    from funnelworks.llm.chaining import may_chain, may_reach
+
+    rng, rule, some, exact = np.random.default_rng(7), Chaining(), 0, 0
+    for _ in range(60):
+        pairs = []
+        for _ in range(rng.integers(1, 12)):
+            at = np.unique(rng.integers(0, rng.choice([20, 60, 400]), rng.integers(1, 40)))
+            low = np.where(rng.random(len(at)) < 0.7, at + rng.integers(0, 30), rng.integers(0, 400, len(at)))
+            pairs.append((at, low, low + rng.choice([0, 1]) * rng.integers(0, 9, len(at)), rng.random(len(at)) < 0.2))
+        number = np.repeat(np.arange(len(pairs)), [len(p[0]) for p in pairs])
+        got = may_reach(number, *(np.concatenate(x) for x in zip(*pairs, strict=True)), rule)
+        for i, p in enumerate(pairs):
+            want = may_chain(*p, rule)
+            some, exact = some + want, exact + (p[1] != p[2]).any()
+            assert (i in got) == want if (p[1] != p[2]).any() else (i in got or not want)
+    assert some > 50 and exact > 50
+
+
+@pytest.mark.parametrize("cells", [(1 << 17, 1 << 16), (40, 7)])
+def test_no_table_has_a_row_for_each_seed_of_each_pair(spark, monkeypatch, cells):
+    """Texts of one word over and over in another order each share their seeds, all with all."""
+    from funnelworks.llm import chaining
+
+    rng, rows, staged = random.Random(6), {}, chaining.staged
+
+    def counted(table, name):
+        out = staged(table, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(chaining, "staged", counted)
+    monkeypatch.setattr(chaining, "CELL_SEEDS", cells[0], raising=False)
+    monkeypatch.setattr(chaining, "CELL_TEXTS", cells[1], raising=False)
+    texts = [" ".join(w for w in rng.sample("abcdefghijkl", 8) for _ in range(rng.randint(8, 14))) for _ in range(40)]
+    texts += [" ".join([*"x" * 25, *"y" * 25, *"z" * 5]), " ".join([*"q" * 9, *"x" * 22, *"y" * 28])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = repeated_passages(docs).collect()
+    assert any((r["doc_id"], r["other_doc_id"]) == (41, 40) and r["end"] - r["start"] >= 47 for r in got)
+    assert 40 <= rows["open"] and rows["open-seeds"] <= rows["open"]
+    assert max(rows[x] for x in rows if x.startswith("open")) < sum(len(t.split()) for t in texts)
+
+
 @pytest.mark.parametrize("name", ["measures", "hits"])
 def test_workers_of_the_other_stages_hold_nothing_after_a_task(monkeypatch, name):
     import public_tokenizers
