@@ -567,3 +567,63 @@ def test_workers_of_the_other_stages_hold_nothing_after_a_task(monkeypatch, name
         schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("tokens", pa.binary()), ("seeds", pa.list_(pa.int64()))])
         run = tiling._hits(np.full(tiling.FILTER_BITS // 8, 255, np.uint8), tiling.Tiling(), schema)
     assert sum(b.num_rows for b in run(batches())) == 1 and not _kept()
+
+
+def test_a_line_of_many_texts_makes_no_pairs_alone(spark, monkeypatch):
+    """Rows of the joins by seed grow with the texts that share a line, not with their square."""
+    from funnelworks.llm import chaining
+
+    monkeypatch.setattr(chaining, "CELL_SEEDS", 8)
+    frame, most = type(spark.range(0)), []
+    join = frame.join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how) if how else join(self, other, on)
+        if on == "seed":
+            most.append(out.count())
+        return out
+
+    monkeypatch.setattr(frame, "join", counted)
+    rng, rows = random.Random(5), []
+    for n in (30, 90):
+        words = (f"w{i}" for i in range(10**6))
+        some = lambda k, words=words: [next(words) for _ in range(k)]
+        line, texts = some(12), []
+        for _ in range(n // 2):  # two texts share the line and another; words between differ
+            other = some(12)
+            texts += [some(30) + line + some(8) + other + some(30) for _ in range(2)]
+        rng.shuffle(texts)
+        most.clear()
+        repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).count()
+        rows.append(max(most))
+    assert 0 < rows[1] <= 4 * rows[0]
+
+
+def test_classes_lose_no_chain_that_goes_by_an_open_seed():
+    from funnelworks.llm.chaining import _anchors, _ends_meet, _passable, beginnings, runs_may_chain, runs_of_stretch, runs_of_text
+
+    rng, rule, chained = random.Random(4), Chaining(), 0
+    for _ in range(1500):
+        kinds, n = rng.randint(3, 14), rng.randint(2, 12)
+        at = np.cumsum([rng.choice([1, 3, 5, 9, 14, 30]) for _ in range(n)])
+        key, out = np.array([rng.randrange(kinds) for _ in range(n)]), np.array([rng.random() < 0.3 for _ in range(n)])
+        shift, places = rng.randint(0, 40), {}
+        for x, k in zip(at.tolist(), key.tolist(), strict=True):
+            if rng.random() < 0.8:
+                y = shift + x + rng.choice([0, 0, 0, 1, 4])
+                low, high = places.get(k, (y, y))
+                places[k] = (min(low, y), max(high, y)) if rng.random() < 0.2 else (low, high)
+        if not places:
+            continue
+        seed = np.array(sorted(places))
+        low, high = (np.array([places[k][i] for k in sorted(places)]) for i in range(2))
+        x, y = np.array([(a, places[k][i]) for a, k in zip(at.tolist(), key.tolist(), strict=True) if k in places for i in range(2)]).T
+        order = np.lexsort((x, x - y))
+        chains = list(_passable(*_anchors(np.zeros(len(x), np.int64), x[order], y[order], rule)[1:], rule))
+        if any(out[(at >= c[0][0]) & (at <= c[-1][0] + c[-1][2] - rule.seed)].any() for c in chains):
+            chained += 1
+            pairs = [(a, b) for a in runs_of_stretch(at, key, out, rule) for b in runs_of_text(seed, low, high, bool((low < high).any()), rule)]
+            # A chain of a text that repeats seeds need not go by the first and last place of each alone.
+            assert any(list(_ends_meet([a], [b], s, rule)) for a, b in pairs for s in a["seed"][beginnings(a, rule)].tolist())
+            assert (low < high).any() or any(runs_may_chain(a, b, rule) for a, b in pairs)
+    assert chained > 100
