@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import FeatureParams, JoinParams
+from .existence import EXISTENCE, existence_join
 from .ingest import last_day
 from .standardize import schema_of
 
@@ -30,10 +31,18 @@ def join_dataframes(prints: DataFrame, taps: DataFrame, pays: DataFrame, paramet
     paid_by_customer.  Null keys match nothing; several matches give several rows.
     Nulls (and NaNs) of numeric columns become 0.  The result of the first join
     goes on under its own names, so the second can use any key of prints.
+
+    With ``semi`` and ``anti`` the result is prints alone (date, position, value_prop,
+    user_id, those to keep), each at most once: with a tap and a payment, or with neither.
     """
     p = parameters if isinstance(parameters, JoinParams) else JoinParams.from_dict(parameters) if parameters else JoinParams()
     fixed = list(dict.fromkeys(["date", "position", "value_prop", "user_id", *p.keep, *p.print_keys]))
     left = prints.select(*fixed)
+    if p.how in EXISTENCE:
+        for other, keys in ((taps, p.tap_keys), (pays, p.pay_keys)):
+            left = existence_join(left, other, list(zip(p.print_keys, keys, strict=True)), p.how)
+        out = left.select(*dict.fromkeys(["date", "position", "value_prop", "user_id", *p.keep]))
+        return out.fillna(0, [c for c in p.fill if c in out.columns]) if p.fill is not None else out.fillna(0)
     right = taps.select(*[F.col(c).alias(f"_tap_{i}") for i, c in enumerate(p.tap_keys)], F.col("date").alias("_tap_date"))
     pairs = [left[c] == right[f"_tap_{i}"] for i, c in enumerate(p.print_keys)]
     tapped = left.join(right, pairs, p.how).select(*fixed, F.when(F.col("_tap_date").isNull(), 0).otherwise(1).alias(TAP))

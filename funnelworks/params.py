@@ -9,9 +9,9 @@ from typing import Any
 
 log = logging.getLogger(__name__)
 
-HOWS = ("inner", "left", "right", "full")
+HOWS = ("inner", "left", "right", "full", "semi", "anti")
 #: Spark's other names for these; with keys to join by, a cross join is an inner one.
-_ALIASES = {"cross": "inner", "leftouter": "left", "rightouter": "right", "outer": "full", "fullouter": "full"}
+_ALIASES = {"cross": "inner", "leftouter": "left", "rightouter": "right", "outer": "full", "fullouter": "full", "leftsemi": "semi", "leftanti": "anti"}
 
 
 def _optional(value: Any) -> str | None:
@@ -80,7 +80,11 @@ class LookbackParams:
 
 @dataclass(frozen=True)
 class JoinParams:
-    """Keys of the three tables, in step with each other; the kind of join for both joins."""
+    """Keys of the three tables, in step with each other; the kind of join for both joins.
+
+    ``semi`` keeps prints with a tap and a payment, ``anti`` those with neither; nothing
+    of taps and payments is in the result, so it has no flag and no total.
+    """
 
     print_keys: Sequence[str] = ("date", "user_id", "value_prop")
     tap_keys: Sequence[str] = ("date", "user_id", "value_prop")

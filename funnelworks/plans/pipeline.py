@@ -9,10 +9,14 @@ from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark import inheritable_thread_target
+
 from ..sources.catalog import Catalog
 
 log = logging.getLogger(__name__)
 PARAMS = "params:"
+#: Spark's local properties of a job: its scheduler pool and how it is described.
+POOL, DESCRIPTION = "spark.scheduler.pool", "spark.job.description"
 
 
 @dataclass(frozen=True)
@@ -97,8 +101,27 @@ def run_node(node: Node, catalog: Catalog, parameters: Mapping[str, Any]) -> Non
     log.info("%s: %.1f s", node.name, time.monotonic() - began)
 
 
+def _run_in_pool(node: Node, catalog: Catalog, parameters: Mapping[str, Any]) -> None:
+    """``run_node`` with its jobs in a scheduler pool of the node's name; the thread serves other nodes afterwards."""
+    context = catalog.spark.sparkContext
+    context.setLocalProperty(POOL, node.name)
+    context.setLocalProperty(DESCRIPTION, node.name)
+    try:
+        run_node(node, catalog, parameters)
+    finally:
+        context.setLocalProperty(POOL, None)
+        context.setLocalProperty(DESCRIPTION, None)
+
+
 def run(pipeline: Pipeline, catalog: Catalog, parameters: Mapping[str, Any], threads: int = 1) -> None:
-    """All nodes in order; with more threads, nodes that do not wait for each other at the same time."""
+    """All nodes in order; with more threads, nodes that do not wait for each other at the same time.
+
+    Each node that runs beside others has a scheduler pool of its own, by its name: in
+    a session with FAIR scheduling, nodes share the executors evenly, where in one pool
+    the first node's tasks would all come first.  A node that only declares a plan has
+    no jobs; they run in the pool of the node that writes.  The caller's local properties hold in
+    all threads.  When a node fails, what already runs ends and then the error is raised.
+    """
     if threads <= 1:
         for node in pipeline.ordered():
             run_node(node, catalog, parameters)
@@ -110,7 +133,8 @@ def run(pipeline: Pipeline, catalog: Catalog, parameters: Mapping[str, Any], thr
         while left or running:
             for node in [n for n in left if needs[n.name] <= done]:
                 left.remove(node)
-                running[pool.submit(run_node, node, catalog, parameters)] = node.name
+                target = inheritable_thread_target(catalog.spark)(_run_in_pool)
+                running[pool.submit(target, node, catalog, parameters)] = node.name
             finished, _ = wait(running, return_when=FIRST_COMPLETED)
             for f in finished:
                 name = running.pop(f)
