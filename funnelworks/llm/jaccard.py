@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import dropped, parts_for, reading, sent, staged
+from .store import dropped, parts_for, reading, released, sent, staged
 from .words import WordTable, hash_words, lean_after, mix, text_chunks, window_hashes
 
 SHINGLE = 5
@@ -292,15 +292,20 @@ def tile_links(a: list[tuple[int, int, int, bytes]], b: list[tuple[int, int, int
 def _tile(rule: Rule):
     def run(table: pa.Table) -> pa.Table:
         raw = table.select(["set_id", "n", "component", "grams", "side", "alone"]).to_pydict()
-        rows = list(zip(raw["set_id"], raw["n"], raw["component"], raw["grams"], strict=True))
-        sides = [[r for r, s in zip(rows, raw["side"], strict=True) if s == k] for k in (0, 1)]
+        sides = []
+        for k in (0, 1):
+            held: dict[tuple[int, int, int], list[bytes]] = {}  # a set comes in its segments
+            for set_id, n, component, grams, side in zip(*(raw[x] for x in ("set_id", "n", "component", "grams", "side")), strict=True):
+                if side == k:
+                    held.setdefault((set_id, n, component), []).append(grams)
+            sides.append([(*key, b"".join(grams)) for key, grams in held.items()])
         found = tile_links(sides[0], None, rule.percent) if raw["alone"][0] else tile_links(*sides, rule.percent) if all(sides) else []
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _between_tiles(entries: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _between_tiles(entries: DataFrame, segments: DataFrame, rule: Rule) -> DataFrame:
     """Links between sets of different components that share an n-gram, by tiles.
 
     ``entries``: gram, set_id, n, component.  N-grams of one family are shared by
@@ -325,7 +330,7 @@ def _between_tiles(entries: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame
            concat(transform(sequence(0, rest_tiles - 1), i -> struct(0 AS kind, least(i, tile) AS x, greatest(i, tile) AS y, IF(tile <= i, 0, 1) AS side)),
                   transform(sequence(0, main_tiles - 1), i -> struct(1 AS kind, tile AS x, i AS y, 0 AS side))))""")
     dealt = tiled.select("cluster", "set_id", "n", "component", F.explode(cells).alias("cell")).select("cluster", "set_id", "n", "component", "cell.*").withColumn("alone", (F.col("kind") == 0) & (F.col("x") == F.col("y")))
-    links = dealt.join(sets.select("set_id", "grams"), "set_id").groupBy("cluster", "kind", "x", "y").applyInArrow(_tile(rule), "a long, b long")
+    links = dealt.join(segments.select("set_id", "grams"), "set_id").groupBy("cluster", "kind", "x", "y").applyInArrow(_tile(rule), "a long, b long")
     return reading(links, hub, of, placed)
 
 
@@ -349,12 +354,19 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     schema = to_arrow_schema(_parse_datatype_string(_ROWS))
     out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text").mapInArrow(_shuffled_out(fragments, rule, schema), _ROWS)
     found = staged(out.repartition(fragments, "fragment").sortWithinPartitions("fragment").mapInArrow(_shared_only(schema), _ROWS), "fragments")
+    released(documents.sparkSession)
+    # Each of the following is made of the one before, which then goes with its shuffle: the n-grams are there once, not four times.
+    rows = staged(found.where("kind = 0").select("doc_id", "content", F.col("n").alias("n_shingles"), F.expr("block * 4294967296 + local").alias("set_id")), "rows")
     sets = staged(found.groupBy("block").applyInArrow(_survivors(rule), "set_id long, n long, name_a long, name_b long, grams binary"), "sets")
+    dropped(found)
     # Sets that are equal in different blocks are one from here on.
-    named = sets.groupBy("n", "name_a", "name_b").agg(F.min("set_id").alias("set_id"))
+    names = staged(sets.select("set_id", "n", "name_a", "name_b"), "names")
+    named = names.groupBy("n", "name_a", "name_b").agg(F.min("set_id").alias("set_id"))
     kept = staged(sets.join(named.select("set_id"), "set_id", "left_semi").select("set_id", "n", "grams"), "distinct")
-    sizes, prefix = kept.select("set_id", "n"), staged(kept.mapInArrow(_prefixes(rule), "gram long, set_id long, n long"), "prefixes")
+    dropped(sets)
+    sizes, prefix = names.select("set_id", "n"), staged(kept.mapInArrow(_prefixes(rule), "gram long, set_id long, n long"), "prefixes")
     segments = staged(kept.select("set_id", "grams").mapInArrow(_segments, "set_id long, segment int, grams binary"), "segments")
+    dropped(kept, collect=False)
 
     # Small tables are sent to where the n-grams lie: no shuffle gathers the many sets of one n-gram.
     least = staged(prefix.groupBy("gram").agg(F.min("set_id").alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1"), "least")
@@ -362,6 +374,7 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     near = member.join(sizes.select(F.col("set_id").alias("a"), F.col("n").alias("n_a")), "a").where(100 * F.least("n", "n_a") >= rule.percent * F.greatest("n", "n_a"))
     star = staged(near.select("a", "b"), "star")
     links = staged(_compared(star, segments, sizes, rule), "links")
+    released(documents.sparkSession)  # the n-grams of all pairs have moved
     of = staged(components(links), "components")
 
     # Sets that share a prefix n-gram and are not joined yet: all of them are compared, whatever their number.
@@ -372,21 +385,23 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     few, many = open_.where(F.col("many") <= FEW), open_.where(F.col("many") > FEW)
     x, y = few.select("gram", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a")), few.select("gram", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
     rest = x.join(y, "gram").where("a < b and of_a <> of_b").where(100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b")).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    tiled = _between_tiles(many.drop("many"), kept, rule)
+    tiled = _between_tiles(many.drop("many"), segments, rule)
     more = staged(_compared(rest, segments, sizes, rule).union(tiled), "links")
-    dropped(of, prefix, segments, least, star, shares, open_, *tiled._reads)
-    of = staged(components(links.union(more)), "components")
-    dropped(links, more, kept)
-
-    member_of = sets.select("set_id", "n", "name_a", "name_b").join(named.withColumnRenamed("set_id", "node"), ["n", "name_a", "name_b"]).select("set_id", "node")
+    dropped(prefix, segments, least, star, shares, open_, links, *tiled._reads)
+    if not more.isEmpty():
+        # The components so far are stars: only what the new links join is worked on.
+        before, of = of, staged(components(more.union(of.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
+        dropped(before, collect=False)
+    dropped(more)
+
+    member_of = names.join(named.withColumnRenamed("set_id", "node"), ["n", "name_a", "name_b"]).select("set_id", "node")
     member_of = member_of.join(of, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
-    rows = found.where("kind = 0").select("doc_id", "content", F.col("n").alias("n_shingles"), F.expr("block * 4294967296 + local").alias("set_id"))
-    rows = rows.join(member_of, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    members = rows.join(member_of, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     # Nulls last: a document without an id names a component only if all of it has none.
-    first = rows.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")).alias("first"))
-    linked = rows.where("n_shingles > 0").join(first, "component")
+    first = members.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")).alias("first"))
+    linked = members.where("n_shingles > 0").join(first, "component")
     stays = linked["doc_id"].eqNullSafe(F.col("first.doc_id")) & (linked["content"] == F.col("first.content"))
     linked = linked.select("doc_id", "content", "n_shingles", F.col("first.doc_id").alias("component_id"), stays.alias("stays"))
     # A document without words is joined with nothing, though others of its block have the same (empty) set.
     own = rows.where("n_shingles = 0").select("doc_id", "content", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
-    return reading(linked.union(own), found, sets, of)
+    return reading(linked.union(own), rows, names, of)

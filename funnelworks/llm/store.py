@@ -9,12 +9,14 @@ until ``clear``.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -33,11 +35,33 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Share of the driver's heap that may be in use before its garbage is collected: a grown heap is not given back by itself.
+HEAP_SHARE = 0.25
+
+
+def released(spark: SparkSession) -> None:
+    """Collect the driver's garbage: the files of shuffles that no data frame names any more go, and the heap shrinks.
+
+    A query that has ended is named by its last event until all listeners have had it; so they are waited for, some seconds at most.
+    """
+    with contextlib.suppress(Py4JJavaError):
+        spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty(10_000)
+    gc.collect()  # data frames that are gone still name their shuffles to the driver's JVM
+    spark._jvm.System.gc()
+
+
+def _heap_in_use(spark: SparkSession) -> float:
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    return (heap.totalMemory() - heap.freeMemory()) / heap.maxMemory()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/funnelworks/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _heap_in_use(spark) > HEAP_SHARE:
+        released(spark)
     # The schema is known: no job that reads footers to infer it, and an empty table keeps its columns.
     back = spark.read.schema(df.schema).parquet(path)
     back._staged_at = path
@@ -57,8 +81,7 @@ def dropped(*tables: DataFrame, collect: bool = True) -> None:
     for table in tables:
         _delete(table.sparkSession, table._staged_at)
     for table in tables[: int(collect)]:
-        gc.collect()  # data frames that are gone still name their shuffles to the driver's JVM
-        table.sparkSession._jvm.System.gc()
+        released(table.sparkSession)
 
 
 def reading(result: DataFrame, *tables: DataFrame) -> DataFrame:
