@@ -9,7 +9,7 @@ changes language only where the words ask for it clearly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -166,31 +166,70 @@ class _Scores(WordTable):
         return letters, score.astype(np.float32)
 
 
-def viterbi(score: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The best language for each word of one text; of equal paths, the one with lower languages."""
-    n, many = score.shape
+#: Scores that are gathered at once: bounds the memory of a text, however long it is and however many languages there are.
+CHUNK_SCORES = 1 << 19
+#: Up to so many languages plain lists are faster than arrays of a few numbers; the path is the same.
+FEW_LANGUAGES = 16
+
+
+def _steps_by_lists(rows: Iterator[np.ndarray], switch: float) -> tuple[int, Callable[[int, int], int]]:
+    """The last language of the best path, and from where a word's language came: a byte for each word and language."""
+    state, came = next(rows).tolist(), []
+    for row in rows:
+        high = max(state)
+        top, other = state.index(high), high - switch
+        came.append(bytes([k if x >= other else top for k, x in enumerate(state)]))
+        state = [(x if x >= other else other) + y for x, y in zip(state, row.tolist(), strict=True)]
+    return state.index(max(state)), lambda word, k: came[word - 1][k]
+
+
+def _steps_by_arrays(rows: Iterator[np.ndarray], switch: float, n: int) -> tuple[int, Callable[[int, int], int]]:
+    """The same with a bit for each word and language: whether it stays, or comes from the word's best."""
+    state = next(rows).copy()
+    stays, tops = np.zeros((n, -(-len(state) // 8)), np.uint8), np.zeros(n, np.int32)
+    for word, row in enumerate(rows, 1):
+        top = int(state.argmax())
+        other = state[top] - switch
+        tops[word], stays[word] = top, np.packbits(state >= other)
+        np.maximum(state, other, out=state)
+        state += row
+    return int(state.argmax()), lambda word, k: k if stays[word, k >> 3] >> (7 - (k & 7)) & 1 else int(tops[word])
+
+
+def viterbi(score: np.ndarray, switch: float = SWITCH, ids: np.ndarray | None = None) -> np.ndarray:
+    """The best language for each word of one text; of equal paths, the one with lower languages.
+
+    ``ids`` are the words as rows of ``score`` (all rows in turn, if none are given).  Scores are gathered some
+    words at a time, so beside them the memory is a bit for each word and language, or a byte where these are few.
+    """
+    ids = np.arange(len(score)) if ids is None else ids
+    n, many = len(ids), score.shape[1]
     if not n:
         return np.empty(0, np.int32)
-    best = int(score.sum(0, dtype=np.float64).argmax())
+    step = max(1, CHUNK_SCORES // many)
+
+    def pieces() -> Iterator[np.ndarray]:
+        for i in range(0, n, step):
+            yield score[ids[i : i + step]].astype(np.float64)
+
+    best = int(sum(p.sum(0) for p in pieces()).argmax())
     # If no stretch of words gains a switch against the best single language, that language is the best path.
-    ahead = np.ascontiguousarray((score - score[:, best : best + 1]).T, np.float64)
-    if np.maximum(ahead, 0).sum(1).max() <= switch:
-        return np.full(n, best, np.int32)
-    gain = np.concatenate([np.zeros((many, 1)), np.cumsum(ahead, 1)], 1)
-    if (gain - np.minimum.accumulate(gain, 1)).max() <= switch:
+    gain, least, most = np.zeros(many), np.zeros(many), 0.0
+    for p in pieces():
+        run = np.concatenate([gain[None], gain + np.cumsum(p - p[:, best : best + 1], 0)])
+        run_least = np.minimum(least, np.minimum.accumulate(run, 0))
+        gain, least, most = run[-1], run_least[-1], max(most, float((run - run_least).max()))
+        if most > switch:
+            break
+    if most <= switch:
         return np.full(n, best, np.int32)
-    # Few languages: plain lists are faster here than arrays of a few numbers.
-    rows = score.tolist()
-    state, came = rows[0], []
-    for row in rows[1:]:
-        high = max(state)
-        top, other = state.index(high), high - switch
-        came.append([k if x >= other else top for k, x in enumerate(state)])
-        state = [(x if x >= other else other) + y for x, y in zip(state, row, strict=True)]
-    path = [state.index(max(state))]
-    for step in reversed(came):
-        path.append(step[path[-1]])
-    return np.array(path[::-1], np.int32)
+    rows = (row for p in pieces() for row in p)
+    k, came = _steps_by_lists(rows, switch) if many <= FEW_LANGUAGES else _steps_by_arrays(rows, switch, n)
+    path = np.empty(n, np.int32)
+    path[n - 1] = k
+    for word in range(n - 1, 0, -1):
+        path[word - 1] = k = came(word, k)
+    return path
 
 
 def _label(model: LanguageModel, schema: pa.Schema):
@@ -207,7 +246,7 @@ def _label(model: LanguageModel, schema: pa.Schema):
                     langs.append("und")
                     shares.append(0.0)
                     continue
-                path = viterbi(score[ids])
+                path = viterbi(score, ids=ids)
                 starts = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1])
                 ends = np.append(starts[1:], len(path))
                 spans.append([{"start": int(a), "end": int(b), "lang": model.languages[path[a]]} for a, b in zip(starts, ends, strict=True)])

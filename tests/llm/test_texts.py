@@ -3,10 +3,12 @@
 import itertools
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from funnelworks.llm import kneser_ney, langid, toxicity
 
@@ -170,12 +172,40 @@ def test_perplexity_thresholds(spark):
     assert kneser_ney.perplexities(docs.limit(0), trusted).count() == 0
 
 
-def test_viterbi_against_all_paths():
+@pytest.mark.parametrize(("few", "chunk"), [(16, 1 << 19), (0, 1 << 19), (16, 6), (0, 3)])
+def test_viterbi_against_all_paths(monkeypatch, few, chunk):
+    """By lists and by arrays, all words at once and one or two at a time."""
+    monkeypatch.setattr(langid, "FEW_LANGUAGES", few)
+    monkeypatch.setattr(langid, "CHUNK_SCORES", chunk)
     rng = np.random.default_rng(3)
     for _ in range(30):
         score = -np.abs(rng.standard_normal((6, 3))) * 3
         best = max(itertools.product(range(3), repeat=6), key=lambda p: sum(score[t, k] for t, k in enumerate(p)) - 2.0 * sum(a != b for a, b in itertools.pairwise(p)))
         assert tuple(langid.viterbi(score.astype(np.float32), 2.0).tolist()) == best
+        ids = rng.integers(0, 6, 40)
+        assert langid.viterbi(score, 2.0, ids).tolist() == langid.viterbi(score[ids], 2.0).tolist()
+
+
+def test_viterbi_of_a_very_long_text_in_many_languages():
+    """A million words and 200 languages in under 300 MB, three quarters of which would be the words' scores alone."""
+    rng = np.random.default_rng(4)
+    score = -np.abs(rng.standard_normal((3000, 200))).astype(np.float32) * 3
+    ids = rng.integers(0, 3000, 1_000_000)
+    tracemalloc.start()
+    path = langid.viterbi(score, 4.0, ids)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 300e6 and len(path) == len(ids) and len(np.unique(path)) > 1
+
+
+def test_languages_of_long_repeated_and_equal_texts(spark):
+    """Equal languages tie by name; a text of a million words is labelled whole; repeated rows each."""
+    rows = [("aba bab", "b"), ("aba bab", "a"), ("xyx yxy", "c")] * 20
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    docs = spark.createDataFrame([(1, "aba bab aba"), (1, "aba bab aba"), (2, "xyx yxy " * 250_000 + "aba bab " * 250_000), (2, None)], "doc_id long, text string").withColumn("lang_pred", F.lit("clash"))
+    got = langid.label_languages(docs, model).collect()
+    assert [(r["doc_id"], r["lang_pred"]) for r in got[:2]] == [(1, "a")] * 2 and got[3]["lang_pred"] == "und"
+    assert [(s["start"], s["end"], s["lang"]) for s in got[2]["spans"]] == [(0, 500_000, "c"), (500_000, 1_000_000, "a")]
 
 
 def test_languages_and_spans(spark):
