@@ -627,3 +627,38 @@ def test_classes_lose_no_chain_that_goes_by_an_open_seed():
             assert any(list(_ends_meet([a], [b], s, rule)) for a, b in pairs for s in a["seed"][beginnings(a, rule)].tolist())
             assert (low < high).any() or any(runs_may_chain(a, b, rule) for a, b in pairs)
     assert chained > 100
+
+
+def test_classes_meet_once_whatever_seeds_they_share():
+    """Over all seeds, each pair of classes that may chain is told exactly once."""
+    import pyarrow as pa
+
+    from funnelworks.llm.chaining import _ends_meet, _runs_chained, beginnings, runs_may_chain, runs_of_stretch, runs_of_text
+
+    rng, rule = random.Random(11), Chaining()
+    stretches, texts = [], []
+    for _ in range(60):
+        n = rng.randint(6, 12)
+        at = np.cumsum([rng.choice([1, 3, 5, 9]) for _ in range(n)])
+        key = np.array(sorted(rng.sample(range(14), n)))
+        stretches += list(runs_of_stretch(at, key, np.array([rng.random() < 0.4 for _ in range(n)]), rule))
+        high = at + (rng.random() < 0.3) * rng.choice([0, 60])
+        texts += list(runs_of_text(key, at, high, bool((high > at).any()), rule))
+    want, met = set(), 0
+    for i, a in enumerate(stretches):
+        for j, b in enumerate(texts):
+            seeds = [s for s in beginnings(a, rule).nonzero()[0].tolist() if next(_ends_meet([a], [b], int(a["seed"][s]), rule), None) is not None]
+            met += len(seeds) * runs_may_chain(a, b, rule)
+            if seeds and runs_may_chain(a, b, rule):
+                want.add((i, j))
+
+    def of(runs, name, seed, some):
+        mine = [i for i, r in enumerate(runs) if some(r, seed)]
+        return pa.table([pa.array([seed] * len(mine), pa.int64()), pa.array(mine, pa.int64()), pa.array([runs[i].tobytes() for i in mine], pa.binary())], names=["seed", name, "run"])
+
+    got = []
+    for seed in range(14):
+        a = of(stretches, "a", seed, lambda r, s: s in r["seed"][beginnings(r, rule)].tolist())
+        b = of(texts, "b", seed, lambda r, s: s in r["seed"].tolist())
+        got += [(r["a"], r["b"]) for r in _runs_chained(rule)(a, b).to_pylist()]
+    assert sorted(got) == sorted(want) and len(want) > 100 and met > 2 * len(want)
