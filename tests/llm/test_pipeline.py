@@ -23,6 +23,9 @@ COLUMNS = {
     "op8": {"doc_id", "log_perplexity", "kept"},
     "op9": {"doc_id", "held_out", "lang_pred", "score"},
     "op10": {"doc_id", "other_doc_id", "start", "end"},
+    "op11": {"page_id", "host", "path", "rule", "verdict"},
+    "op12": {"item_id", "rank", "doc_id", "score"},
+    "op13": {"vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"},
 }
 
 
