@@ -662,3 +662,55 @@ def test_classes_meet_once_whatever_seeds_they_share():
         b = of(texts, "b", seed, lambda r, s: s in r["seed"].tolist())
         got += [(r["a"], r["b"]) for r in _runs_chained(rule)(a, b).to_pylist()]
     assert sorted(got) == sorted(want) and len(want) > 100 and met > 2 * len(want)
+
+
+@pytest.mark.parametrize("size", [12, 30, 45])
+def test_texts_of_one_line_grow_no_table_with_their_square(spark, monkeypatch, size):
+    """Random words and a line that all texts share, shorter than a passage; a pair has an edited passage around the line, and it alone is found."""
+    from funnelworks.llm import chaining
+
+    staged, rows = chaining.staged, {}
+
+    def counted(table, name):
+        out = staged(table, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(chaining, "staged", counted)
+    most = []
+    for n in (200, 400):
+        rng = random.Random(size)
+        some = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+        line, beside = some(size), some(60)
+        texts = [some(20) + line + some(20) for _ in range(n)]
+        # Beyond the line, the words of the pair are unequal, then equal again.
+        texts[50] = some(20) + line + some(1) + beside[:4] + some(1) + beside[4:13] + some(60)
+        texts[150] = some(9) + line + some(1) + beside[:4] + some(1) + beside[4:13] + some(9)
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+        rows.clear()
+        got = {(r["doc_id"], r["other_doc_id"]) for r in repeated_passages(docs).collect()}
+        assert got == ({(150, 50)} if size + 15 >= 50 else set())
+        most.append(dict(rows))
+    assert all(most[1][x] <= 2.5 * most[0].get(x, 0) + 50 for x in most[1])
+
+
+def test_a_passage_that_leaves_a_chain_has_a_context_in_common():
+    """Against the extension itself: whatever it reaches, some key of both texts reaches as far."""
+    from funnelworks.llm.chaining import _extension, context_keys
+
+    rng, rule, far = np.random.default_rng(3), Chaining(), 0
+    for i in range(3000):
+        n = int(rng.integers(1, 200))
+        a = rng.integers(0, 1 << 60, n).astype(np.uint64)
+        pattern = np.resize([False, True, True], n) if i % 5 == 0 else rng.random(n) < rng.choice([0.5, 0.7, 0.9])
+        pattern[: int(rng.integers(0, 6))] = True
+        b = np.where(pattern | (np.arange(n) > 120), a, a + np.uint64(1))
+        reach, _ = _extension(a, b, rule.drop)
+        for right in (True, False):
+            x, y = (v if right else v[::-1] for v in (a, b))
+            (k, r), (m, _) = (context_keys(v, 0 if right else n, right, 9, rule) for v in (x, y))
+            shared = r[np.isin(k, m)]
+            most = int(shared.max()) if len(shared) else 0
+            assert most >= min(reach, rule.words - rule.seed)
+        far += reach > 50
+    assert far > 100
