@@ -714,3 +714,23 @@ def test_a_passage_that_leaves_a_chain_has_a_context_in_common():
             assert most >= min(reach, rule.words - rule.seed)
         far += reach > 50
     assert far > 100
+
+
+def test_a_lesser_seed_is_where_ends_meet():
+    from funnelworks.llm.chaining import _ends_meet, _meet_before, beginnings, runs_of_stretch, runs_of_text
+
+    rng, rule, met = random.Random(17), Chaining(), 0
+    for _ in range(400):
+        n, kinds = rng.randint(4, 14), rng.randint(8, 20)
+        at = np.cumsum([rng.choice([1, 3, 5, 9, 20]) for _ in range(n)])
+        key, out = np.array([rng.randrange(kinds) for _ in range(n)]), np.array([rng.random() < 0.3 for _ in range(n)])
+        seed = np.array(sorted(rng.sample(range(kinds), rng.randint(2, 8))))
+        low = np.array([rng.choice([rng.randint(0, 90), *(at[key == k] + 7)]) for k in seed])
+        high = low + (rng.random() < 0.4) * np.array([rng.choice([0, 60]) for _ in seed])
+        for a in runs_of_stretch(at, key, out, rule):
+            for b in runs_of_text(seed, low, high, bool((high > low).any()), rule):
+                for s in range(kinds + 1):
+                    want = any(list(_ends_meet([a], [b], t, rule)) for t in np.unique(a["seed"][beginnings(a, rule)]).tolist() if t < s)
+                    met += want
+                    assert _meet_before(a, b, s, rule) == want
+    assert met > 200
