@@ -734,3 +734,21 @@ def test_a_lesser_seed_is_where_ends_meet():
                     met += want
                     assert _meet_before(a, b, s, rule) == want
     assert met > 200
+
+
+def test_chains_of_one_anchor_are_aligned_together_as_each_alone():
+    from funnelworks.llm.chaining import _pair_chains, aligned_chains
+
+    rng, rule, many = np.random.default_rng(41), Chaining(), 0
+    for _ in range(300):
+        a = rng.integers(0, int(rng.choice([2, 4, 50, 10_000])), int(rng.integers(20, 400))).astype(np.uint64)
+        b = np.tile(a, int(rng.integers(1, 3)))
+        changed = rng.random(len(b)) < rng.choice([0, 0.02, 0.2])
+        b[changed] = rng.integers(0, 10_000, changed.sum())
+        chains = list(_pair_chains(a, b, 0, len(a), False, rule))
+        for n in rng.integers(6, 20, 3).tolist():  # anchors that don't hold, at any place
+            chains.append(np.array([[rng.integers(0, len(a) - n + 1), rng.integers(0, len(b) - n + 1), n]], np.int32))
+        assert sorted(aligned_chains(a, b, chains, rule)) == sorted(p for c in chains for p in aligned_parts(a, b, c, rule))
+        many += len(chains)
+    assert many > 1500
+    assert aligned_chains(a, b, [], rule) == []
