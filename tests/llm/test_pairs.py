@@ -694,6 +694,53 @@ def test_texts_of_one_line_grow_no_table_with_their_square(spark, monkeypatch, s
     assert all(most[1][x] <= 2.5 * most[0].get(x, 0) + 50 for x in most[1])
 
 
+def test_contexts_are_no_rows_of_their_own(spark, monkeypatch):
+    """Words beside a chain: a row for each place, and a row for each part that a task has keys for, whatever number of texts has the line."""
+    from funnelworks.llm import chaining
+
+    staged, dealt, rows = chaining.staged, chaining._keys_by_part, {}
+
+    def counted(table, name):
+        rows[name] = (out := staged(table, name)).count()
+        return out
+
+    monkeypatch.setattr(chaining, "staged", counted)
+    monkeypatch.setattr(chaining, "_keys_by_part", lambda parts, kinds: rows.setdefault("parts", parts) and dealt(parts, kinds))
+    rng = random.Random(45)
+    some = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    line = some(45)
+    texts = [some(20) + line + some(20) for _ in range(100)]
+    repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)).count()
+    assert 100 <= rows["contexts"] == rows["chain-places"] and rows["parts"] < 100
+
+
+def test_texts_meet_by_a_key_in_common(monkeypatch):
+    """Keys packed by part and met there, against sets; parts of a few keys, and a few pairs at once."""
+    import pyarrow as pa
+
+    from funnelworks.llm import chaining
+    from funnelworks.llm.chaining import _MET, _keys_by_part, _keys_beside, _met_by_key
+
+    monkeypatch.setattr(chaining, "PART_KEYS", 50)
+    monkeypatch.setattr(chaining, "MEETINGS", 7)
+    rng = np.random.default_rng(8)
+    rows, keys = [], {}
+    for doc in range(60):
+        v, seed, right, least = rng.integers(0, 2, 12).astype(np.uint64), int(rng.integers(2)), bool(rng.integers(2)), int(rng.integers(1, 9))
+        first = int(rng.choice([-1, 0, 5]))
+        rows.append((v.tobytes(), seed, right, doc, first, least))
+        key, reach = _keys_beside(v, right, seed)
+        keys[doc, first] = set(key[reach >= least].tolist())
+    names = ["beside", "seed", "right", "doc", "first", "least"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 20], strict=True)], names=names) for i in (0, 20, 40)]
+    packed = pa.Table.from_batches(list(_keys_by_part(3, _MET)(iter(batches))))
+    got = set()
+    for part in range(3):
+        got |= {tuple(r.values()) for r in _met_by_key(packed.filter(pa.array(packed["part"].to_numpy() == part))).to_pylist()}
+    want = {(d, f, p) for (d, f), k in keys.items() for (p, g), m in keys.items() if f >= 0 > g and p < d and k & m}
+    assert got == want and len(want) > 50
+
+
 def test_a_passage_that_leaves_a_chain_has_a_context_in_common():
     """Against the extension itself: whatever it reaches, some key of both texts reaches as far."""
     from funnelworks.llm.chaining import _extension, context_keys
