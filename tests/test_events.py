@@ -235,6 +235,24 @@ def test_stream_features_equal_the_batch(spark, tmp_path):
     assert rows(got) == rows(want)
 
 
+def test_stream_features_hold_many_keys_in_few_states(spark, tmp_path):
+    """The states are as many as the parts, whatever number of users; large and missing whole numbers stay what they are."""
+    rng, ran, long_ids = random.Random(12), [], ACTS.replace("user_id int", "user_id long")
+    data = [(None if i % 50 == 7 else 2**60 + i, at(rng.randrange(10_000)), rng.choice([2**60 + 2 * rng.randrange(150) + 1, None]), "a", rng.choice([0, 1, None]), rng.choice([2.5, None])) for i in range(600)]
+
+    def start(stream):
+        out = stream_features(stream, "ts", "1 day", ["id", TAP, PAID], parts=4)
+        ran.append(out.writeStream.format("parquet").outputMode("append").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start())
+        return ran[-1]
+
+    fed(spark, tmp_path, [data, [(-1, datetime(2030, 1, 1), None, None, 0, 0.0)]], long_ids, start)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in ran[0].recentProgress) == 4
+    # What was passed by the watermark of the second run is there, as the batch has it.
+    got = spark.read.parquet(f"{tmp_path}/out").where("id is null or id >= 0").select(*FEATURES)
+    want = add_features(spark.createDataFrame(data, long_ids), FeatureParams("ts", 0, ("id", TAP, PAID))).select(*FEATURES)
+    assert rows(got) == rows(want)
+
+
 def test_incremental_features_equal_a_full_run(spark, tmp_path):
     data = sorted(acts(random.Random(9), 500), key=lambda r: r[1])
     p, state, got = FeatureParams("ts", 0, ("id",)), None, []
