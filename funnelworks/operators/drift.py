@@ -68,7 +68,9 @@ def parse_fields(df: DataFrame, column: str, fields: Mapping[str, str]) -> DataF
         raise ValueError(f"fields have the names of columns: {clash}")
     held = F.try_parse_json(column)
     is_object = F.coalesce(F.schema_of_variant(held).startswith("OBJECT<"), F.lit(False))
-    parsed = df.withColumn("_map", F.when(is_object, F.from_json(column, "map<string,string>")))
+    # Generated, so that a text is parsed once: a filter on the result would be pushed below a projection, and parse again.
+    made = F.struct(F.when(is_object, F.from_json(column, "map<string,string>")).alias("_map"), F.when(F.col(column).isNotNull() & ~is_object, F.col(column)).alias(BAD))
+    parsed = df.select(*[F.col(f"`{c}`") for c in others], F.inline(F.array(made)))
     value = {name: F.col("_map")[name] for name in fields}
     unfit = [F.when(value[n].isNotNull() & _typed(value[n], k).isNull(), F.lit(n)) for n, k in fields.items()]
     known = F.array_except(F.array(*[F.lit(n) for n in fields]).cast("array<string>"), F.array(*unfit).cast("array<string>"))
@@ -77,5 +79,5 @@ def parse_fields(df: DataFrame, column: str, fields: Mapping[str, str]) -> DataF
         *[F.col(f"`{c}`") for c in others],
         *[_typed(value[n], k).cast("string" if k == "void" else k).alias(n) for n, k in fields.items()],
         F.when(F.size(rest) > 0, rest).alias(REST),
-        F.when(F.col(column).isNotNull() & ~is_object, F.col(column)).alias(BAD),
+        BAD,
     )

@@ -460,6 +460,13 @@ def test_fields_that_drift_lose_nothing(spark):
         parse_fields(frame(first), "props", {"i": "int"})
 
 
+def test_a_filter_on_fields_parses_no_text_again(spark, tmp_path):
+    spark.createDataFrame([(1, '{"k": 1}'), (2, "odd"), (3, '{"x": 1}'), (4, None)], "i int, props string").write.parquet(f"{tmp_path}/texts")
+    out = parse_fields(spark.read.parquet(f"{tmp_path}/texts"), "props", {"k": "bigint"}).where("_rest is null")
+    assert plan_of(out).count("from_json(") == 1
+    assert rows(out.select("i", "k", "_bad")) == [(1, 1, None), (2, None, "odd"), (4, None, None)]
+
+
 @pytest.mark.parametrize(("a", "b", "both"), [(a, b, {a, b}) for a, b in combinations(("bigint", "double", "boolean", "string", "void"), 2)])
 def test_types_grow(a, b, both):
     want = (both - {"void"}).pop() if "void" in both else "double" if both == {"bigint", "double"} else "string"
