@@ -131,3 +131,15 @@ def test_held_out_accuracy(spark):
     langs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     found = entry.queries()["op9_language_id"](spark, "/root/testdata/sf0.01").where("held_out").join(langs, "doc_id").collect()
     assert sum(r["lang_pred"] == r["lang"] for r in found) >= 0.97 * len(found)
+
+
+def test_the_drivers_free_native_memory_goes_back_with_every_table(spark, monkeypatch):
+    from funnelworks.llm import store
+
+    assert store.trimmed(spark)
+    asked, whole = [], store.trimmed
+    monkeypatch.setattr(store, "trimmed", lambda s: asked.append(whole(s)))
+    for share in (1.0, 0.0):  # whether or not the heap is collected
+        monkeypatch.setattr(store, "HEAP_SHARE", share)
+        store.dropped(store.staged(spark.range(3), "few"), collect=False)
+    assert asked == [True, True]
