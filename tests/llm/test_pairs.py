@@ -799,3 +799,50 @@ def test_chains_of_one_anchor_are_aligned_together_as_each_alone():
         many += len(chains)
     assert many > 1500
     assert aligned_chains(a, b, [], rule) == []
+
+
+def test_texts_with_a_passage_have_support_in_common():
+    from funnelworks.llm.chaining import _least_equal, _pair_chains, aligned_chains, support
+
+    rule, rng, passages, apart = Chaining(), random.Random(17), 0, 0
+    run = lambda: [rng.randrange(5)] * rng.choice((1, 2, 7, 14, 26, 33, 41, 47, 55))
+    hashes = np.random.default_rng(5).integers(0, 1 << 63, 400, np.uint64)
+    for _ in range(1500):
+        a, b = (sum((run() for _ in range(rng.randrange(2, 7))), []) for _ in range(2))
+        if rng.random() < 0.4:  # the same with some words changed
+            at = rng.randrange(len(a))
+            b = [rng.randrange(5, 400) if rng.random() < 0.12 else w for w in a[at:] + a[:at]]
+        x, y = hashes[a], hashes[b]
+        chains = list(_pair_chains(x, y, 0, len(x), False, rule))
+        found = [p for p in aligned_chains(x, y, chains, rule) if p[1] - p[0] >= rule.words and p[4] >= rule.identity]
+        common = np.intersect1d(support(x, rule.words, rule), support(y, _least_equal(rule), rule))
+        passages, apart = passages + bool(found), apart + (not len(common))
+        assert len(common) or not found
+    assert passages > 200 and apart > 200
+    assert not len(support(hashes[:0], rule.words, rule)) and support(np.tile(hashes[:2], 300), rule.words, rule) is None
+
+
+def test_texts_of_words_over_and_over_meet_by_what_a_passage_has(spark, monkeypatch):
+    from funnelworks.llm import chaining
+
+    rng, sizes, whole = random.Random(23), {}, chaining.staged
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [[w for x in rng.sample(vocabulary, 7) for w in [x] * 40] for _ in range(60)]
+    for t in texts:
+        at = rng.randrange(8) * 40
+        t[at:at] = ["all"] * 40  # all have this one
+    texts[50] = texts[10][:120] + texts[50][120:]
+    texts[51] = [w for x in texts[11] for w in [x]][: len(texts[11])]
+    texts[51][60:63] = ["other", "words", "here"]
+
+    def counted(df, name):
+        out = whole(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(chaining, "staged", counted)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], r["other_doc_id"]) for r in repeated_passages(docs).collect()}
+    assert {(50, 10), (51, 11)} <= got
+    # By the one word alone every two of them met.
+    assert sizes["class-pairs"] < 300
