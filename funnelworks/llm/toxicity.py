@@ -43,21 +43,22 @@ class TrainingBounds:
 
 def inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each word, lower-cased and without outer punctuation: its word bucket, its character n-grams' buckets, and the word of each n-gram."""
-    clean = [w.decode().lower().strip("#*$%&!|<>.,;:?\"'()[]{}-_") for w in words]
-    word = (hash_words([c.encode() for c in clean]) % np.uint64(WORD_BUCKETS - 1)).astype(np.int32) + 1
+    # No word has a line's end: all are decoded and lower-cased at once.
+    clean = [w.strip("#*$%&!|<>.,;:?\"'()[]{}-_") for w in b"\n".join(words).decode().lower().split("\n")] if words else []
+    word = (hash_words(clean) % np.uint64(WORD_BUCKETS - 1)).astype(np.int32) + 1
     word[[not c for c in clean]] = PAD
-    codes = np.frombuffer("".join(f"\x02{c}\x03" for c in clean).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    place = np.repeat(np.arange(len(words)), [len(c) + 2 for c in clean]) if words else np.empty(0, np.int64)
-    grams, of, h = [np.empty(0, np.int32)], [np.empty(0, np.int64)], np.zeros(len(codes), np.uint64)
+    codes = np.frombuffer("".join(["\x02", "\x03\x02".join(clean), "\x03"]).encode("utf-32-le") if words else b"", np.uint32).astype(np.uint64)
+    place = np.repeat(np.arange(len(words), dtype=np.int32), [len(c) + 2 for c in clean]) if words else np.empty(0, np.int32)
+    grams, of, h = [np.empty(0, np.int32)], [np.empty(0, np.int32)], np.zeros(len(codes), np.uint64)
     for n in range(1, max(CHAR_ORDERS) + 1):
         m = len(codes) - n + 1
         if m <= 0:
             break
         h = mix(h[:m] * np.uint64(31) + codes[n - 1 :] + np.uint64(n))
         if n in CHAR_ORDERS:
-            inside = place[:m] == place[n - 1 :]
-            grams.append((h[inside] % np.uint64(CHAR_BUCKETS)).astype(np.int32))
-            of.append(place[:m][inside])
+            inside = np.flatnonzero(place[:m] == place[n - 1 :])
+            grams.append((h[inside] & np.uint64(CHAR_BUCKETS - 1)).astype(np.int32))
+            of.append(place[inside])
     return word, np.concatenate(grams), np.concatenate(of)
 
 
@@ -79,7 +80,8 @@ class Network:
     def vectors(self, word: np.ndarray, grams: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Input vectors of distinct words."""
         n = len(word)
-        chars = np.stack([np.bincount(of, self.p["char"][grams, k], n) for k in range(CHAR_DIM)], 1) if n else np.zeros((0, CHAR_DIM))
+        of, grams = of.astype(np.int64, copy=False), grams.astype(np.int64, copy=False)
+        chars = np.stack([np.bincount(of, column.take(grams), n) for column in np.ascontiguousarray(self.p["char"].T, np.float64)], 1) if n else np.zeros((0, CHAR_DIM))
         chars /= np.maximum(1, np.bincount(of, minlength=n))[:, None] if n else 1
         return np.concatenate([self.p["word"][word], chars.astype(np.float32)], 1)
 
@@ -87,15 +89,15 @@ class Network:
         """What each word gives to the gates of both directions: float32[words, 2, 3H]."""
         return np.stack([vectors @ self.p[f"{s}_x"] + self.p[f"{s}_bias"] for s in "fb"], 1)
 
-    def _read(self, x: np.ndarray, side: str, keep: bool):
-        """One direction over the gates' inputs x[B, T, 3H]; the states, and what the way back needs."""
+    def _read(self, x: np.ndarray, side: str, real: np.ndarray, keep: bool):
+        """One direction over the gates' inputs x[B, T, 3H]; the states, and what the way back needs.  Padding leaves a state as it is."""
         b, t, _ = x.shape
         h, u = np.zeros((b, HIDDEN), np.float32), self.p[f"{side}_h"]
         states, kept = np.empty((b, t, HIDDEN), np.float32), []
         for i in range(t) if side == "f" else range(t - 1, -1, -1):
             from_h, from_x = h @ u, x[:, i]
             gates = _sigmoid(from_x[:, : 2 * HIDDEN] + from_h[:, : 2 * HIDDEN])
-            z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
+            z, r = np.where(real[:, i : i + 1], gates[:, :HIDDEN], 1).astype(gates.dtype, copy=False), gates[:, HIDDEN:]
             c = np.tanh(from_x[:, 2 * HIDDEN :] + r * from_h[:, 2 * HIDDEN :])
             new = c + z * (h - c)
             if keep:
@@ -105,8 +107,8 @@ class Network:
 
     def forward(self, gates: np.ndarray, real: np.ndarray, keep: bool = False):
         """Logits of windows; ``gates`` is what ``projected`` gives for each position, ``real`` marks words against padding."""
-        left, kept_f = self._read(gates[:, :, 0], "f", keep)
-        right, kept_b = self._read(gates[:, :, 1], "b", keep)
+        left, kept_f = self._read(gates[:, :, 0], "f", real, keep)
+        right, kept_b = self._read(gates[:, :, 1], "b", real, keep)
         states = np.concatenate([left, right], 2)
         a = np.tanh(states @ self.p["att_w"] + self.p["att_b"])
         weight = np.where(real, a @ self.p["att_v"], -1e9)
@@ -116,6 +118,47 @@ class Network:
         logit = pooled @ self.p["out_w"] + self.p["out_b"][0]
         return logit, (states, a, weight, pooled, kept_f, kept_b)
 
+    def logits(self, vectors: np.ndarray, grid: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """What ``forward`` gives, by the words' ``vectors`` and their rows ``grid`` [B, T], without a way back.
+
+        Windows lie side by side and units are rows, so each step works on long rows, both directions at once.
+        """
+        (b, t), p, h = grid.shape, self.p, HIDDEN
+        half = np.repeat(np.array([0.5, 0.5, 1], np.float32), h)  # a sigmoid is half the hyperbolic tangent of the half, and a half
+        of_x, bias = (np.concatenate([(p[f"{s}_{name}"] * half).T for s in "fb"]) for name in ("x", "bias"))
+        of_h = np.stack([(p[f"{s}_h"] * half).T for s in "fb"])
+        x = of_x @ vectors.take(grid.T.ravel(), axis=0).T
+        x += bias[:, None]
+        x = x.reshape(2, 3, h, t, b)
+        if not real.all():
+            x[1, 0] += np.where(real.T, np.float32(0), np.float32(1e4))  # padding: the way from the end begins at the last word
+        states, state = np.empty((t, 2, h, b), np.float32), np.zeros((2, h, b), np.float32)
+        gates, c = np.empty((2, 2, h, b), np.float32), np.empty((2, h, b), np.float32)
+        for i in range(t):
+            j = t - 1 - i
+            from_h = np.matmul(of_h, state).reshape(2, 3, h, b)
+            for side, at in ((0, i), (1, j)):
+                np.add(x[side, :2, :, at], from_h[side, :2], out=gates[side])
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            np.multiply(gates[:, 1], from_h[:, 2], out=c)
+            c[0] += x[0, 2, :, i]
+            c[1] += x[1, 2, :, j]
+            np.tanh(c, out=c)
+            state -= c
+            state *= gates[:, 0]
+            state += c
+            states[i, 0], states[j, 1] = state
+        states = states.reshape(t, 2 * h, b)
+        a = np.matmul(np.concatenate([p["att_w"].T, p["out_w"][None]]), states)
+        out, a = a[:, -1], a[:, :-1] + p["att_b"][:, None]
+        np.tanh(a, out=a)
+        a *= p["att_v"][:, None]
+        weight = np.where(real.T, a.sum(1), np.float32(-1e9))
+        weight = np.exp(weight - weight.max(0))
+        return (weight * out).sum(0) / weight.sum(0) + p["out_b"][0]
+
     def backward(self, d_logit: np.ndarray, gates: np.ndarray, held) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of all parameters but the embeddings and input weights, and of ``gates``."""
         states, a, weight, pooled, kept_f, kept_b = held
@@ -268,7 +311,7 @@ def fit(texts: list[bytes], toxic: list[int], bounds: TrainingBounds = TrainingB
     for epoch in range(bounds.epochs):
         adam.rate = 0.01 * (1 - epoch / bounds.epochs) + 0.001
         if epoch in (bounds.epochs // 3, 2 * bounds.epochs // 3) and epoch:  # the clean windows that look most toxic so far join the draw
-            logits = window_logits(net, net.projected(net.vectors(word, grams, of)), every, start[clean], size[clean])
+            logits = window_logits(net, net.vectors(word, grams, of), every, start[clean], size[clean])
             hard = clean[np.argsort(-logits, kind="stable")[: many_clean // 2]]
             some_clean = np.concatenate([hard, rng.permutation(clean)[: many_clean - len(hard)]])
         chosen = np.concatenate([positive, some_clean])
@@ -295,43 +338,45 @@ def fit(texts: list[bytes], toxic: list[int], bounds: TrainingBounds = TrainingB
             g["word"] = _by_row(word[used], d_vectors[:, :WORD_DIM])
             g["char"] = _by_row(gram, (d_vectors[:, WORD_DIM:] / np.maximum(1, counts)[:, None])[its])
             adam.step(g)
-    worst = worst_logits(net, net.projected(net.vectors(word, grams, of)), every, lengths)
+    worst = worst_logits(net, net.vectors(word, grams, of), every, lengths)
     some = (lengths > 0) & (aside if aside.any() else True)
     model.slope, model.intercept = _fit_line(worst[some], y[some])
     return model
 
 
-def window_logits(net: Network, gates: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+#: Windows that are read at once: bounds the states that are held.
+TOGETHER = 512
+
+
+def window_logits(net: Network, vectors: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     out = [np.empty(0, np.float32)]
-    for a in range(0, len(start), 4096):  # bounds the states held at once
-        grid, real = _grid(ids, start[a : a + 4096], size[a : a + 4096])
-        out.append(net.forward(gates[grid], real)[0])
+    for a in range(0, len(start), TOGETHER):
+        out.append(net.logits(vectors, *_grid(ids, start[a : a + TOGETHER], size[a : a + TOGETHER])))
     return np.concatenate(out)
 
 
-def worst_logits(net: Network, gates: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def worst_logits(net: Network, vectors: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The highest logit over all windows of each text; minus infinity without words."""
     out = np.full(len(lengths), -np.inf)
     text, start, size = windows(lengths)
-    np.maximum.at(out, text, window_logits(net, gates, ids, start, size))
+    np.maximum.at(out, text, window_logits(net, vectors, ids, start, size))
     return out
 
 
-class _Gates(WordTable):
+class _Vectors(WordTable):
     def __init__(self, net: Network):
-        self.net = net
-        super().__init__(lambda words: (net.projected(net.vectors(*inputs(words))),))
+        super().__init__(lambda words: (net.vectors(*inputs(words)),), most=500_000)
 
 
 def _score(model: ToxicityModel, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _Gates(model.network)
+        table = _Vectors(model.network)
         for rows, texts in text_chunks(batches):
             table.begin()
             words = [table.ids(t.split()) if t else np.empty(0, np.int32) for t in texts]
-            (gates,) = table.settle()
+            (vectors,) = table.settle()
             lengths = np.array([len(w) for w in words], np.int64)
-            worst = worst_logits(model.network, gates, np.concatenate(words).astype(np.int64), lengths)
+            worst = worst_logits(model.network, vectors, np.concatenate(words).astype(np.int64), lengths)
             line = model.slope * np.where(np.isfinite(worst), worst, 0) + model.intercept
             score = np.where(np.isfinite(worst), 1 / (1 + np.exp(-np.clip(line, -30, 30))), model.floor)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score), pa.array(_many(lengths))], schema=schema)

@@ -7,6 +7,7 @@ import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,42 @@ def test_windows_cover_and_overlap():
         assert {i - begin for s, m in zip(start[text == k], size[text == k]) for i in range(s, s + m)} == set(range(n))
 
 
+def test_words_before_a_short_text_do_not_change_its_score():
+    model = toxicity.ToxicityModel(toxicity.Network(7))
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_windows", pa.int64())])
+
+    def score(texts):
+        rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+        return [x for b in toxicity._score(model, schema)(iter([rows])) for x in b.column("score").to_pylist()]
+
+    short, long = "you are a bad one", " ".join(f"word{i}" for i in range(77))
+    alone = score([short]) + score([long])
+    for first in ("zebra", "other words", "", long):
+        assert score([first, short, long])[1:] == pytest.approx(alone, abs=1e-7)
+
+
+def test_windows_side_by_side_have_the_logits_of_training():
+    rng = np.random.default_rng(3)
+    net = toxicity.Network(3)
+    words = [f"{i * 7919}x{i % 7}".encode() for i in range(900)]
+    vectors = net.vectors(*toxicity.inputs(words))
+    _, start, size = toxicity.windows(np.array([5, 0, 32, 33, 700, 1, 20_000]))
+    ids = rng.integers(0, len(words), 20_771)
+    assert len(start) > 2 * toxicity.TOGETHER
+    grid, real = toxicity._grid(ids, start, size)
+    want = net.forward(net.projected(vectors)[grid], real)[0]
+    assert toxicity.window_logits(net, vectors, ids, start, size) == pytest.approx(want, abs=1e-5)
+
+
+def test_inputs_are_those_of_each_word_alone():
+    words = [w.encode() for w in "Hello, WORLD ΟΔΟΣ ΣΑΣ straße İstanbul 'quoted' ... idiot! a 日本語 \x85q d\x1cx".split(" ")]
+    word, grams, of = toxicity.inputs(words)
+    for i, w in enumerate(words):
+        alone = toxicity.inputs([w])
+        assert alone[0][0] == word[i] and alone[1].tolist() == grams[of == i].tolist()
+    assert [len(x) for x in toxicity.inputs([])] == [0, 0, 0]
+
+
 def test_toxicity_finds_words_and_their_forms(spark):
     rng = random.Random(1)
     stem = lambda: "".join(rng.choice(["the", "an", "er", "on", "lo", "ti"]) for _ in range(rng.randint(1, 3)))
