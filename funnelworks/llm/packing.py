@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,17 @@ SEQUENCE_TOKENS = 2048
 #: Ends every document.
 END_ID = 0
 
+#: Distinct runs of marks that a table remembers, about, at most.
+MOST_MARKS = 100_000
+
 #: Fewer tokenizer calls: ASCII case does not matter to the vocabulary, and a full stop or comma after a letter is a token of its own.
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
 #: The same, mark by mark: a pattern that begins with its mark is searched for several times as fast.
 _STOPS = [(b" " + x, re.compile(re.escape(x) + rb"(?=[ \n]|$)(?<=[a-z]" + re.escape(x) + b")")) for x in (b".", b",")]
 
+#: What the tokenizer neither changes nor cuts before its merges: small letters of one code point.  It cuts between a letter and the marks after it.
+_LETTERS = re.compile(r"([a-zà-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 
@@ -57,10 +64,14 @@ class TokenTable(WordTable):
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.encode_special_tokens = True  # what only lower-casing makes of a word is no special token
+        self.model, self.marks = self.tokenizer.model, {"": []}
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {x: level.pre_tokenize_str(chr(x))[0][0] for x in range(0xE0, 0x100)}  # how the vocabulary writes those beyond ASCII
         super().__init__(self._tokens, most=500_000)
 
     def _restart(self) -> None:
@@ -76,13 +87,28 @@ class TokenTable(WordTable):
             return ids
         return None
 
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word, by the whole tokenizer."""
+        if not words:
+            return []
+        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids, of = got.ids, np.array(got.word_ids, np.int64)
+        upto = np.searchsorted(of, np.arange(len(words) + 1)).tolist()
+        return [ids[a:b] for a, b in pairwise(upto)]
+
     def _tokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        counts, ids = np.zeros(len(words), np.int32), np.empty(0, np.uint32)
-        if words:
-            got = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, np.uint32)
-            if len(ids):
-                counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(words)).astype(np.int32)
+        lower = [w.decode().lower() for w in words]
+        plain = [m and m.groups() for m in map(_LETTERS.fullmatch, lower)]
+        other = iter(self._encoded([w.decode() for w, p in zip(words, plain, strict=True) if p is None]))
+        if len(self.marks) > MOST_MARKS:
+            self.marks = {"": []}
+        marks = list({p[1] for p in plain if p is not None} - self.marks.keys())
+        self.marks |= zip(marks, self._encoded(marks), strict=True)
+        # Letters go to the tokenizer's model at once.
+        merged, marks_of, as_bytes = self.model.tokenize, self.marks, self.as_bytes
+        each = [next(other) if p is None else [t.id for t in merged(p[0] if p[0].isascii() else p[0].translate(as_bytes))] + marks_of[p[1]] for p in plain]
+        counts = np.fromiter(map(len, each), np.int32, len(each))
+        ids = np.fromiter(chain.from_iterable(each), np.uint32, int(counts.sum()))
         if self.used + len(ids) > len(self.flat):
             grown = np.empty(max(2 * len(self.flat), self.used + len(ids)), np.uint32)
             grown[: self.used] = self.flat[: self.used]

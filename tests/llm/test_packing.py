@@ -164,3 +164,28 @@ def test_stops_are_split_off_fast():
         split()
         took.append(time.process_time() - began)
     assert took[1] < 0.6 * took[0]
+
+
+def test_letters_go_to_the_model_at_once_with_the_ids_of_the_whole_tokenizer():
+    from funnelworks.llm.packing import _stops_apart
+
+    table, rng, seen = TokenTable(PATH), random.Random(1), []
+
+    class Watched:
+        def encode(self, words, **options):
+            seen.extend(words)
+            return UNTOUCHED.encode(words, **options)
+
+    letters = ["abstrahiert", "Élan", "ouèon!!", "ñandú", "word.$$$", "façade'", "ÿ"]
+    mixed = list("abcdestABT059!#$&'()-.<=>_|~ ") + ["'s", "'re", "é", "é", "à", "í", "÷", "Ñ", "Þ", "ª", "ß", "̸", "日", "İ", "Σ", "\x85"]
+    texts = [" ".join(letters)] + [" ".join("".join(rng.choice(mixed) for _ in range(rng.randint(1, 8))) for _ in range(30)) for _ in range(300)]
+    table.tokenizer = Watched()
+    table.begin()
+    words = [table.ids(_stops_apart(t.encode().lower()).split()) for t in texts[:1]]
+    table.settle()
+    assert set(seen) == {"!!", ".$$$", "'"}
+    words += [table.ids(_stops_apart(t.encode().lower()).split()) for t in texts[1:]]
+    starts, counts = table.settle()
+    for text, ids in zip(texts, words, strict=True):
+        got = [x for i in ids for x in table.flat[starts[i] : starts[i] + counts[i]].tolist()]
+        assert got == UNTOUCHED.encode(text, add_special_tokens=False).ids
