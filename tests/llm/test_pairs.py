@@ -846,3 +846,25 @@ def test_texts_of_words_over_and_over_meet_by_what_a_passage_has(spark, monkeypa
     assert {(50, 10), (51, 11)} <= got
     # By the one word alone every two of them met.
     assert sizes["class-pairs"] < 300
+
+
+def test_no_word_is_kept_after_its_text():
+    import pyarrow as pa
+
+    from funnelworks.llm.chaining import _word_hashes
+    from funnelworks.llm.words import hash_words
+
+    texts = lambda i: [" ".join(f"w{i}x{k}x{j}" for j in range(200)) for k in range(100)]
+    batch = lambda i: pa.record_batch([pa.array(texts(i) + [None, ""])], names=["text"])
+    rows, words = next(_word_hashes(iter([batch(0)]), np.uint64))
+    assert rows.num_rows == 102 and [len(w) for w in words] == [200] * 100 + [0, 0]
+    assert words[7].tolist() == hash_words(texts(0)[7].encode().split()).tolist()
+    tracemalloc.start()
+    try:
+        assert sum(len(w) for i in range(10) for _, hashes in _word_hashes(iter([batch(i)])) for w in hashes) == 200_000
+        tracemalloc.reset_peak()
+        held = tracemalloc.get_traced_memory()[0]
+        assert sum(len(w) for _, hashes in _word_hashes(map(batch, range(10))) for w in hashes) == 200_000
+        assert tracemalloc.get_traced_memory()[1] - held < 10 << 20
+    finally:
+        tracemalloc.stop()
