@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import dropped, parts_for, reading, released, sent, staged
+from .store import dealt, dropped, parts_for, reading, released, sent, staged
 from .words import WordTable, hash_words, lean_after, mix, text_chunks, window_hashes
 
 SHINGLE = 5
@@ -39,6 +39,8 @@ PERCENT = 75
 BITS = 48
 #: N-grams that a block gathers before it sends them, about: bounds a task's arrays and the size of a row.
 PART_KEYS = 1 << 20
+#: N-grams of a fragment that are counted at once, about.
+COUNTED_KEYS = 1 << 17
 #: Parts of a set that a pair is compared by.
 SEGMENTS = 4
 #: Up to so many sets of one n-gram are compared as pairs, more as tiles.
@@ -128,21 +130,34 @@ def _shuffled_out(fragments: int, rule: Rule, schema: pa.Schema):
     return lean_after(run)
 
 
+def shared_keys(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted runs: the keys that are there more than once, in order, and how often.  Ranges of keys are counted one after another, so temporary arrays are small."""
+    many = sum(map(len, runs))
+    bounds = np.unique(max(runs, key=len)[:: max(1, len(max(runs, key=len)) * COUNTED_KEYS // max(1, many))][1:]) if many else []
+    cuts = [np.concatenate([[0], np.searchsorted(k, bounds), [len(k)]]).astype(np.int64) for k in runs]
+    shared, held_by = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+    for i in range(len(bounds) + 1):
+        key = np.concatenate([np.empty(0, np.uint64), *(k[c[i] : c[i + 1]] for k, c in zip(runs, cuts, strict=True))])
+        key.sort()
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        counts = np.diff(np.append(starts, len(key)))
+        shared.append(key[starts[counts > 1]])
+        held_by.append(counts[counts > 1].astype(np.uint32))
+    return np.concatenate(shared), np.concatenate(held_by)
+
+
 def _shared_only(schema: pa.Schema):
-    """Of fragments in order: the documents' rows as they are, and of the runs what two sets or more hold, back by block, with how many hold it."""
+    """Of a fragment: the documents' rows as they are, and of the runs what two sets or more hold, back by block, with how many hold it."""
 
     def of_fragment(fragment: int, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key = np.sort(np.concatenate([k for _, k, _ in parts]))
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        counts = np.diff(np.append(starts, len(key)))
-        shared, held_by = key[starts[counts > 1]], counts[counts > 1].astype(np.uint32)
+        shared, held_by = shared_keys([k for _, k, _ in parts])
         if not len(shared):
             return
         for block, k, r in parts:
             at = np.minimum(np.searchsorted(shared, k), len(shared) - 1)
             some = shared[at] == k
             if some.any():
-                row = [1, fragment, block, None, None, None, int(some.sum()), None, None, k[some].tobytes(), held_by[at[some]].tobytes(), r[some].tobytes()]
+                row = [1, fragment, block, None, None, None, int(some.sum()), None, None, k[some].tobytes(), held_by[at[some]].tobytes(), r[some].astype(np.uint32).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,15 +167,18 @@ def _shared_only(schema: pa.Schema):
             documents = batch.filter(pa.array(kind == 0))
             if documents.num_rows:
                 yield pa.RecordBatch.from_arrays([documents.column(x) for x in schema.names], schema=schema)
-            runs = batch.filter(pa.array(kind == 1))
-            for i in range(runs.num_rows):
-                r = {c: runs.column(c)[i].as_py() for c in ("fragment", "block", "local", "high", "low", "refs")}
+            del documents
+            for i in np.flatnonzero(kind == 1).tolist():  # not filtered: runs would be there twice
+                r = {c: batch.column(c)[i].as_py() for c in ("fragment", "block", "local", "high", "low", "refs")}
                 if r["fragment"] != current and parts:
                     yield from of_fragment(current, parts)
                     parts = []
                 current = r["fragment"]
-                key = np.frombuffer(r["high"], np.uint16).astype(np.uint64) << np.uint64(32) | np.frombuffer(r["low"], np.uint32)
-                parts.append((r["block"], key, np.frombuffer(r["refs"], np.uint32 if r["local"] else np.uint16).astype(np.uint32)))
+                key = np.frombuffer(r["high"], np.uint16).astype(np.uint64)
+                key <<= np.uint64(32)
+                key |= np.frombuffer(r["low"], np.uint32)
+                parts.append((r["block"], key, np.frombuffer(r["refs"], np.uint32 if r["local"] else np.uint16)))
+            del batch
         if parts:
             yield from of_fragment(current, parts)
 
@@ -353,7 +371,7 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     schema = to_arrow_schema(_parse_datatype_string(_ROWS))
     out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text").mapInArrow(_shuffled_out(fragments, rule, schema), _ROWS)
-    found = staged(out.repartition(fragments, "fragment").sortWithinPartitions("fragment").mapInArrow(_shared_only(schema), _ROWS), "fragments")
+    found = staged(dealt(out, fragments).mapInArrow(_shared_only(schema), _ROWS), "fragments")
     released(documents.sparkSession)
     # Each of the following is made of the one before, which then goes with its shuffle: the n-grams are there once, not four times.
     rows = staged(found.where("kind = 0").select("doc_id", "content", F.col("n").alias("n_shingles"), F.expr("block * 4294967296 + local").alias("set_id")), "rows")

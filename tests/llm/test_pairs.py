@@ -868,3 +868,27 @@ def test_no_word_is_kept_after_its_text():
         assert tracemalloc.get_traced_memory()[1] - held < 10 << 20
     finally:
         tracemalloc.stop()
+
+
+def test_each_fragment_has_a_task_of_its_own(spark):
+    """By a hash of its number three and four met in one task, and in the memory of its workers."""
+    from pyspark.sql import functions as F
+
+    from funnelworks.llm.store import dealt
+
+    rows = spark.range(510).select((F.col("id") % 51).alias("fragment"), "id")
+    found = dealt(rows, 51).groupBy(F.spark_partition_id().alias("task")).agg(F.min("fragment").alias("a"), F.max("fragment").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    assert sorted((r.task, r.a, r.b, r.n) for r in found) == [(i, i, i, 10) for i in range(51)]
+
+
+@pytest.mark.parametrize("most", [1, 50, 1 << 17])
+def test_shared_keys_are_counted_range_by_range(monkeypatch, most):
+    from funnelworks.llm import jaccard
+
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(jaccard, "COUNTED_KEYS", most)
+    for sizes in ([0, 0], [1, 0], [300, 40, 0, 900], [5, 5, 5]):
+        runs = [np.sort(rng.integers(0, 400, n).astype(np.uint64)) for n in sizes]
+        keys, counts = np.unique(np.concatenate(runs), return_counts=True)
+        shared, held = jaccard.shared_keys(runs)
+        assert shared.tolist() == keys[counts > 1].tolist() and held.tolist() == counts[counts > 1].tolist()
