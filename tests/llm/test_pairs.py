@@ -892,3 +892,24 @@ def test_shared_keys_are_counted_range_by_range(monkeypatch, most):
         keys, counts = np.unique(np.concatenate(runs), return_counts=True)
         shared, held = jaccard.shared_keys(runs)
         assert shared.tolist() == keys[counts > 1].tolist() and held.tolist() == counts[counts > 1].tolist()
+
+
+def test_covering_passages_have_every_word_of_all():
+    from funnelworks.llm.chaining import covering
+
+    rng = random.Random(9)
+    assert covering([]) == [] and covering([(7, 60, 1), (8, 61, 1), (7, 87, 2), (9, 87, 0)]) == [(7, 87, 2)]
+    for _ in range(400):
+        spans = [(a, a + rng.randint(3, 12), rng.randint(0, 3)) for a in (rng.randint(0, 60) for _ in range(rng.randint(1, 30)))]
+        words = lambda x: {w for a, b, _ in x for w in range(a, b)}
+        kept = covering(spans)
+        assert set(kept) <= set(spans) and words(kept) == words(spans)
+        assert all(x[1] < z[0] for x, z in zip(kept, kept[2:], strict=False)) and all(words(kept) != words([y for y in kept if y != x]) for x in kept)
+
+
+def test_passages_of_words_over_and_over_are_no_row_for_each_shift(spark):
+    rng = random.Random(12)
+    texts = [" ".join(w for w in rng.sample("abcdefgh", 8) for _ in range(40)) for _ in range(12)]
+    got = repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    pairs = {(r["doc_id"], r["other_doc_id"]) for r in got}
+    assert len(got) <= 2 * 320 / 50 * len(pairs) and len(pairs) > 5
