@@ -907,9 +907,16 @@ def test_covering_passages_have_every_word_of_all():
         assert all(x[1] < z[0] for x, z in zip(kept, kept[2:], strict=False)) and all(words(kept) != words([y for y in kept if y != x]) for x in kept)
 
 
-def test_passages_of_words_over_and_over_are_no_row_for_each_shift(spark):
-    rng = random.Random(12)
-    texts = [" ".join(w for w in rng.sample("abcdefgh", 8) for _ in range(40)) for _ in range(12)]
-    got = repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
-    pairs = {(r["doc_id"], r["other_doc_id"]) for r in got}
-    assert len(got) <= 2 * 320 / 50 * len(pairs) and len(pairs) > 5
+def test_passages_of_words_over_and_over_are_no_row_for_each_shift():
+    import pyarrow as pa
+
+    from funnelworks.llm import chaining
+
+    rng, rule = np.random.default_rng(12), Chaining()
+    one, other = (np.concatenate([np.repeat(x, n) for x, n in zip(rng.permutation(4), rng.integers(50, 90, 4))]).astype(np.uint64) + np.uint64(7) for _ in range(2))
+    kinds = {"long": pa.int64(), "double": pa.float64()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in f"doc long, partner long, {chaining._SPAN}".split(", "))])
+    words = pa.table({"content": [1, 2], "words": [one.tobytes(), other.tobytes()]})
+    pairs = pa.table({"doc": [2], "first": [0], "last": [len(other)], "content": [2], "partner": [1], "other_content": [1]})
+    rows = chaining._pairs_aligned(rule, schema)(pairs, words).to_pylist()
+    assert 0 < len(rows) <= 2 * len(other) / rule.words
